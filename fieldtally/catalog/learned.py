@@ -1 +1,336 @@
+"""Preparation, models, ensembles and metrics."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from ..operators import bayes, ensembles, metrics, models, neighbours, prepare, ranking, sets, tuning
+from ..sources.files import table
+from .registry import query
+from .tables import FEATURES, PLAYS_SQL, TABULAR_SQL, plays, tabular, vectors
+
+CUT = "1998-01-01"
+
+
+def halves(df):
+    """Orders before the cut date train, the others are scored."""
+    cut = F.lit(CUT).cast("timestamp_ntz")
+    return df.where(F.col("o_orderdate") < cut), df.where(F.col("o_orderdate") >= cut)
+
+
+@query(
+    "impute_mean",
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders),
+      m AS (SELECT avg(price) AS mean FROM o WHERE o_orderdate < TIMESTAMP '{CUT}')
+      SELECT o_orderkey, round(coalesce(price, mean), 4) AS price, CAST(o_orderdate < TIMESTAMP '{CUT}' AS INTEGER) AS is_train FROM o, m""",
+)
+def impute_mean(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price")
+    )
+    train, test = halves(o)
+    fitted = prepare.fit_mean_impute(train, ["price"])
+    both = sets.bind_rows(fitted.apply(train).withColumn("is_train", F.lit(1)), fitted.apply(test).withColumn("is_train", F.lit(0)))
+    return both.select("o_orderkey", F.round("price", 4).alias("price"), "is_train")
+
+
+@query(
+    "impute_median_mode",
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_size > 3 THEN CAST(p_size AS DOUBLE) END AS size,
+                         CASE WHEN p_size <> 9 THEN p_retailprice END AS price, CASE WHEN p_size > 5 THEN p_brand END AS brand FROM part),
+       top AS (SELECT brand FROM p WHERE brand IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, brand LIMIT 1)
+       SELECT p_partkey, coalesce(size, (SELECT median(size) FROM p)) AS size, coalesce(price, (SELECT median(price) FROM p)) AS price,
+              coalesce(brand, (SELECT brand FROM top)) AS brand FROM p""",
+)
+def impute_median_mode(spark, sf):
+    size = F.col("p_size")
+    p = table(spark, sf, "part").select(
+        "p_partkey", F.when(size > 3, size.cast("double")).alias("size"),
+        F.when(size != 9, F.col("p_retailprice")).alias("price"), F.when(size > 5, F.col("p_brand")).alias("brand"),
+    )
+    numbers = prepare.fit_median_impute(p, ["size", "price"])
+    texts = prepare.fit_mode_impute(p, ["brand"])
+    return texts.apply(numbers.apply(p))
+
+
+@query(
+    "standardize",
+    f"""WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}')
+      SELECT o_orderkey, round((o_totalprice - m) / d, 6) AS o_totalprice FROM orders, s""",
+)
+def standardize(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    train, _ = halves(o)
+    return prepare.fit_standardize(train, ["o_totalprice"]).apply(o, 6).drop("o_orderdate")
+
+
+@query(
+    "onehot_align",
+    """WITH d AS (SELECT d.doc_id, CASE WHEN n_chars > 200 THEN lang END AS lang, CAST(l.doc_id IS NOT NULL AS INTEGER) AS is_train
+                  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+       SELECT doc_id, is_train, CAST(coalesce(lang = 'en', false) AS INTEGER) AS lang_en, CAST(coalesce(lang = 'es', false) AS INTEGER) AS lang_es,
+              CAST(coalesce(lang = 'fr', false) AS INTEGER) AS lang_fr FROM d""",
+)
+def onehot_align(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 200, F.col("lang")).alias("lang"))
+    known = table(spark, sf, "labels").select("doc_id")
+    train, test = d.join(known, "doc_id", "left_semi"), d.join(known, "doc_id", "left_anti")
+    train, test = sets.transform_together(train, test, lambda both: prepare.fit_onehot(both, ["lang"]).apply(both))
+    return sets.bind_rows(train.withColumn("is_train", F.lit(1)), test.withColumn("is_train", F.lit(0)))
+
+
+EMBEDDED = [f"e{i}" for i in range(64)]
+
+
+@query("pca_scores")
+def pca_scores(spark, sf):
+    v = vectors(spark, sf)
+    fitted = prepare.fit_pca(v, EMBEDDED, 6)
+    scores = [F.round(f"PC{i}", 6).alias(f"PC{i}") for i in range(1, 7)]
+    share = [F.lit(round(x, 6)).alias(f"explained_{i + 1}") for i, x in enumerate(fitted.explained)]
+    return fitted.apply(v).select("vec_id", *scores, *share)
+
+
+@query(
+    "pairwise_interactions",
+    """SELECT l_orderkey, l_quantity * l_extendedprice AS "l_quantity|l_extendedprice", l_quantity * l_discount AS "l_quantity|l_discount",
+              l_extendedprice * l_discount AS "l_extendedprice|l_discount", l_tax * l_quantity AS "l_tax|l_quantity" FROM lineitem""",
+)
+def pairwise_interactions(spark, sf):
+    li = table(spark, sf, "lineitem")
+    every = prepare.pairwise_products(li, columns=["l_quantity", "l_extendedprice", "l_discount"])
+    chosen = prepare.pairwise_products(every, pairs=["l_tax|l_quantity"])
+    names = prepare.interaction_names(chosen.columns)
+    return chosen.select("l_orderkey", *[F.col(f"`{n}`") for n in names])
+
+
+@query(
+    "time_split",
+    f"""WITH {PLAYS_SQL}, m AS (SELECT team, year, week, round(sum(points), 2) AS points FROM plays GROUP BY ALL),
+      y AS (SELECT max(year) AS y FROM m), t AS (SELECT y, max(week) AS w FROM m, y WHERE year = y GROUP BY y)
+      SELECT team, year, week, points, CASE WHEN year = y AND week = w THEN 'test' ELSE 'train' END AS part FROM m, t
+      WHERE year <> y OR week <= w""",
+)
+def time_split(spark, sf):
+    months = plays(spark, sf).groupBy("team", "year", "week").agg(F.round(F.sum("points"), 2).alias("points"))
+    target = prepare.latest_period(months, "year", "week", ahead=0)
+    train, test = prepare.time_split(months, target)
+    return sets.bind_rows(train.withColumn("part", F.lit("train")), test.withColumn("part", F.lit("test")))
+
+
+def labelled(spark, sf):
+    """Labelled documents with scaled features and language indicators."""
+    t = tabular(spark, sf).withColumn("label", F.col("quality").cast("double"))
+    hot = prepare.fit_onehot(t, ["lang"])
+    scaled = prepare.fit_standardize(t, FEATURES).apply(t)
+    return hot.apply(scaled), [*FEATURES, *hot.names()]
+
+
+def scored(name, predicted, label="label"):
+    return metrics.classification_metrics(predicted, label, "prediction", 1.0, digits=4).select(F.lit(name).alias("model"), "*")
+
+
+def together(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@query("cv_grid")
+def cv_grid(spark, sf):
+    df, features = labelled(spark, sf)
+    estimator = models.classifier("logistic", maxIter=20)
+    searched = tuning.repeated_search(
+        df, 2, estimator=estimator, grid={"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]},
+        evaluator=BinaryClassificationEvaluator(), id_column="doc_id", folds=3,
+        stages=[VectorAssembler(inputCols=features, outputCol="features")],
+    )
+    return tuning.results_table(searched)
+
+
+@query(
+    "linreg_metrics",
+    """SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+              round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem GROUP BY 1""",
+)
+def linreg_metrics(spark, sf):
+    out = models.least_squares(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
+    return out.withColumns({c: F.round(c, 4) for c in ("slope", "intercept")})
+
+
+@query("linear_models")
+def linear_models(spark, sf):
+    """Least squares, and the elastic net on a formula with a text column and interactions."""
+    li = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    numbers = ["l_quantity", "l_discount", "l_tax"]
+    plain = models.fit(li, numbers, models.regressor("linear", label="l_extendedprice")).transform(li)
+    formula = "l_extendedprice ~ . + l_returnflag:l_quantity + l_discount:l_quantity"
+    net = models.fit_formula(li, formula).transform(li)
+    out = [("least squares", plain), ("elastic net", net)]
+    return together(
+        [metrics.regression_metrics(p, "l_extendedprice", "prediction", digits=4).select(F.lit(n).alias("model"), "*") for n, p in out]
+    )
+
+
+@query("logreg_metrics")
+def logreg_metrics(spark, sf):
+    df, features = labelled(spark, sf)
+    df = df.cache()
+    ridge = models.fit_ridge_classifier(df, features, "label", 0.1)
+    out = [
+        scored("logistic", models.fit(df, features, models.classifier("logistic")).transform(df)),
+        scored("multinomial", models.fit(df, features, models.classifier("multinomial")).transform(df)),
+        scored("margin", models.fit(df, features, models.classifier("margin", maxIter=50)).transform(df)),
+        scored("ridge", models.apply_ridge_classifier(ridge, df)),
+    ]
+    return together(out)
+
+
+@query("tree_models")
+def tree_models(spark, sf):
+    df, features = labelled(spark, sf)
+    df = df.cache()
+    kinds = {
+        "tree": {"maxDepth": 6},
+        "forest": {"numTrees": 20, "maxDepth": 8},
+        "boosting": {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1},
+    }
+    out = [scored(k, models.fit(df, features, models.classifier(k, **p)).transform(df)) for k, p in kinds.items()]
+    extra = ensembles.fit_extra_trees(df, features, "label", groups=3, trees=7, depth=8)
+    out.append(scored("extra trees", ensembles.apply_extra_trees(extra, df)))
+    return together(out)
+
+
+@query("tree_regressors")
+def tree_regressors(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_totalprice", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("done"), F.col("o_custkey").alias("customer"),
+    ).cache()
+    features = ["year", "month", "done", "customer"]
+    kinds = {"tree": {"maxDepth": 5}, "forest": {"numTrees": 10, "maxDepth": 5}, "boosting": {"maxIter": 5, "maxDepth": 3}}
+    out = [(k, models.fit(o, features, models.regressor(k, label="o_totalprice", **p)).transform(o)) for k, p in kinds.items()]
+    extra = ensembles.fit_extra_trees(o, features, "o_totalprice", kind="numbers", groups=2, trees=5)
+    out.append(("extra trees", ensembles.apply_extra_trees(extra, o, "numbers")))
+    return together(
+        [metrics.regression_metrics(p, "o_totalprice", "prediction", digits=4).select(F.lit(n).alias("model"), "*") for n, p in out]
+    )
+
+
+@query("adaboost")
+def adaboost(spark, sf):
+    df, features = labelled(spark, sf)
+    ready = prepare.assemble(df, features).cache()
+    votes = ensembles.fit_adaboost(ready, "label", rounds=8, cut_every=4)
+    numbers = ensembles.fit_adaboost_regressor(ready, "n_chars", rounds=4, cut_every=2)
+    classes = scored("adaboost", votes.apply(ready)).select("model", "accuracy", "precision", "recall", "f1")
+    fit = metrics.regression_metrics(numbers.apply(ready), "n_chars", "prediction", digits=4)
+    return classes.select("*", F.lit(None).cast("double").alias("r2")).unionByName(
+        fit.select(F.lit("adaboost regressor").alias("model"), "r2"), allowMissingColumns=True
+    )
+
+
+@query("bagging")
+def bagging(spark, sf):
+    df, features = labelled(spark, sf)
+    df = df.cache()
+    bags = {
+        "rows": ensembles.fit_bagging(df, features, "label", estimators=10, row_share=0.8),
+        "rows and columns": ensembles.fit_bagging(df, features, "label", estimators=9, column_share=0.6, column_sets=3),
+    }
+    return together([scored(n, ensembles.apply_bagging(m, df)) for n, m in bags.items()])
+
+
+@query(
+    "knn_classify",
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+       d AS (SELECT a.vec_id, a.label AS actual, b.label, b.vec_id AS other, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+       near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, other) AS place FROM d) WHERE place <= 5),
+       ballots AS (SELECT vec_id, actual, label, count(*) AS n FROM near GROUP BY ALL)
+       SELECT vec_id, actual, label AS prediction FROM (
+         SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS r FROM ballots) WHERE r = 1""",
+)
+def knn_classify(spark, sf):
+    """Every vector is classified by its five nearest other vectors."""
+    v = table(spark, sf, "embeddings")
+    near = neighbours.nearest_neighbours(v, v, "vec_id", "embedding", 5, "label", exclude_self=True)
+    voted = neighbours.knn_vote(near)
+    return v.select("vec_id", F.col("label").alias("actual")).join(voted.withColumnRenamed("qid", "vec_id"), "vec_id")
+
+
+@query(
+    "gaussian_nb",
+    f"""WITH {TABULAR_SQL},
+      s AS (SELECT greatest(var_pop(n_chars), var_pop(commas), var_pop(stops)) * 1e-9 AS lift, count(*) AS n FROM tabular),
+      c AS (SELECT quality AS k, ln(count(*) / (SELECT n FROM s)) AS prior, avg(n_chars) AS m1, var_pop(n_chars) + (SELECT lift FROM s) AS v1,
+                   avg(commas) AS m2, var_pop(commas) + (SELECT lift FROM s) AS v2, avg(stops) AS m3, var_pop(stops) + (SELECT lift FROM s) AS v3
+            FROM tabular GROUP BY 1),
+      l AS (SELECT doc_id, quality, k, prior - 0.5 * (ln(2 * pi() * v1) + ln(2 * pi() * v2) + ln(2 * pi() * v3))
+              - (n_chars - m1) ** 2 / (2 * v1) - (commas - m2) ** 2 / (2 * v2) - (stops - m3) ** 2 / (2 * v3) AS w FROM tabular, c)
+      SELECT doc_id, quality, k AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, k) AS r FROM l) WHERE r = 1""",
+)
+def gaussian_nb(spark, sf):
+    t = tabular(spark, sf)
+    fitted = bayes.fit_gaussian_bayes(t, ["n_chars", "commas", "stops"], "quality")
+    return fitted.apply(t).select("doc_id", "quality", "prediction")
+
+
+_RULE_SQL = f"{TABULAR_SQL}, p AS (SELECT *, CAST(n_chars > 300 AND commas * 50 > stops AS INTEGER) AS guess FROM tabular)"
+
+
+def ruled(spark, sf):
+    rule = (F.col("n_chars") > 300) & (F.col("commas") * 50 > F.col("stops"))
+    return tabular(spark, sf).withColumn("guess", rule.cast("int"))
+
+
+@query(
+    "classification_metrics",
+    f"""WITH {_RULE_SQL}, c AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND guess = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND guess = 1) AS fp,
+         count(*) FILTER (WHERE quality = 1 AND guess = 0) AS fn, count(*) FILTER (WHERE quality = 0 AND guess = 0) AS tn FROM p GROUP BY 1)
+      SELECT *, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision,
+             round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""",
+)
+def classification_metrics(spark, sf):
+    return metrics.classification_metrics(ruled(spark, sf), "quality", "guess", by=["lang"])
+
+
+@query(
+    "class_report",
+    f"""WITH {_RULE_SQL}, k AS (SELECT DISTINCT quality AS c FROM p UNION SELECT DISTINCT guess FROM p),
+      n AS (SELECT CAST(c AS VARCHAR) AS class, count(*) FILTER (WHERE quality = c AND guess = c) AS hit, count(*) FILTER (WHERE guess = c) AS said,
+                   count(*) FILTER (WHERE quality = c) AS support FROM p, k GROUP BY 1)
+      SELECT class, round(hit / nullif(said, 0), 6) AS precision, round(hit / nullif(support, 0), 6) AS recall,
+             round(2 * hit / nullif(said + support, 0), 6) AS f1, support FROM n""",
+)
+def class_report(spark, sf):
+    return metrics.class_report(ruled(spark, sf), "quality", "guess")
+
+
+@query(
+    "regression_metrics",
+    """WITH p AS (SELECT o_orderstatus, o_totalprice AS y, 200000 + 10 * (o_custkey % 1000) AS e FROM orders)
+       SELECT o_orderstatus, count(*) AS n, round(1 - sum((y - e) ** 2) / (var_pop(y) * count(*)), 6) AS r2,
+              round(avg((y - e) ** 2) / 1e6, 4) AS mse, round(avg(abs(y - e)), 4) AS mae FROM p GROUP BY 1""",
+)
+def regression_metrics(spark, sf):
+    p = table(spark, sf, "orders").withColumn("guess", 200000 + 10 * (F.col("o_custkey") % 1000))
+    out = metrics.regression_metrics(p, "o_totalprice", "guess", by=["o_orderstatus"])
+    return out.withColumns({"mse": F.round(F.col("mse") / 1e6, 4), "mae": F.round("mae", 4)})
+
+
+@query("mlp_classifier")
+def mlp_classifier(spark, sf):
+    v = vectors(spark, sf).withColumn("label", F.col("label").cast("double"))
+    width = v.agg(F.max("label")).first()[0]
+    net = models.classifier("net", layers=[64, 16, int(width) + 1], maxIter=30)
+    predicted = models.fit(v, EMBEDDED, net).transform(v)
+    return metrics.class_report(predicted, "label", "prediction", digits=4)
+
+
+@query("ranked_importance")
+def ranked_importance(spark, sf):
+    df, features = labelled(spark, sf)
+    forest = models.fit(df, features, models.classifier("forest", numTrees=20)).stages[-1]
+    return ranking.top_k_abs(models.ranked_weights(spark, forest, features), "weight", 5, "feature")

@@ -53,14 +53,15 @@ def at_group_min(df: DataFrame, group: Sequence[str], column: str, null_empties_
 def average_ranks(df: DataFrame, column: str, name: str, blocks: int = 200) -> DataFrame:
     """Rank over the whole table, largest first, tied rows sharing their average rank.
 
-    Approximate quantiles cut the value range into blocks.  Row counts of earlier blocks
+    Approximate quantiles (one aggregate row) cut the value range into blocks.  Row counts of earlier blocks
     come from a table of at most ``blocks + 1`` rows, distinct values are ranked inside
     their block, and the ranks are joined back by value; no task sorts the whole table and
     a value shared by many rows is counted before it is shuffled.  Missing values get no rank.
     """
     known = df.where(F.col(column).isNotNull())
     probs = [i / blocks for i in range(1, blocks)]
-    splits = known.agg(F.array_distinct(F.percentile_approx(column, probs, 10000))).scalar()
+    found = known.agg(F.array_distinct(F.percentile_approx(column, probs, 10000))).first()[0]
+    splits = F.array(*[F.lit(s) for s in found or []])
     value = F.col(column)
     # block 0 holds the largest values
     block = F.size(F.filter(splits, lambda s: s >= value))
