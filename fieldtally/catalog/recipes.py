@@ -1 +1,180 @@
+"""Whole analyses on the given tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.prepare import latest_period
+from ..plans import poll, poll_model
+from ..sources.files import table
+from .registry import query
+from .tables import PLAY_KEY_SQL, PLAY_ORDER, PLAYS_SQL, plays
+
+# Orders as games: how a line's flags read as a play type
+_PLAY_TYPE_SQL = """CASE
+    WHEN kind = 'A' THEN CASE WHEN status = 'F' THEN 'Pass Reception' WHEN stage = 1 THEN 'Passing Touchdown' ELSE 'Pass Incompletion' END
+    WHEN kind = 'R' THEN CASE WHEN status = 'F' THEN 'Rush' WHEN stage = 2 THEN 'Rushing Touchdown' ELSE 'Sack' END
+    ELSE CASE WHEN stage <= 2 THEN 'Punt' WHEN stage = 3 THEN 'Field Goal Good' WHEN stage = 4 THEN 'Field Goal Missed'
+              WHEN stage = 5 THEN 'Penalty' WHEN stage = 6 THEN 'Interception Return' ELSE 'Fumble Recovery (Opponent)' END END"""
+
+_PBP_SQL = f"""{PLAYS_SQL},
+pbp AS (
+  SELECT team AS pos_team, opp AS def_pos_team, region.r_name AS offense_conference, year, week,
+         year * 1000 + week * 10 + CASE WHEN day(l_shipdate) > 28 THEN 1 ELSE 0 END AS game_id, drive AS drive_number,
+         {_PLAY_TYPE_SQL} AS play_type, yards - 10 AS yards_gained, (stage - 1) % 4 + 1 AS down, status = 'F' AS success,
+         floor(discount * 500) AS yards_to_goal, stage = 1 AS opens, stage AS minutes, yards AS seconds,
+         points AS pos_score, yards * 1499.37::DOUBLE AS def_score, {PLAY_KEY_SQL} AS k
+  FROM plays JOIN nation ON team = n_name JOIN region ON n_regionkey = r_regionkey
+)"""
+
+
+def play_by_play(spark, sf):
+    """The plays in the shape of a play-by-play feed."""
+    p = plays(spark, sf)
+    regions = table(spark, sf, "nation").join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select(F.col("n_name").alias("team"), F.col("r_name").alias("offense_conference"))
+    kind, done, stage = F.col("kind"), F.col("status") == "F", F.col("stage")
+    play_type = (
+        F.when(kind == "A", F.when(done, "Pass Reception").when(stage == 1, "Passing Touchdown").otherwise("Pass Incompletion"))
+        .when(kind == "R", F.when(done, "Rush").when(stage == 2, "Rushing Touchdown").otherwise("Sack"))
+        .otherwise(
+            F.when(stage <= 2, "Punt").when(stage == 3, "Field Goal Good").when(stage == 4, "Field Goal Missed")
+            .when(stage == 5, "Penalty").when(stage == 6, "Interception Return").otherwise("Fumble Recovery (Opponent)")
+        )
+    )
+    late = (F.dayofmonth("l_shipdate") > 28).cast("int")
+    return p.join(regions, "team").select(
+        F.col("team").alias("pos_team"), F.col("opp").alias("def_pos_team"), "offense_conference", F.col("team").alias("offense_play"),
+        "year", "week", (F.col("year") * 1000 + F.col("week") * 10 + late).alias("game_id"), F.col("drive").alias("drive_number"),
+        play_type.alias("play_type"), (F.col("yards") - 10).alias("yards_gained"), ((stage - 1) % 4 + 1).alias("down"),
+        done.cast("int").alias("success"), F.floor(F.col("discount") * 500).alias("yards_to_goal"),
+        F.when(stage == 1, 1).otherwise(0).alias("drive_numbers"), stage.cast("double").alias("drive_time_minutes_elapsed"),
+        F.col("yards").alias("drive_time_seconds_elapsed"), F.col("points").alias("pos_team_score"),
+        (F.col("yards") * 1499.37).alias("def_pos_team_score"), *PLAY_ORDER,
+    )
+
+
+_POLL_SQL = """poll AS (
+  SELECT n_name AS team, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS week,
+         floor(sum(o_totalprice) / 1000) AS votes
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND n_regionkey <> 4 GROUP BY ALL)"""
+
+
+def poll_votes(spark, sf):
+    """Votes a nation gets from its urgent pending orders; one region never gets any."""
+    n = table(spark, sf, "nation").where("n_regionkey <> 4").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("team"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    o = table(spark, sf, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    return (
+        o.join(c, "o_custkey").join(n, "c_nationkey")
+        .groupBy("team", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("week"))
+        .agg(F.floor(F.sum("o_totalprice") / 1000).alias("votes"))
+    )
+
+
+def features(spark, sf, columns):
+    return poll.season_features(play_by_play(spark, sf), poll_votes(spark, sf), PLAY_ORDER, columns=columns)
+
+
+_W = "OVER (PARTITION BY team, year ORDER BY week ROWS UNBOUNDED PRECEDING)"
+_FEATURE_SQL = f"""WITH {_PBP_SQL}, {_POLL_SQL},
+first_off AS (SELECT pos_team, year, week, min(game_id) AS game_id FROM pbp GROUP BY ALL),
+off AS (
+  SELECT p.pos_team AS team, p.year, p.week, arg_max(def_pos_team, k) AS opponent, max(offense_conference) AS conference,
+         arg_max(pos_score, k) AS points, arg_max(def_score, k) AS points_allowed,
+         coalesce(sum(yards_gained) FILTER (WHERE play_type IN ('Pass Reception', 'Passing Touchdown')), 0) AS passing_yards,
+         coalesce(sum(yards_gained) FILTER (WHERE play_type IN ('Rush', 'Rushing Touchdown')), 0) AS rushing_yards,
+         count(*) FILTER (WHERE play_type IN ('Pass Reception', 'Passing Touchdown')) AS passes_complete,
+         count(*) FILTER (WHERE play_type IN ('Pass Incompletion', 'Interception Return')) AS passes_missed,
+         count(*) FILTER (WHERE play_type IN ('Rush', 'Rushing Touchdown')) AS rushes,
+         count(DISTINCT CASE WHEN yards_to_goal <= 20 THEN drive_number END) AS redzone_drives,
+         CAST(sum(CAST(opens AS INTEGER)) AS BIGINT) AS possessions,
+         sum(CASE WHEN opens THEN minutes * 60 + seconds ELSE 0 END) / 60 AS possession_minutes,
+         count(*) FILTER (WHERE down = 4 AND play_type IN ('Pass Reception', 'Passing Touchdown', 'Pass Incompletion', 'Rush', 'Rushing Touchdown', 'Sack', 'Interception Return', 'Fumble Recovery (Opponent)')) AS fourth_downs,
+         count(*) FILTER (WHERE down = 4 AND success AND play_type IN ('Pass Reception', 'Passing Touchdown', 'Pass Incompletion', 'Rush', 'Rushing Touchdown', 'Sack', 'Interception Return', 'Fumble Recovery (Opponent)')) AS fourth_downs_converted
+  FROM pbp p JOIN first_off f ON p.pos_team = f.pos_team AND p.year = f.year AND p.week = f.week AND p.game_id = f.game_id GROUP BY ALL),
+first_def AS (SELECT def_pos_team, year, week, min(game_id) AS game_id FROM pbp GROUP BY ALL),
+def AS (
+  SELECT p.def_pos_team AS team, p.year, p.week,
+         coalesce(sum(yards_gained) FILTER (WHERE play_type IN ('Pass Reception', 'Passing Touchdown', 'Rush', 'Rushing Touchdown')), 0) AS allowed_yards,
+         count(*) FILTER (WHERE play_type IN ('Interception Return', 'Fumble Recovery (Opponent)')) AS forced_turnovers
+  FROM pbp p JOIN first_def f ON p.def_pos_team = f.def_pos_team AND p.year = f.year AND p.week = f.week AND p.game_id = f.game_id GROUP BY ALL),
+grid AS (SELECT team, year, conference, CAST(week AS INTEGER) AS week FROM (SELECT DISTINCT team, year, conference FROM off), range(1, 16) t(week)),
+cal AS (
+  SELECT g.team, g.year, g.conference, g.week, opponent, points, points_allowed, passing_yards, rushing_yards, passing_yards + rushing_yards AS yards,
+         passes_complete, passes_missed, rushes, passes_complete + passes_missed + rushes AS plays, redzone_drives, possessions, possession_minutes,
+         fourth_downs, fourth_downs_converted, allowed_yards, forced_turnovers,
+         coalesce(CAST(points > points_allowed AS INTEGER), 0) AS win, coalesce(CAST(points <= points_allowed AS INTEGER), 0) AS loss
+  FROM grid g LEFT JOIN off o ON g.team = o.team AND g.year = o.year AND g.week = o.week AND g.conference = o.conference
+  LEFT JOIN def d ON o.team = d.team AND o.year = d.year AND o.week = d.week),
+run AS (
+  SELECT *, count(opponent) {_W} AS games, sum(win) {_W} AS cum_win, sum(coalesce(points - points_allowed, 0)) {_W} AS cum_margin,
+         sum(coalesce(points, 0)) {_W} AS cum_points, sum(coalesce(points_allowed, 0)) {_W} AS cum_points_allowed, sum(coalesce(yards, 0)) {_W} AS cum_yards,
+         sum(coalesce(allowed_yards, 0)) {_W} AS cum_allowed_yards, sum(coalesce(plays, 0)) {_W} AS cum_plays,
+         sum(coalesce(fourth_downs, 0)) {_W} AS cum_fourth, sum(coalesce(fourth_downs_converted, 0)) {_W} AS cum_fourth_ok,
+         sum(coalesce(redzone_drives, 0)) {_W} AS cum_redzone, sum(coalesce(possession_minutes, 0)) {_W} AS cum_minutes, sum(coalesce(forced_turnovers, 0)) {_W} AS cum_forced
+  FROM cal),
+rated AS (SELECT *, cum_win / nullif(games, 0) AS win_rate FROM run),
+paired AS (
+  SELECT a.*, b.win_rate AS rate_opp, b.cum_points_allowed / nullif(b.games, 0) AS allowed_opp, b.cum_points / nullif(b.games, 0) AS points_opp
+  FROM rated a LEFT JOIN rated b ON a.opponent = b.team AND a.year = b.year AND a.week = b.week),
+weighted AS (
+  SELECT *, coalesce(win * rate_opp, 0) AS w_win, coalesce(loss * rate_opp, 0) AS w_loss, points * allowed_opp AS m_points,
+         points_allowed * points_opp AS m_points_allowed FROM paired),
+wrun AS (SELECT *, sum(w_win) {_W} AS cum_w_win, sum(coalesce(m_points, 0)) {_W} AS cum_m_points, sum(coalesce(m_points_allowed, 0)) {_W} AS cum_m_points_allowed FROM weighted),
+polled AS (SELECT c.team, c.year, c.week, c.opponent, c.conference, coalesce(votes, 0) AS votes FROM cal c
+           LEFT JOIN poll p ON c.team = p.team AND c.year = p.year AND c.week = p.week),
+kept AS (SELECT * FROM polled WHERE conference IN (SELECT conference FROM polled GROUP BY 1 HAVING sum(votes) > 0.1)),
+lagged AS (SELECT *, ln(CASE WHEN votes = 0 THEN 0.1 ELSE votes END) AS log_votes,
+                  coalesce(lag(ln(CASE WHEN votes = 0 THEN 0.1 ELSE votes END)) OVER (PARTITION BY team, year ORDER BY week), ln(0.1)) AS lag_log FROM kept),
+opp AS (SELECT a.*, b.lag_log AS lag_log_opp FROM lagged a LEFT JOIN lagged b ON a.opponent = b.team AND a.year = b.year AND a.week = b.week),
+voted AS (SELECT w.*, votes, log_votes, lag_log, w.yards * lag_log_opp AS v_yards, coalesce(w.win * lag_log_opp, 0) AS v_win
+          FROM wrun w JOIN opp o ON w.team = o.team AND w.year = o.year AND w.week = o.week)
+SELECT team, year, week, conference, opponent, points, points_allowed, win, loss, yards, plays, redzone_drives,
+       possessions, round(possession_minutes, 6) AS possession_minutes, allowed_yards, forced_turnovers, games,
+       CAST(cum_win AS BIGINT) AS cum_win, round(cum_margin, 2) AS cum_margin, round(win_rate, 6) AS cum_win_rate,
+       round(cum_points / nullif(games, 0), 6) AS cum_points_per_game, round(cum_yards / nullif(cum_plays, 0), 6) AS cum_yards_per_play,
+       round(cum_allowed_yards / nullif(games, 0), 6) AS cum_allowed_yards_per_game, round(cum_fourth_ok / nullif(cum_fourth, 0), 6) AS cum_fourth_down_rate,
+       CAST(cum_redzone AS BIGINT) AS cum_redzone_drives, round(cum_minutes / nullif(games, 0), 6) AS cum_possession_minutes_per_game,
+       CAST(cum_forced AS BIGINT) AS cum_forced_turnovers, round(w_win, 6) AS w_win, round(cum_w_win / nullif(games, 0), 6) AS cum_w_win_per_game,
+       round(m_points / 1e6, 4) AS m_points, round(cum_m_points / 1e6, 4) AS cum_m_points, round(cum_m_points_allowed / nullif(games, 0) / 1e6, 4) AS cum_m_points_allowed_per_game,
+       round(log_votes, 6) AS log_votes, round(lag_log, 6) AS lag_log_votes, round(v_yards, 4) AS v_yards,
+       round(sum(coalesce(v_yards, 0)) {_W}, 4) AS cum_v_yards, round(sum(v_win) {_W} / nullif(games, 0), 6) AS cum_v_win_per_game,
+       CAST(coalesce(lag(win) OVER (PARTITION BY team, year ORDER BY week), 0) AS DOUBLE) AS lag_win,
+       round(coalesce(lag(w_loss) OVER (PARTITION BY team, year ORDER BY week), 0), 6) AS lag_w_loss,
+       round(coalesce(lag(v_win) OVER (PARTITION BY team, year ORDER BY week), 0), 6) AS lag_v_win
+FROM voted"""
+
+# output column -> decimals (None: as it is), scaled by a million where listed in _MILLIONS
+_SHOWN = {
+    **dict.fromkeys(["team", "year", "week", "conference", "opponent", "points", "points_allowed", "win", "loss", "yards", "plays", "redzone_drives", "possessions"]),
+    "possession_minutes": 6, "allowed_yards": None, "forced_turnovers": None, "games": None, "cum_win": None, "cum_margin": 2, "cum_win_rate": 6,
+    "cum_points_per_game": 6, "cum_yards_per_play": 6, "cum_allowed_yards_per_game": 6, "cum_fourth_down_rate": 6, "cum_redzone_drives": None,
+    "cum_possession_minutes_per_game": 6, "cum_forced_turnovers": None, "w_win": 6, "cum_w_win_per_game": 6, "m_points": 4, "cum_m_points": 4,
+    "cum_m_points_allowed_per_game": 4, "log_votes": 6, "lag_log_votes": 6, "v_yards": 4, "cum_v_yards": 4, "cum_v_win_per_game": 6,
+    "lag_win": None, "lag_w_loss": 6, "lag_v_win": 6,
+}
+_MILLIONS = ("m_points", "cum_m_points", "cum_m_points_allowed_per_game")
+
+
+@query("poll_features", _FEATURE_SQL)
+def poll_features(spark, sf):
+    """The flagship: plays to vote-weighted season features."""
+    def shown(name, digits):
+        c = F.col(name) / 1e6 if name in _MILLIONS else F.col(name)
+        return (c if digits is None else F.round(c, digits)).alias(name)
+
+    return features(spark, sf, list(_SHOWN)).select(*[shown(n, d) for n, d in _SHOWN.items()])
+
+
+@query("stacked_model")
+def stacked_model(spark, sf):
+    """The last month's votes predicted from the months before, as a rank report."""
+    wanted = [*poll.IDENTITY, *poll.MODEL_COLUMNS, *[f"cum_{m}_per_game" for m in ("yards", "plays", "turnovers", "possession_minutes", "allowed_yards")]]
+    rows = features(spark, sf, list(dict.fromkeys(wanted)))
+    played = rows.where(F.col("opponent").isNotNull())
+    table_, names = poll_model.model_table(played, poll_model.quick())
+    target = latest_period(table_, "year", "week", ahead=0)
+    return poll_model.rank_report(poll_model.predict_poll(table_, names, target, poll_model.quick()), poll_model.quick())

@@ -51,7 +51,7 @@ _RUN = "OVER (PARTITION BY team, year ORDER BY week)"
           sum(coalesce(points, 0)) OVER w AS cum_points FROM dense WINDOW w AS (PARTITION BY team, year ORDER BY week))
       SELECT team, year, week, CAST(cum_games AS BIGINT) AS cum_games, CAST(cum_wins AS BIGINT) AS cum_wins,
              round(cum_points, 2) AS cum_points, round(cum_wins / nullif(cum_games, 0), 6) AS win_rate,
-             round(cum_points / nullif(cum_games, 0), 4) AS points_per_game FROM run""",
+             round(cum_points / nullif(cum_games, 0), 6) AS points_per_game FROM run""",
 )
 def running_ratios(spark, sf):
     dense = customer_calendar(spark, sf)
@@ -59,7 +59,7 @@ def running_ratios(spark, sf):
     return run.select(
         "team", "year", "week", "cum_games", "cum_wins", F.round("cum_points", 2).alias("cum_points"),
         F.round(safe_ratio("cum_wins", "cum_games"), 6).alias("win_rate"),
-        F.round(safe_ratio("cum_points", "cum_games"), 4).alias("points_per_game"),
+        F.round(safe_ratio("cum_points", "cum_games"), 6).alias("points_per_game"),
     )
 
 

@@ -31,6 +31,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fieldtally/{label}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write a stage's result to the shared folder and go on from the file.
+
+    Later stages then read only the columns they use, know the table's size, and do not
+    repeat the work after a lost executor.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the next stages start from files instead of a growing plan."""
     spark = df.sparkSession
