@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..operators import bayes, ensembles, metrics, models, neighbours, prepare, ranking, sets, tuning
+from ..session import store
 from ..sources.files import table
 from .registry import query
 from .tables import FEATURES, PLAYS_SQL, TABULAR_SQL, plays, tabular, vectors
@@ -123,8 +124,11 @@ def time_split(spark, sf):
 
 
 def labelled(spark, sf):
-    """Labelled documents with scaled features and language indicators."""
-    t = tabular(spark, sf).withColumn("label", F.col("quality").cast("double"))
+    """Labelled documents with scaled features and language indicators.
+
+    The features are counted over the whole texts once and stored; every fit reads numbers.
+    """
+    t = store(tabular(spark, sf).withColumn("label", F.col("quality").cast("double")), "labelled")
     hot = prepare.fit_onehot(t, ["lang"])
     scaled = prepare.fit_standardize(t, FEATURES).apply(t)
     return hot.apply(scaled), [*FEATURES, *hot.names()]

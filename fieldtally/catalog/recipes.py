@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.prepare import latest_period
-from ..plans import poll, poll_model
+from ..plans import cards as cards_plan
+from ..plans import listening, poll, poll_model, pyramid
+from ..plans import votes as votes_plan
 from ..sources.files import table
 from .registry import query
-from .tables import PLAY_KEY_SQL, PLAY_ORDER, PLAYS_SQL, plays
+from .tables import BLOCK_WEEK_SQL, PLAY_KEY_SQL, PLAY_ORDER, PLAYS_SQL, plays
 
 # Orders as games: how a line's flags read as a play type
 _PLAY_TYPE_SQL = """CASE
@@ -178,3 +180,161 @@ def stacked_model(spark, sf):
     table_, names = poll_model.model_table(played, poll_model.quick())
     target = latest_period(table_, "year", "week", ahead=0)
     return poll_model.rank_report(poll_model.predict_poll(table_, names, target, poll_model.quick()), poll_model.quick())
+
+
+def listening_export(spark, sf):
+    """Events in the shape of a listening export; errors are spoken items, some rows hold neither."""
+    kind = F.col("event_type")
+    return table(spark, sf, "events").select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.floor(F.col("value") * 1000).alias("ms_played"),
+        F.nullif(kind, F.lit("error")).alias("master_metadata_track_name"),
+        F.when(F.col("user_id") == 3, "Pink Noise").when(F.col("user_id") != 5, F.concat(F.lit("user "), F.col("user_id"))).alias("master_metadata_album_artist_name"),
+        F.col("props").alias("master_metadata_album_album_name"), F.col("event_id").cast("string").alias("reason_start"),
+        kind.alias("reason_end"), F.lit(False).alias("shuffle"), F.lit(False).alias("skipped"),
+        F.when((kind == "error") & (F.col("value") > 5), "show").alias("episode_show_name"),
+    )
+
+
+_HISTORY_SQL = f"""export AS (
+  SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, date_trunc('second', ts) AS played_at, CAST(floor(value * 1000) AS BIGINT) AS ms_played,
+         nullif(event_type, 'error') AS track_name, CASE WHEN user_id = 3 THEN 'Pink Noise' WHEN user_id <> 5 THEN 'user ' || user_id END AS artist,
+         CASE WHEN event_type = 'error' AND value > 5 THEN 'show' END AS show FROM events),
+history AS (
+  SELECT *, CASE WHEN track_name IS NULL THEN 'show/podcast/book' ELSE 'song' END AS type, CAST(played_at AS DATE) AS day_date, {BLOCK_WEEK_SQL.format(c='played_at')} AS week
+  FROM export WHERE NOT (track_name IS NULL AND show IS NULL)),
+rows AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY track_name NULLS FIRST, artist NULLS FIRST, ms_played, event_id) AS rn FROM history
+    WHERE year(played_at) >= 2014 AND (artist <> 'Pink Noise' OR artist IS NULL) AND year(played_at) <= 2024 AND ms_played <> 0) WHERE rn = 1)"""
+
+
+def history_rows(spark, sf):
+    clean = listening.clean_history(listening_export(spark, sf)).withColumns(
+        {"day_date": F.to_date("at"), "event_id": F.col("reason_start").cast("long")}
+    )
+    return listening.analysis_rows(clean, "2025-06-01", ["track_name", "artist", "ms_played", "event_id"])
+
+
+@query(
+    "listening_leaders",
+    f"""WITH {_HISTORY_SQL}, sums AS (SELECT artist, round(sum(ms_played / 1000), 6) AS seconds FROM rows WHERE type = 'song' GROUP BY 1),
+      top AS (SELECT artist FROM (SELECT artist, rank() OVER (ORDER BY seconds DESC) AS r FROM sums) WHERE r <= 10),
+      daily AS (SELECT artist, day_date, round(sum(ms_played / 1000), 6) AS seconds FROM rows
+                WHERE type = 'song' AND artist IN (SELECT artist FROM top) GROUP BY ALL)
+      SELECT artist, day_date, seconds, round(sum(seconds) OVER (PARTITION BY artist ORDER BY day_date) / 3600, 6) AS total_hours FROM daily""",
+)
+def listening_leaders(spark, sf):
+    return listening.cumulative_leaders(history_rows(spark, sf), "artist", 10, "day_date")
+
+
+@query(
+    "listening_weekly",
+    f"""WITH {_HISTORY_SQL} SELECT week, type, round(sum(ms_played / 1000), 6) AS seconds, round(sum(ms_played / 1000) / 60, 6) AS minutes,
+         round(sum(ms_played / 1000) / 3600, 6) AS hours, round(sum(ms_played / 1000) / 86400, 6) AS days, count(*) AS plays FROM rows GROUP BY ALL""",
+)
+def listening_weekly(spark, sf):
+    return listening.time_by(history_rows(spark, sf), ["week", "type"])
+
+
+@query(
+    "vote_map",
+    """WITH returns AS (
+         SELECT n_name AS state, c_mktsegment || ' ' || (c_custkey // 10) AS county_name, CASE o_orderstatus WHEN 'O' THEN 'DEMOCRAT' WHEN 'F' THEN 'REPUBLICAN' ELSE 'OTHER' END AS party,
+                CASE WHEN o_orderpriority = '1-URGENT' AND n_regionkey < 2 THEN 'TOTAL' ELSE o_orderpriority END AS mode,
+                floor(o_totalprice) AS candidatevotes, floor(o_totalprice) * 3 + 1000 AS totalvotes
+         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1997),
+       two AS (SELECT * FROM returns WHERE party <> 'OTHER'), states AS (SELECT DISTINCT state FROM two WHERE mode = 'TOTAL'),
+       totals AS (SELECT state, county_name, party, candidatevotes, totalvotes FROM two WHERE mode = 'TOTAL' UNION ALL
+                  SELECT state, county_name, party, sum(candidatevotes), avg(totalvotes) FROM two WHERE state NOT IN (SELECT state FROM states) GROUP BY ALL),
+       firsts AS (SELECT state, county_name, party, round_even(candidatevotes / totalvotes, 3) AS share, totalvotes FROM (
+         SELECT *, row_number() OVER (PARTITION BY state, county_name, party ORDER BY candidatevotes, totalvotes) AS rn FROM totals) WHERE rn = 1),
+       wide AS (SELECT state, county_name, max(share) FILTER (WHERE party = 'DEMOCRAT') AS d, max(share) FILTER (WHERE party = 'REPUBLICAN') AS r,
+                       max(totalvotes) FILTER (WHERE party = 'DEMOCRAT') AS tv FROM firsts GROUP BY ALL),
+       lead AS (SELECT *, CASE WHEN d IS NULL OR r IS NULL THEN NULL WHEN r >= d THEN -r ELSE d END AS diff FROM wide),
+       unit AS (SELECT *, CASE WHEN diff < 0 THEN 1 + diff ELSE diff END AS u FROM lead),
+       counties AS (SELECT DISTINCT n_name AS state, c_mktsegment || ' ' || (c_custkey // 10) AS county_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+       SELECT state, county_name, d AS "Democrat", r AS "Republican", round(tv, 4) AS "TotalVotes", u AS diff,
+         CASE WHEN u < 0 THEN NULL WHEN u < 0.05::DOUBLE THEN '95%+ Republican' WHEN u < 0.15::DOUBLE THEN '85% to 95% Republican' WHEN u < 0.25::DOUBLE THEN '75% to 85% Republican'
+              WHEN u < 0.35::DOUBLE THEN '65% to 75% Republican' WHEN u < 0.45::DOUBLE THEN '55% to 65% Republican' WHEN u < 0.55::DOUBLE THEN '55% Republican to 55% Democrat'
+              WHEN u < 0.65::DOUBLE THEN '55% to 65% Democrat' WHEN u < 0.75::DOUBLE THEN '65% to 75% Democrat' WHEN u < 0.85::DOUBLE THEN '75% to 85% Democrat'
+              WHEN u < 0.95::DOUBLE THEN '85% to 95% Democrat' WHEN u <= 1 THEN '95%+ Democrat' END AS map_class
+       FROM unit JOIN counties USING (state, county_name)""",
+)
+def vote_map(spark, sf):
+    c = table(spark, sf, "customer")
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    county = F.concat_ws(" ", "c_mktsegment", F.floor(F.col("c_custkey") / 10))
+    people = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_regionkey", F.col("n_name").alias("state"), county.alias("county_name"))
+    o = table(spark, sf, "orders")
+    status, votes_cast = F.col("o_orderstatus"), F.floor("o_totalprice").cast("double")
+    reported = (F.col("o_orderpriority") == "1-URGENT") & (F.col("n_regionkey") < 2)
+    returns = o.join(people, o.o_custkey == people.c_custkey).select(
+        "state", "county_name", F.year("o_orderdate").alias("year"),
+        F.when(status == "O", "DEMOCRAT").when(status == "F", "REPUBLICAN").otherwise("OTHER").alias("party"),
+        F.when(reported, "TOTAL").otherwise(F.col("o_orderpriority")).alias("mode"),
+        votes_cast.alias("candidatevotes"), (votes_cast * 3 + 1000).alias("totalvotes"),
+    )
+    out = votes_plan.vote_map(returns, people.select("state", "county_name").distinct(), 1997)
+    return out.withColumn("TotalVotes", F.round("TotalVotes", 4))
+
+
+@query(
+    "population_pyramid",
+    """WITH p AS (SELECT CASE l_returnflag WHEN 'A' THEN 'Male' ELSE 'Female' END AS g, CAST(l_quantity * 1.8 AS INTEGER) AS age FROM lineitem WHERE l_returnflag <> 'N'),
+       b AS (SELECT g, least(age // 5, 17) AS b FROM p)
+       SELECT g AS "Gender", CASE b WHEN 0 THEN 'Under 5' WHEN 17 THEN '85 and Up' ELSE (b * 5) || ' to ' || (b * 5 + 4) END AS "Age_Group",
+              CASE g WHEN 'Male' THEN -count(*) ELSE count(*) END AS "Count", CAST(b + 1 AS INTEGER) AS sort_key FROM b GROUP BY g, b
+       UNION ALL SELECT g, CASE b WHEN 0 THEN 'Under 5' WHEN 17 THEN '85 and Up' ELSE (b * 5) || ' to ' || (b * 5 + 4) END, 0, CAST(b + 1 AS INTEGER)
+       FROM (SELECT unnest(['Male', 'Female']) AS g) CROSS JOIN (SELECT unnest(range(18)) AS b) s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.g = g AND b.b = s.b)
+         AND (g, s.b) NOT IN (SELECT g, b FROM b)""",
+)
+def population_pyramid(spark, sf):
+    """Line items as people, suppliers as tracts: a wide table with one column per sex and age."""
+    sex = F.when(F.col("l_returnflag") == "A", "Male").otherwise("Female")
+    age = F.bround(F.col("l_quantity") * 1.8).cast("int")
+    people = table(spark, sf, "lineitem").where("l_returnflag <> 'N'").select("l_suppkey", sex.alias("sex"), age.alias("age"))
+
+    def covers(label):
+        if label == "Under_5":
+            return F.col("age") < 5
+        if label == "85_and_Up":
+            return F.col("age") >= 85
+        lo, _, hi = label.partition("_to_")
+        return F.col("age").between(int(lo), int(hi or lo))
+
+    columns = pyramid.age_columns()
+    counts = [
+        F.count_if((F.col("sex") == c.split("_", 1)[0]) & covers(c.split("_", 1)[1][:-1])).alias(c) for c in columns
+    ]
+    return pyramid.pyramid(people.groupBy("l_suppkey").agg(*counts))
+
+
+@query(
+    "card_colours",
+    """WITH c AS (SELECT p_name || ' ' || p_brand AS name, p_type, p_size, p_retailprice, year FROM part LEFT JOIN (
+                    SELECT l_partkey, min(CAST(year(l_shipdate) AS INTEGER)) AS year FROM lineitem GROUP BY 1) ON p_partkey = l_partkey
+                  WHERE p_type <> 'PROMO'),
+       g AS (SELECT name, min(year) AS y FROM c GROUP BY 1 HAVING count(year) = count(*)),
+       f AS (SELECT DISTINCT c.name, p_retailprice AS cmc, p_size, year, p_type, length(c.name) AS len FROM c JOIN g ON c.name = g.name AND year = y WHERE p_size <> 7),
+       k AS (SELECT *, p_size * 1.0::DOUBLE AS power, p_size * 2.0::DOUBLE AS toughness,
+                    CASE p_type WHEN 'SMALL' THEN 'White' WHEN 'LARGE' THEN 'Blue' WHEN 'ECONOMY' THEN 'Red' WHEN 'STANDARD' THEN 'Green' END AS colour FROM f)
+       SELECT year AS release_year, colour, count(*) AS num_new_cards, round(avg(power), 6) AS avg_power, round(avg(toughness), 6) AS avg_toughness,
+              round(avg(cmc), 6) AS avg_cmc, round(avg(len), 6) AS avg_text_len, round(sum(power) / sum(toughness), 6) AS power_per_toughness,
+              round(sum(power) / sum(cmc), 6) AS power_per_cost, round(sum(toughness) / sum(cmc), 6) AS toughness_per_cost,
+              round((sum(power) + sum(toughness)) / sum(cmc), 6) AS strength_per_cost, round((sum(power) + sum(toughness)) / sum(len), 6) AS strength_per_text
+       FROM k WHERE colour IS NOT NULL GROUP BY ALL""",
+)
+def card_colours(spark, sf):
+    """Parts as cards: the type is the colour, the size the strength, seven stands for unknown."""
+    p = table(spark, sf, "part")
+    size = F.col("p_size")
+    identity = F.create_map(*[F.lit(x) for kv in {"SMALL": "['W']", "LARGE": "['U']", "ECONOMY": "['R']", "STANDARD": "['G']", "MEDIUM": "['W', 'U']"}.items() for x in kv])
+    deck = p.select(
+        F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.concat(F.lit("set "), F.col("p_partkey")).alias("set"),
+        F.when(F.col("p_type") != "PROMO", "Creature").otherwise("Artifact").alias("type"), F.lit("normal").alias("layout"),
+        F.when(size == 7, "*").otherwise(size.cast("string")).alias("power"), (size * 2).cast("string").alias("toughness"),
+        F.get(F.array(identity[F.col("p_type")]), F.lit(0)).alias("color_identity"), F.concat_ws(" ", "p_name", "p_brand").alias("text"),
+        F.col("p_retailprice").alias("cmc"),
+    )
+    years = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min(F.year("l_shipdate")).alias("release_year"))
+    sets = years.select(F.concat(F.lit("set "), F.col("l_partkey")).alias("set_name"), "release_year")
+    return cards_plan.trends(cards_plan.with_colour(cards_plan.first_printings(deck, sets)), ["release_year", "colour"])

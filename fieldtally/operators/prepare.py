@@ -6,15 +6,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseMatrix
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_ratio
@@ -92,50 +93,51 @@ def fit_onehot(df: DataFrame, columns: Sequence[str], max_levels: int = 10_000)
 class Components:
     """Principal directions with a fixed sign: the largest loading of each is positive."""
 
-    scaling: Scaling | None
     columns: list[str]
+    model: PipelineModel
+    signs: list[float]
+    stretch: float
     loadings: list[list[float]]
     explained: list[float]
 
     def apply(self, df: DataFrame, prefix: str = "PC") -> DataFrame:
-        ready = self.scaling.apply(df.select("*", *[F.col(c).alias(f"__z_{c}") for c in self.columns])) if self.scaling else df.select("*", *[F.col(c).alias(f"__z_{c}") for c in self.columns])
-        packed = ready.withColumn("__v", F.array(*[F.col(f"__z_{c}").cast("double") for c in self.columns]))
-        scores = {f"{prefix}{i + 1}": dot(F.col("__v"), w) for i, w in enumerate(self.loadings)}
-        return packed.withColumns(scores).drop("__v", *[f"__z_{c}" for c in self.columns])
-
-
-def dot(vector: Column, weights: Sequence[float]) -> Column:
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.aggregate(F.zip_with(vector, w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+        out = self.model.transform(df).withColumn("__s", vector_to_array("__s"))
+        scores = [
+            (F.get("__s", F.lit(i)) * F.lit(sign * self.stretch)).alias(f"{prefix}{i + 1}") for i, sign in enumerate(self.signs)
+        ]
+        return out.select(*df.columns, *scores)
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str], k: int, scale: bool = True, center: bool = True) -> Components:
-    """k principal directions by Spark ML.
+    """k principal directions by Spark ML, whose only driver-side matrix is columns x columns.
 
-    ``scale`` standardises with the population sd first.  ``center=False`` finds the
-    directions of the raw second moments: rows and their mirror images have mean zero.
+    ``scale`` standardises with the population sd; Spark's scaler uses the sample sd, which
+    stretches all scores alike and is undone on them.  ``center=False`` finds the directions
+    of the raw second moments: rows together with their mirror images have mean zero.
     """
     columns = list(columns)
-    scaling = None
-    z = df.select(*[F.col(c).cast("double").alias(f"__z_{c}") for c in columns])
-    names = [f"__z_{c}" for c in columns]
+    assemble_step = VectorAssembler(inputCols=columns, outputCol="__v")
+    stretch, steps, source = 1.0, [assemble_step], "__v"
+    if scale or center:
+        scaler = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=scale)
+        steps, source = [assemble_step, scaler], "__z"
     if scale:
-        scaling = fit_standardize(z, names)
-        z = scaling.apply(z)
-    elif center:
-        row = z.agg(*[F.avg(c).alias(c) for c in names]).first()
-        scaling = Scaling({c: row[c] for c in names}, {c: 1.0 for c in names})
-        z = scaling.apply(z)
-    else:
-        z = z.unionByName(z.select(*[(-F.col(c)).alias(c) for c in names]))
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__v"), PCA(k=k, inputCol="__v", outputCol="__s")])
-    model = pipeline.fit(z).stages[-1]
-    matrix: DenseMatrix = model.pc
-    loadings = []
-    for column in matrix.toArray().T.tolist():
-        peak = max(column, key=abs)
-        loadings.append([-x for x in column] if peak < 0 else column)
-    return Components(scaling, columns, loadings, model.explainedVariance.toArray().tolist())
+        n = df.count()
+        stretch = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+    prepared = Pipeline(stages=steps).fit(df)
+    ready = prepared.transform(df).select(F.col(source).alias("__in"))
+    if not (scale or center):
+        flip = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * len(columns)), inputCol="__in", outputCol="__out")
+        ready = ready.unionByName(flip.transform(ready).select(F.col("__out").alias("__in")))
+    model = PCA(k=k, inputCol="__in", outputCol="__s").fit(ready)
+    model = model.setInputCol(source)
+    loadings, signs = [], []
+    for column in model.pc.toArray().T.tolist():
+        sign = -1.0 if max(column, key=abs) < 0 else 1.0
+        signs.append(sign)
+        loadings.append([sign * x for x in column])
+    chain = PipelineModel(stages=[*prepared.stages, model])
+    return Components(columns, chain, signs, stretch, loadings, model.explainedVariance.toArray().tolist())
 
 
 def pairwise_products(df: DataFrame, pairs: Sequence[str] | None = None, columns: Sequence[str] = (), digits: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators.ensembles import fit_stack
 from ..operators.models import kernel_features, regressor
 from ..operators.prepare import fit_pca, fit_standardize, time_split
 from ..operators.pruning import complete_rows, prune_columns
-from ..session import cut_lineage
+from ..session import store
 from .poll import IDENTITY, KEYS, MODEL_COLUMNS, TARGET
 from .report import compare_ranks
 
@@ -53,7 +53,8 @@ def model_table(features: DataFrame, settings: Settings = Settings(), components
 
     Returns the table and its feature names.  Columns lost to pruning are left out.
     """
-    pruned = complete_rows(prune_columns(features, settings.null_limit, inclusive=False))
+    stored = store(features, "features")
+    pruned = complete_rows(prune_columns(stored, settings.null_limit, inclusive=False))
     kept = set(pruned.columns)
     source = [c for c in (components_from or numeric_columns(pruned, IDENTITY)) if c in kept]
     k = min(settings.components, len(source))
@@ -74,7 +75,7 @@ def predict_poll(table: DataFrame, names: Sequence[str], target: Mapping[str, in
     scaled = scaling.apply(table.select("*", *[F.col(n).alias(f"__k_{n}") for n in names]))
     # standardised copies feed the kernel; the plain columns feed the trees
     renamed = scaled.withColumnsRenamed({n: f"__z_{n}" for n in names}).withColumnsRenamed({f"__k_{n}": n for n in names})
-    ready = cut_lineage(kernel_features(renamed, z, settings.kernel_gamma, settings.kernel_size, output="__kernel").drop(*z))
+    ready = store(kernel_features(renamed, z, settings.kernel_gamma, settings.kernel_size, output="__kernel").drop(*z), "model-input")
     train, test = time_split(ready, target)
 
     def trees(kind, params):
