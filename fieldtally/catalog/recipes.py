@@ -198,10 +198,10 @@ def listening_export(spark, sf):
 _HISTORY_SQL = f"""export AS (
   SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, date_trunc('second', ts) AS played_at, CAST(floor(value * 1000) AS BIGINT) AS ms_played,
          nullif(event_type, 'error') AS track_name, CASE WHEN user_id = 3 THEN 'Pink Noise' WHEN user_id <> 5 THEN 'user ' || user_id END AS artist,
-         CASE WHEN event_type = 'error' AND value > 5 THEN 'show' END AS show FROM events),
+         CASE WHEN event_type = 'error' AND value > 5 THEN 'show' END AS spoken FROM events),
 history AS (
   SELECT *, CASE WHEN track_name IS NULL THEN 'show/podcast/book' ELSE 'song' END AS type, CAST(played_at AS DATE) AS day_date, {BLOCK_WEEK_SQL.format(c='played_at')} AS week
-  FROM export WHERE NOT (track_name IS NULL AND show IS NULL)),
+  FROM export WHERE NOT (track_name IS NULL AND spoken IS NULL)),
 rows AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY track_name NULLS FIRST, artist NULLS FIRST, ms_played, event_id) AS rn FROM history
     WHERE year(played_at) >= 2014 AND (artist <> 'Pink Noise' OR artist IS NULL) AND year(played_at) <= 2024 AND ms_played <> 0) WHERE rn = 1)"""
