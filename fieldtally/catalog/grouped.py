@@ -130,9 +130,8 @@ def conditional_distinct(spark, sf):
         {"d": F.when(F.col("stage") != 7, F.col("discount")), "dr": F.when(F.col("tax") > 0.01, F.col("drive"))}
     )
     near = F.col("d") <= 0.02
-    plain = aggregates.distinct_where(p, MONTH, "dr", {"redzone": near, "redzone_rush": near & (F.col("kind") == "R")})
-    with_null = aggregates.distinct_where(p, MONTH, "dr", {"redzone_with_null": near}, count_null=True)
-    return plain.join(with_null, MONTH)
+    conditions = {"redzone": near, "redzone_rush": near & (F.col("kind") == "R"), "redzone_with_null": near}
+    return aggregates.distinct_where(p, MONTH, "dr", conditions, count_null=["redzone_with_null"])
 
 
 @query(

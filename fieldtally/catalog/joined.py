@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, joins, ranking
+from ..session import store
 from ..sources.files import table
 from .registry import query
 from .tables import LISTENS_SQL, TEAM_MONTHS_SQL, VOTES_SQL, PLAYS_SQL, listens, plays, team_months, votes
@@ -133,8 +134,9 @@ def customer_calendar(spark, sf):
         )
         .join(c.withColumnRenamed("c_custkey", "team"), "team")
     )
+    # the grid and the facts both come from it
     return joins.densify(
-        facts, ["team", "year", "conference"], "week", 1, 12, zero_fill=["win_flag"], null_safe=["conference"]
+        store(facts, "customer-months"), ["team", "year", "conference"], "week", 1, 12, zero_fill=["win_flag"], null_safe=["conference"]
     )
 
 
@@ -150,6 +152,7 @@ def calendar_densify(spark, sf):
      FROM months a LEFT JOIN months b ON a.opponent = b.team AND a.year = b.year AND a.week = b.week""",
 )
 def partner_self_join(spark, sf):
-    m = team_months(spark, sf).select("team", "opponent", "year", "week", "points", "win_flag")
+    months = team_months(spark, sf).select("team", "opponent", "year", "week", "points", "win_flag")
+    m = store(months, "months")
     out = joins.partner_rows(m, "team", "opponent", ["year", "week"], ["points", "win_flag"])
     return out.drop("win_flag")

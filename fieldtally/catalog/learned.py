@@ -118,6 +118,7 @@ def pairwise_interactions(spark, sf):
 )
 def time_split(spark, sf):
     months = plays(spark, sf).groupBy("team", "year", "week").agg(F.round(F.sum("points"), 2).alias("points"))
+    months = store(months, "months")
     target = prepare.latest_period(months, "year", "week", ahead=0)
     train, test = prepare.time_split(months, target)
     return sets.bind_rows(train.withColumn("part", F.lit("train")), test.withColumn("part", F.lit("test")))
@@ -148,7 +149,7 @@ def cv_grid(spark, sf):
     estimator = models.classifier("logistic", maxIter=20)
     searched = tuning.repeated_search(
         df, 2, estimator=estimator, grid={"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]},
-        evaluator=BinaryClassificationEvaluator(), id_column="doc_id", folds=3,
+        evaluator=BinaryClassificationEvaluator(), id_column="doc_id", folds=3, parallelism=8,
         stages=[VectorAssembler(inputCols=features, outputCol="features")],
     )
     return tuning.results_table(searched)
@@ -333,6 +334,32 @@ def mlp_classifier(spark, sf):
     return metrics.class_report(predicted, "label", "prediction", digits=4)
 
 
+@query("multiclass_models")
+def multiclass_models(spark, sf):
+    """Several classes: multinomial regression, and boosted trees one class against the rest."""
+    v = vectors(spark, sf).withColumn("label", F.col("label").cast("double")).cache()
+    kinds = {"multinomial": {"maxIter": 20}, "boosting_multiclass": {"maxIter": 3, "maxDepth": 3}}
+    out = []
+    for kind, params in kinds.items():
+        predicted = models.fit(v, EMBEDDED, models.classifier(kind, **params)).transform(v)
+        out.append(metrics.class_report(predicted, "label", "prediction", digits=4).select(F.lit(kind).alias("model"), "*"))
+    return together(out)
+
+
+@query(
+    "attached_predictions",
+    """WITH f AS (SELECT regr_slope(ln(l_extendedprice), l_quantity) AS a, regr_intercept(ln(l_extendedprice), l_quantity) AS b FROM lineitem)
+       SELECT l_orderkey AS "ID", round(exp(b + a * l_quantity), 4) AS prediction FROM lineitem, f""",
+)
+def attached_predictions(spark, sf):
+    """A model of the log price; predictions back on the price scale, next to their ids."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", F.ln("l_extendedprice").alias("log_price"))
+    model = models.fit(li, ["l_quantity"], models.regressor("linear", label="log_price"))
+    predicted = models.attach_predictions(model, li, ["l_orderkey"], log_scale=True)
+    rounded = predicted.withColumn("predicted", F.round("predicted", 4))
+    return models.submission(rounded, "l_orderkey", "predicted", {"id": "ID", "value": "prediction"})
+
+
 @query("ranked_importance")
 def ranked_importance(spark, sf):
     df, features = labelled(spark, sf)

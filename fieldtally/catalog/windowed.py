@@ -10,6 +10,7 @@ from ..functions import calendar
 from ..functions.nulls import safe_ratio
 from ..operators import joins, ranking, windows
 from ..operators.profile import correlations_with
+from ..session import store
 from ..sources.files import table
 from .joined import CALENDAR_SQL, customer_calendar
 from .registry import query
@@ -35,10 +36,9 @@ def running_totals(spark, sf):
        FROM listens""",
 )
 def running_totals_long(spark, sf):
-    """Per event type over raw events: five long histories, summed day by day."""
-    out = windows.running_totals_long(
-        listens(spark, sf), ["type"], ["ts", "event_id"], {"so_far": "seconds"}, F.to_date("ts")
-    )
+    """Per event type over raw events: a few long histories, summed hour by hour."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    out = windows.running_totals_long(listens(spark, sf), ["type"], ["ts", "event_id"], {"so_far": "seconds"}, hour)
     return out.select("event_id", "artist", F.round("so_far", 4).alias("so_far"))
 
 
@@ -207,7 +207,8 @@ _WEIGHT_SQL = f"""{TEAM_MONTHS_SQL},
 
 
 def rated_months(spark, sf):
-    m = team_months(spark, sf)
+    # the months meet themselves: stored once instead of summed on both sides
+    m = store(team_months(spark, sf), "months")
     run = windows.running_totals(
         m, SEASON, ORDER,
         {"wins": "win_flag", "games": F.col("opponent").isNotNull().cast("int"), "cum_points": "points", "cum_allowed": "allowed_points",
@@ -272,7 +273,7 @@ def poll_points(spark, sf):
 def vote_weighting(spark, sf):
     from ..functions.numeric import floored_log
 
-    m = joins.left_attach(team_months(spark, sf), poll_points(spark, sf), ["team", "year", "week"])
+    m = store(joins.left_attach(team_months(spark, sf), poll_points(spark, sf), ["team", "year", "week"]), "months")
     logged = m.withColumn("log_votes", floored_log(F.coalesce("poll_points", F.lit(0.0))))
     lags = windows.lagged(SEASON, ORDER, {"lagged_log": ("log_votes", math.log(0.1))})
     both = joins.partner_rows(logged.withColumns(lags), "team", "opponent", ["year", "week"], ["lagged_log"])

@@ -56,14 +56,16 @@ def distinct_where(
     group: Sequence[str],
     item: str,
     conditions: Mapping[str, Column],
-    count_null: bool = False,
+    count_null: bool | Sequence[str] = False,
 ) -> DataFrame:
     """Distinct items per group under several conditions.
 
     The rows collapse to one flag row per (group, item) first, so a hot group is spread over
-    its items and several conditions cost no row multiplication.  With ``count_null`` a
-    missing condition, or a true one on a missing item, counts as one more value.
+    its items and several conditions cost no row multiplication.  With ``count_null`` (for
+    all or for the named conditions) a missing condition, or a true one on a missing item,
+    counts as one more value.
     """
+    null_names = set(conditions) if count_null is True else set(count_null or ())
     flags = []
     for name, cond in conditions.items():
         flags.append(F.max(F.when(cond, 1).otherwise(0)).alias(name))
@@ -72,7 +74,7 @@ def distinct_where(
     out = []
     for name in conditions:
         known = F.sum(F.when(F.col(item).isNotNull(), F.col(name)).otherwise(0))
-        if count_null:
+        if name in null_names:
             missing = F.max(
                 F.greatest(F.col(f"__null_{name}"), F.when(F.col(item).isNull(), F.col(name)).otherwise(0))
             )

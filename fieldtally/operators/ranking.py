@@ -57,6 +57,7 @@ def average_ranks(df: DataFrame, column: str, name: str, blocks: int = 200) -> D
     come from a table of at most ``blocks + 1`` rows, distinct values are ranked inside
     their block, and the ranks are joined back by value; no task sorts the whole table and
     a value shared by many rows is counted before it is shuffled.  Missing values get no rank.
+    ``df`` is read four times: store it first if it is costly.
     """
     known = df.where(F.col(column).isNotNull())
     probs = [i / blocks for i in range(1, blocks)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import average_ranks
+from ..session import store
 
 # column titles of the printed report: fixed values
 REPORT_TITLES = {
@@ -18,8 +19,13 @@ REPORT_TITLES = {
 
 
 def compare_ranks(df: DataFrame, ids: Sequence[str], predicted: str, actual: str, cut: int = 25) -> DataFrame:
-    """Average-tie ranks of two columns, kept where the first is within ``cut``."""
-    ranked = average_ranks(average_ranks(df, predicted, "predicted_rank"), actual, "actual_rank")
+    """Average-tie ranks of two columns, kept where the first is within ``cut``.
+
+    Ranking reads its input several times, so the input and the first ranking are stored.
+    """
+    scores = store(df.select(*ids, predicted, actual), "scores")
+    first = store(average_ranks(scores, predicted, "predicted_rank").select(*ids, actual, "predicted_rank"), "ranked")
+    ranked = average_ranks(first, actual, "actual_rank")
     gap = F.col("actual_rank") - F.col("predicted_rank")
     return (
         ranked.where(F.col("predicted_rank") <= cut)

@@ -164,7 +164,8 @@ def test_poll_features(spark):
     assert b3.redzone_drives == 1
     # opponent strength: B's running rate in week 3 is one win in two games
     assert (a1.w_win, a3.w_loss, b3.w_win) == (0.0, 0.5, 0.5)
-    assert (a1.m_points, a1.cum_m_points, a3.cum_margin_product) == (10.0 * 10.0, 100.0, -36.0)
+    # B allowed 7 by its own last play; margins so far are 6 and -3
+    assert (a1.m_points, a1.cum_m_points, a3.cum_margin_product) == (70.0, 70.0, -18.0)
     # only A has votes, in week 1; the floor's log elsewhere
     assert (round(a1.log_votes, 6), round(a2.lag_log_votes, 6), round(a1.lag_log_votes, 6)) == (4.60517, 4.60517, -2.302585)
     assert round(b3.v_points, 6) == round(2.0 * -2.302585093, 6)
