@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions.nulls import safe_ratio
+from ..functions.numeric import duration_chain
 from ..operators import aggregates, profile, windows
 from ..sources.files import table
 from .registry import query
@@ -18,19 +19,14 @@ MONTH = ["team", "year", "week"]
     "group_basic",
     f"""WITH {LISTENS_SQL}, sums AS (
         SELECT CAST(year(ts) AS INTEGER) AS year, {BLOCK_WEEK_SQL.format(c='ts')} AS week, type,
-               sum(seconds) AS s, avg(seconds) AS m, count(*) AS plays FROM listens GROUP BY ALL)
-      SELECT year, week, type, round(s, 6) AS seconds, round(s / 60, 6) AS minutes, round(s / 3600, 6) AS hours,
-             round(s / 86400, 6) AS days, round(m, 6) AS mean_seconds, plays FROM sums""",
+               round(sum(seconds), 6) AS seconds, round(avg(seconds), 6) AS mean_seconds, count(*) AS plays FROM listens GROUP BY ALL)
+      SELECT *, seconds / 60 AS minutes, seconds / 60 / 60 AS hours, seconds / 60 / 60 / 24 AS days FROM sums""",
 )
 def group_basic(spark, sf):
-    from ..functions.numeric import duration_chain
-
-    rows = listens(spark, sf)
-    sums = rows.groupBy(F.year("ts").alias("year"), calendar.block_week("ts").alias("week"), "type").agg(
-        F.sum("seconds").alias("s"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.count(F.lit(1)).alias("plays")
+    sums = listens(spark, sf).groupBy(F.year("ts").alias("year"), calendar.block_week("ts").alias("week"), "type").agg(
+        F.round(F.sum("seconds"), 6).alias("seconds"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.count(F.lit(1)).alias("plays")
     )
-    units = [c.alias(n) for n, c in duration_chain("s").items()]
-    return sums.select("year", "week", "type", F.round("s", 6).alias("seconds"), *units, "mean_seconds", "plays")
+    return sums.withColumns(duration_chain("seconds"))
 
 
 @query(

@@ -220,7 +220,7 @@ def history_rows(spark, sf):
       top AS (SELECT artist FROM (SELECT artist, rank() OVER (ORDER BY seconds DESC) AS r FROM sums) WHERE r <= 10),
       daily AS (SELECT artist, day_date, round(sum(ms_played / 1000), 6) AS seconds FROM rows
                 WHERE type = 'song' AND artist IN (SELECT artist FROM top) GROUP BY ALL)
-      SELECT artist, day_date, seconds, round(sum(seconds) OVER (PARTITION BY artist ORDER BY day_date) / 3600, 6) AS total_hours FROM daily""",
+      SELECT artist, day_date, seconds, round(sum(seconds) OVER (PARTITION BY artist ORDER BY day_date), 6) / 3600 AS total_hours FROM daily""",
 )
 def listening_leaders(spark, sf):
     return listening.cumulative_leaders(history_rows(spark, sf), "artist", 10, "day_date")
@@ -228,8 +228,8 @@ def listening_leaders(spark, sf):
 
 @query(
     "listening_weekly",
-    f"""WITH {_HISTORY_SQL} SELECT week, type, round(sum(ms_played / 1000), 6) AS seconds, round(sum(ms_played / 1000) / 60, 6) AS minutes,
-         round(sum(ms_played / 1000) / 3600, 6) AS hours, round(sum(ms_played / 1000) / 86400, 6) AS days, count(*) AS plays FROM rows GROUP BY ALL""",
+    f"""WITH {_HISTORY_SQL}, sums AS (SELECT week, type, round(sum(ms_played / 1000), 6) AS seconds, count(*) AS plays FROM rows GROUP BY ALL)
+      SELECT week, type, seconds, seconds / 60 AS minutes, seconds / 60 / 60 AS hours, seconds / 60 / 60 / 24 AS days, plays FROM sums""",
 )
 def listening_weekly(spark, sf):
     return listening.time_by(history_rows(spark, sf), ["week", "type"])

@@ -18,11 +18,11 @@ def floored_log(c: str | Column, floor: float = 0.1) -> Column:
     return F.ln(F.when(c == 0, F.lit(floor)).otherwise(c))
 
 
-def duration_chain(seconds: str | Column, digits: int = 6) -> dict[str, Column]:
-    """Seconds as minutes, hours and days."""
-    s = as_col(seconds)
-    steps = {"minutes": 60.0, "hours": 3600.0, "days": 86400.0}
-    return {name: F.round(s / F.lit(size), digits) for name, size in steps.items()}
+def duration_chain(seconds: str | Column) -> dict[str, Column]:
+    """Seconds as minutes, hours and days, each made from the one before."""
+    minutes = as_col(seconds) / F.lit(60.0)
+    hours = minutes / F.lit(60.0)
+    return {"minutes": minutes, "hours": hours, "days": hours / F.lit(24.0)}
 
 
 def signed_lead(first: str | Column, second: str | Column) -> Column:

@@ -61,9 +61,9 @@ def analysis_rows(history: DataFrame, reference_date: str, tie: Sequence[str] =
 
 def time_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Listening time per key in all units, and the number of plays."""
-    sums = rows.groupBy(*keys).agg(F.sum("seconds").alias("__s"), F.count(F.lit(1)).alias("plays"))
-    units = [c.alias(n) for n, c in duration_chain("__s").items()]
-    return sums.select(*keys, F.round("__s", 6).alias("seconds"), *units, "plays")
+    sums = rows.groupBy(*keys).agg(F.round(F.sum("seconds"), 6).alias("seconds"), F.count(F.lit(1)).alias("plays"))
+    units = [c.alias(n) for n, c in duration_chain("seconds").items()]
+    return sums.select(*keys, "seconds", *units, "plays")
 
 
 def leaders(rows: DataFrame, entity: Sequence[str], n: int, period: Sequence[str] = ()) -> DataFrame:
@@ -95,4 +95,4 @@ def cumulative_leaders(rows: DataFrame, entity: str = "artist", n: int = 10, per
     """Running hours of the n all-time leaders."""
     monthly = drilldown(rows, leaders(rows, [entity], n), [entity], [period])
     run = running_totals(monthly, [entity], [period], {"__t": "seconds"})
-    return run.select(entity, period, "seconds", F.round(F.col("__t") / 3600, 6).alias("total_hours"))
+    return run.select(entity, period, "seconds", (F.round("__t", 6) / 3600).alias("total_hours"))

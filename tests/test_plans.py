@@ -35,7 +35,7 @@ def test_listening_from_json(spark):
     ]
     assert [(r.artist, r.minutes) for r in listening.leaders(rows, ["artist"], 1).collect()] == [("B", 2.0)]
     run = listening.cumulative_leaders(rows, "artist", 2).orderBy("artist").collect()
-    assert [(r.artist, r.total_hours) for r in run] == [("A", 0.016667), ("B", 0.033333)]
+    assert [(r.artist, r.total_hours) for r in run] == [("A", 60 / 3600), ("B", 120 / 3600)]
     assert listening.labelled_leaders(rows, "album", 1).first().label == "bl, B"
     assert listening.variety(rows, "artist").first().distinct_count == 2
 
