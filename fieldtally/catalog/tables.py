@@ -56,17 +56,22 @@ PLAYS_SQL = """plays AS (
 PLAY_KEY_SQL = "ROW(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
 
 
+def whole(c):
+    """Whole units of a sum of cents; sums of these are exact in any order."""
+    return F.floor(c + 0.005).cast("double")
+
+
 def team_months(spark: SparkSession, sf: str) -> DataFrame:
     """One row per team and month: its last opponent, points, yards, allowed sums, flags."""
     p = plays(spark, sf)
     offence = p.groupBy("team", "year", "week").agg(
         F.max_by("opp", F.struct(*PLAY_ORDER)).alias("last_opp"),
-        F.round(F.sum("points"), 2).alias("points"),
+        whole(F.sum("points")).alias("points"),
         F.round(F.sum("yards"), 2).alias("yards"),
         F.count(F.lit(1)).alias("plays"),
     )
     defence = p.groupBy(F.col("opp").alias("team"), "year", "week").agg(
-        F.round(F.sum("points"), 2).alias("allowed_points"), F.round(F.sum("yards"), 2).alias("allowed_yards")
+        whole(F.sum("points")).alias("allowed_points"), F.round(F.sum("yards"), 2).alias("allowed_yards")
     )
     both = offence.join(defence, ["team", "year", "week"], "left")
     # a team that met itself has no opponent that month
@@ -83,12 +88,12 @@ TEAM_MONTHS_SQL = (
     PLAYS_SQL
     + f""",
 offence AS (
-  SELECT team, year, week, arg_max(opp, {PLAY_KEY_SQL}) AS last_opp, round(sum(points), 2) AS points,
+  SELECT team, year, week, arg_max(opp, {PLAY_KEY_SQL}) AS last_opp, floor(sum(points) + 0.005) AS points,
          round(sum(yards), 2) AS yards, count(*) AS plays
   FROM plays GROUP BY ALL
 ),
 defence AS (
-  SELECT opp AS team, year, week, round(sum(points), 2) AS allowed_points, round(sum(yards), 2) AS allowed_yards
+  SELECT opp AS team, year, week, floor(sum(points) + 0.005) AS allowed_points, round(sum(yards), 2) AS allowed_yards
   FROM plays GROUP BY ALL
 ),
 months AS (

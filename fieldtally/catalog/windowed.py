@@ -200,9 +200,9 @@ def dedupe_keep_first(spark, sf):
 
 
 _WEIGHT_SQL = f"""{TEAM_MONTHS_SQL},
-  run AS (SELECT *, round(sum(win_flag) {_RUN} / nullif(count(opponent) {_RUN}, 0), 6) AS win_rate,
-                 round(sum(points) {_RUN} / nullif(count(opponent) {_RUN}, 0), 6) AS avg_points,
-                 round(sum(coalesce(allowed_points, 0)) {_RUN} / nullif(count(opponent) {_RUN}, 0), 6) AS avg_allowed,
+  run AS (SELECT *, sum(win_flag) {_RUN} / nullif(count(opponent) {_RUN}, 0) AS win_rate,
+                 sum(points) {_RUN} / nullif(count(opponent) {_RUN}, 0) AS avg_points,
+                 sum(coalesce(allowed_points, 0)) {_RUN} / nullif(count(opponent) {_RUN}, 0) AS avg_allowed,
                  sum(points - coalesce(allowed_points, 0)) {_RUN} AS margin FROM months)"""
 
 
@@ -215,15 +215,15 @@ def rated_months(spark, sf):
          "margin": F.col("points") - F.coalesce("allowed_points", F.lit(0))},
     )
     rates = {"win_rate": "wins", "avg_points": "cum_points", "avg_allowed": "cum_allowed"}
-    return run.withColumns({n: F.round(safe_ratio(c, "games"), 6) for n, c in rates.items()})
+    return run.withColumns({n: safe_ratio(c, "games") for n, c in rates.items()})
 
 
 @query(
     "partner_weighting",
     f"""WITH {_WEIGHT_SQL}
       SELECT a.team, a.year, a.week, a.opponent, a.points * b.win_rate AS weighted_points, a.yards * b.win_rate AS weighted_yards,
-             a.win_flag * b.win_rate AS weighted_win_flag, round(a.points / 1000 * b.avg_allowed, 2) AS points_vs_allowed,
-             round(a.allowed_points / 1000 * b.avg_points, 2) AS allowed_vs_points, round(a.margin / 1000 * (b.margin / 1000), 2) AS margin_product
+             a.win_flag * b.win_rate AS weighted_win_flag, a.points * b.avg_allowed AS points_vs_allowed,
+             a.allowed_points * b.avg_points AS allowed_vs_points, a.margin * b.margin AS margin_product
       FROM run a LEFT JOIN run b ON a.opponent = b.team AND a.year = b.year AND a.week = b.week""",
 )
 def partner_weighting(spark, sf):
@@ -234,9 +234,9 @@ def partner_weighting(spark, sf):
         "team", "year", "week", "opponent",
         (F.col("points") * rate).alias("weighted_points"), (F.col("yards") * rate).alias("weighted_yards"),
         (F.col("win_flag") * rate).alias("weighted_win_flag"),
-        F.round(F.col("points") / 1000 * F.col("avg_allowed_opponent"), 2).alias("points_vs_allowed"),
-        F.round(F.col("allowed_points") / 1000 * F.col("avg_points_opponent"), 2).alias("allowed_vs_points"),
-        F.round(F.col("margin") / 1000 * (F.col("margin_opponent") / 1000), 2).alias("margin_product"),
+        (F.col("points") * F.col("avg_allowed_opponent")).alias("points_vs_allowed"),
+        (F.col("allowed_points") * F.col("avg_points_opponent")).alias("allowed_vs_points"),
+        (F.col("margin") * F.col("margin_opponent")).alias("margin_product"),
     )
 
 
