@@ -70,15 +70,17 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = 1_000_000)
     for c in columns:
         total[c] = width[c] = row[c]
     while True:
-        wide = [c for c in columns if width[c] > small and brackets[c][0] != brackets[c][1] or width[c] > small and brackets[c][0] is None]
+        wide = [c for c in columns if width[c] > small and (brackets[c][0] is None or brackets[c][0] != brackets[c][1])]
         if not wide:
             break
         asks = []
         for c in wide:
-            middle = ((total[c] - 1) / 2 - below[c]) / max(width[c] - 1, 1)
-            probs = [max(0.0, middle - 3e-4), min(1.0, middle + 3e-4)]
+            # the bracket must hold both middle positions, so it reaches just past each
+            lower, upper = (total[c] - 1) // 2 - below[c], total[c] // 2 - below[c]
+            probs = [max(0.0, lower / width[c] - 3e-4), min(1.0, (upper + 1) / width[c] + 3e-4)]
             asks.append(F.percentile_approx(F.when(inside(c), F.col(c)), probs, 10000).alias(c))
         got = data.agg(*asks).first()
+        before = {c: (brackets[c], below[c]) for c in wide}
         for c in wide:
             brackets[c] = tuple(got[c])
         row = data.agg(
@@ -86,12 +88,13 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = 1_000_000)
             *[F.count_if(inside(c)).alias(f"w{i}") for i, c in enumerate(wide)],
         ).first()
         for i, c in enumerate(wide):
-            below[c] = row[f"b{i}"]
-            if row[f"w{i}"] == width[c]:
-                # no progress: the rest is a handful of heavily repeated values
-                width[c] = 0
+            under, held = row[f"b{i}"], row[f"w{i}"]
+            if under > (total[c] - 1) // 2 or under + held <= total[c] // 2:
+                # the approximation missed a middle position: read the wider bracket instead
+                (brackets[c], below[c]), width[c] = before[c], 0
             else:
-                width[c] = row[f"w{i}"]
+                # no progress means a handful of heavily repeated values is left
+                below[c], width[c] = under, 0 if held == width[c] else held
     pieces = F.array(
         *[F.struct(F.lit(c).alias("c"), F.when(inside(c), F.col(c)).alias("v")) for c in columns]
     )
