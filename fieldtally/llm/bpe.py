@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import re
 import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -26,21 +28,43 @@ from pyspark.sql.types import BinaryType
 
 from .common import ship
 
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: A single space between two characters that are not white space: every match of the pattern starts anew there.
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
 def chunks(text: str) -> list[str]:
-    """The text cut where the splitting pattern cuts it in any case, before single spaces; joined, it is whole."""
-    parts = _SEAM.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    """The text cut at single spaces, where the splitting pattern cuts it in any case.
+
+    Each part but the first is meant to have its space in front: joined by single spaces, the parts are the text.
+    """
+    return _SEAM.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+
+
+class Recent(dict):
+    """What was met lately, in two generations: the young one is the dictionary itself, ``recall`` asks the old one."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def recall(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
 
 
 class Coder:
     """Encoder and decoder for one file of ranks."""
 
-    KEPT = 300_000  # cached chunks, each at most LONGEST characters
+    KEPT = 400_000  # entries of a cache generation, each at most LONGEST characters
     LONGEST = 48
     PAIRS = 1_000_000
 
@@ -50,13 +74,17 @@ class Coder:
         self.by_id = {i: b for b, i in ranks.items()}
         self.whole = {b.decode("latin-1"): i for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {"": b""}
+        self.of_byte = [self.whole[chr(b)] for b in range(256)]
+        self.pairs: dict[int, bool] = {}
+        self.parts, self.pieces = Recent(self.KEPT), Recent(self.KEPT)  # of texts; matches of the pattern
         self._undo_merges()
+        n = max(ranks.values()) + 1
+        self.lengths = [self.length.get(i, 0) for i in range(n)]
+        self.shorters = [-1 if (x := self.shorter.get(i)) is None else x for i in range(n)]
         self.automaton = ahocorasick.Automaton()
         for s, i in self.whole.items():
-            if i not in self.unmade:
-                self.automaton.add_word(s, (i, len(s)))
+            if i not in self.unmade and len(s) > 1:
+                self.automaton.add_word(s, (i, len(s) - 1))
         self.automaton.make_automaton()
 
     def _undo_merges(self) -> None:
@@ -111,68 +139,78 @@ class Coder:
                 if left == limit:
                     return True
 
-    def _side_by_side(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._fit(left, right)
-        return known
-
-    def merge(self, piece: str) -> list[int]:
-        """Ids of one piece, given as Latin-1 text."""
-        at_once = self.whole.get(piece)
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one piece."""
+        at_once = self.ranks.get(piece)
         if at_once is not None:
             return [at_once]
+        longest = [self.of_byte[b] for b in piece]
+        for end, (i, back) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - back] = i  # later ends are longer
+        length, shorter, pairs = self.lengths, self.shorters, self.pairs
+        if len(pairs) > self.PAIRS:
+            pairs.clear()
         n = len(piece)
-        longest = [0] * n
-        for end, (i, length) in self.automaton.iter(piece):
-            longest[end - length + 1] = i  # later ends are longer
-        open_at = bytearray(b"\x01") * (n + 1)
+        closed: set[int] = set()  # positions from which nothing leads on
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while True:
-            last = out[-1] if out else None
-            while token is not None:
-                end = at + self.length[token]
-                if open_at[end] and (last is None or self._side_by_side(last, token)):
-                    break
-                token = self.shorter[token]
-            if token is None:
-                open_at[at] = 0
+            while token >= 0:
+                end = at + length[token]
+                if end not in closed:
+                    if last < 0:
+                        break
+                    fits = pairs.get(last << 20 | token)
+                    if fits is None:
+                        fits = pairs[last << 20 | token] = self._fit(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
+            if token < 0:
+                closed.add(at)
                 token = out.pop()
-                at -= self.length[token]  # its end is closed now, so it is replaced by a shorter one
+                at -= length[token]  # its end is closed now, so it is replaced by a shorter one
+                last = out[-1] if out else -1
                 continue
             out.append(token)
-            at = end
-            if at == n:
+            if end == n:
                 return out
-            token = longest[at]
-
-    def encode_chunk(self, chunk: str) -> bytes:
-        found = self.cache.get(chunk)
+            at, last, token = end, token, longest[end]
+
+    def encode_piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece) or self.pieces.recall(piece)
+        if found is None:
+            ids = self.merge(piece.encode("utf-8", "replace"))
+            found = array("I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= self.LONGEST:
+                self.pieces[piece] = found
+        return found
+
+    def encode_part(self, part: str) -> bytes:
+        """A part of a text, with its space, that was not met lately."""
+        found = self.parts.recall(part)
         if found is not None:
             return found
-        pieces = self.pattern.findall(chunk)
-        if len(pieces) == 1:
-            ids = self.merge(chunk.encode("utf-8", "replace").decode("latin-1"))
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if part.isalpha() and max(part) < "\u0250":
+            found = self.encode_piece(" " + part)  # letters alone are one piece
         else:
-            packed = b"".join(map(self.encode_chunk, pieces))
-        if len(chunk) <= self.LONGEST:
-            if len(self.cache) >= self.KEPT:
-                self.cache = {"": b""}
-            self.cache[chunk] = packed
-        return packed
+            found = b"".join(map(self.encode_piece, self.pattern.findall(" " + part)))
+        if len(part) <= self.LONGEST:
+            self.parts[part] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.encode_chunk, chunks(text)))
+        first, *parts = chunks(text)
+        found = list(map(self.parts.get, parts))
+        if None in found:
+            found = [self.encode_part(p) if f is None else f for p, f in zip(parts, found)]
+            self.parts.trim()
+            self.pieces.trim()
+        return b"".join([*map(self.encode_piece, self.pattern.findall(first)), *found])
 
     def decode(self, packed: bytes) -> bytes:
-        by_id = self.by_id
-        return b"".join([by_id[i] for i in memoryview(packed).cast("I")])
+        return b"".join(map(self.by_id.__getitem__, memoryview(packed).cast("I")))
 
 
 @lru_cache(maxsize=2)

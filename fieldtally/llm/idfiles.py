@@ -57,7 +57,7 @@ class CachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized as ``kind``."""
-        split = [chunks(t) for t in texts]
+        split = [[parts[0], *[" " + p for p in parts[1:]]] for parts in map(chunks, texts)]
         cache = self.cache
         unknown = list({c for parts in split for c in parts if c not in cache})
         fresh = {c: np.array(e.ids, self.kind).tobytes() for at in range(0, len(unknown), 4096) for c, e in zip(unknown[at : at + 4096], self.tokenizer.encode_batch_fast(unknown[at : at + 4096], add_special_tokens=False))}
