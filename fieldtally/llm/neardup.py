@@ -171,7 +171,7 @@ def components(links: DataFrame) -> DataFrame:
         far = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = store(step.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "neardup-labels")
         labels = new.select("node", "label")
-        if not new.where("label <> old").limit(1).count():
+        if new.where("label <> old").isEmpty():
             return labels
 
 
@@ -204,43 +204,51 @@ def near_duplicates(
     labels: DataFrame | None = None
 
     def check(pairs: DataFrame) -> DataFrame:
-        nonlocal labels
         found = verified(pairs, texts, words)
         links.append(found.where(F.col("sim") >= least).select("a", "b"))
+        return found
+
+    def joined() -> DataFrame:
         everything = links[0]
         for more in links[1:]:
             everything = everything.unionByName(more)
-        labels = components(everything)
-        return found
+        return components(everything)
 
     for turn in range(rounds):
         hubs = alive.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         held = store(alive.withColumnRenamed("node", "b").join(hubs.select("bucket", "a"), "bucket").where("a <> b"), "neardup-held")
-        if not held.limit(1).count():
+        if held.isEmpty():
             break
-        pairs = held.select("a", "b").distinct()
-        if turn == 0:  # one hub a member settles most; the others are asked where that left two classes
-            one = check(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-            rest = labelled(pairs.join(one.select("a", "b"), ["a", "b"], "left_anti"), labels)
-            sims = one.unionByName(check(rest))
-        else:
-            sims = check(labelled(pairs, labels))
+        pairs = held.groupBy("a", "b").agg(F.count("*").alias("buckets"))
+        sims = None
+        if turn == 0:  # one hub a member, the one met most often, settles most of them
+            sims = check(pairs.groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a")).select("a", "b"))
+            labels = joined()
+            pairs = pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti")
+        rest = store(labelled(pairs.select("a", "b"), labels), "neardup-rest")
+        if not rest.isEmpty():
+            more = check(rest)
+            sims = more if sims is None else sims.unionByName(more)
         # a pair that was not compared is linked already, over others; how far apart the two are is not known
-        known = store(held.join(sims, ["a", "b"], "left"), "neardup-known")
+        known = held.withColumn("sim", F.lit(None).cast("double")) if sims is None else store(held.join(sims, ["a", "b"], "left"), "neardup-known")
         apart = known.where(F.col("sim") < least)
         alike = known.where(F.col("sim").isNull() | (F.col("sim") >= least))
         edge = apart.where(F.col("sim") >= 2 * least - 1).select("bucket", F.col("b").alias("x"), F.col("sim").alias("sx"))
         reach = edge.join(alike.select("bucket", F.col("b").alias("y"), F.col("sim").alias("sy")), "bucket")
         reach = reach.where(F.col("sy").isNull() | (F.col("sy") - F.col("sx") <= 1 - least))
-        border = store(labelled(reach.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), labels), "neardup-border")
-        if border.limit(1).count():
+        border = store(labelled(reach.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), labels).distinct(), "neardup-border")
+        before = len(links)
+        if not border.isEmpty():
             check(border)
+        if len(links) > before or not rest.isEmpty():
+            labels = joined()
         alive = store(apart.select("bucket", F.col("b").alias("node")), "neardup-members")
     else:
         left = alive.withColumnRenamed("node", "a").join(alive.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b").distinct()
         left = store(labelled(left, labels), "neardup-left")
-        if left.limit(1).count():
+        if not left.isEmpty():
             check(left)
+            labels = joined()
 
     nodes = docs.select("node").distinct()
     if labels is None:
@@ -272,7 +280,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_node"))
     kept = keyed.join(small_or_shuffled(marked.where("not stays").select("_d", "_node")), same, "left_anti")
     repeated = marked.where("stays and n > 1").select("_d", "_node")
-    if not repeated.limit(1).count():
+    if repeated.isEmpty():
         return kept.select(*names)
     repeated = small_or_shuffled(repeated)
     single = kept.join(repeated, same, "left_anti")
