@@ -22,6 +22,7 @@ Null text is empty: its frame holds the end id alone.  An empty table gives an e
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, store
-from .bpe import chunks
+from .bpe import Recent, chunks
 from .common import block_bounds, block_of, order_key, ship, text_or_empty
 
 MAGIC = b"FTIDS001"
@@ -43,30 +44,40 @@ _NULL = 1 << 62
 
 
 class CachedTokenizer:
-    """The tokenizer library on chunks it has not met lately; chunks end where its own splitting ends them."""
+    """The tokenizer library on pieces it has not met lately; pieces end where its own splitting ends them."""
 
-    KEPT, LONGEST = 300_000, 48
+    KEPT, LONGEST = 400_000, 48
+    MARKS = frozenset(".,;:?!")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.known = Recent(self.KEPT)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized as ``kind``."""
-        split = [[parts[0], *[" " + p for p in parts[1:]]] for parts in map(chunks, texts)]
-        cache = self.cache
-        unknown = list({c for parts in split for c in parts if c not in cache})
-        fresh = {c: np.array(e.ids, self.kind).tobytes() for at in range(0, len(unknown), 4096) for c, e in zip(unknown[at : at + 4096], self.tokenizer.encode_batch_fast(unknown[at : at + 4096], add_special_tokens=False))}
-        if not fresh:
-            return [b"".join([cache[c] for c in parts]) for parts in split]
-        out = [b"".join([cache[c] if c in cache else fresh[c] for c in parts]) for parts in split]
-        if len(cache) + len(fresh) > self.KEPT:
-            cache.clear()
-        cache.update((c, ids) for c, ids in fresh.items() if len(c) <= self.LONGEST)
+        known, marks = self.known, self.MARKS
+        split: list[list[str]] = []
+        for text in texts:
+            first, *parts = chunks(text)
+            out = [first]
+            for p in parts:
+                if p and p[-1] in marks and p[:-1].isalpha():  # letters and a mark are split in any case
+                    out.append(" " + p[:-1])
+                    out.append(p[-1])
+                else:
+                    out.append(" " + p)
+            split.append(out)
+        ids = [list(map(known.get, pieces)) for pieces in split]
+        unknown = list({p for pieces, found in zip(split, ids) if None in found for p, f in zip(pieces, found) if f is None and known.recall(p) is None})
+        fresh = {p: np.array(e.ids, self.kind).tobytes() for at in range(0, len(unknown), 4096) for p, e in zip(unknown[at : at + 4096], self.tokenizer.encode_batch_fast(unknown[at : at + 4096], add_special_tokens=False))}
+        out = [b"".join(found) if None not in found else b"".join([f if f is not None else fresh[p] if p in fresh else known[p] for p, f in zip(pieces, found)]) for pieces, found in zip(split, ids)]
+        known.update((p, i) for p, i in fresh.items() if len(p) <= self.LONGEST)
+        known.trim()
         return out
 
 

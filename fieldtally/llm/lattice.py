@@ -20,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,136 @@ class Lattice:
                         into[byte] += weight
 
 
+class Lattices:
+    """The same recursions for many words at once: words of one length are rows, their pieces are found by hash.
+
+    Long words, and words with a character that has no piece, go one by one through :class:`Lattice`.
+    """
+
+    LONG = 48
+    SLOTS = 1 << 19
+
+    def __init__(self, one: Lattice):
+        self.one = one
+        self.names = sorted(one.pieces)
+        self.logs = np.array([one.pieces[p] for p in self.names])
+        self.chars = np.zeros(0x110000, bool)
+        self.chars[[ord(p) for p in self.names if len(p) == 1]] = True
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.ids = np.full(self.SLOTS, -1, np.int32)
+        hashes = np.zeros(len(self.names), np.uint64)
+        codes = [np.array([ord(c) for c in p], np.uint64) for p in self.names]
+        for k in range(one.longest):
+            rows = np.array([i for i, c in enumerate(codes) if len(c) > k])
+            hashes[rows] = self.roll(hashes[rows], np.array([codes[i][k] for i in rows], np.uint64))
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have one hash")
+        taken = set()
+        for i, (h, slot) in enumerate(zip(hashes, self.slot(hashes).tolist())):
+            while slot in taken:
+                slot = (slot + 1) % self.SLOTS
+            taken.add(slot)
+            self.keys[slot], self.ids[slot] = h, i
+
+    @staticmethod
+    def roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(45)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of the piece with this hash, or -1."""
+        slot = self.slot(h)
+        ids, same = self.ids[slot], self.keys[slot] == h
+        out = np.where(same & (ids >= 0), ids, -1)
+        on = np.flatnonzero(~same & (ids >= 0))  # the slot is another piece's: look at the next
+        while len(on):
+            slot[on] = (slot[on] + 1) % self.SLOTS
+            ids, same = self.ids[slot[on]], self.keys[slot[on]] == h[on]
+            out[on[same & (ids >= 0)]] = ids[same & (ids >= 0)]
+            on = on[~same & (ids >= 0)]
+        return out
+
+    def grouped(self, words: list[str]):
+        """(row numbers, codes of the words with their mark in front) of each length, and the rows left over."""
+        by_length: dict[int, list[int]] = defaultdict(list)
+        rest: list[int] = []
+        for k, w in enumerate(words):
+            (by_length[len(w)] if 0 < len(w) < self.LONG and "\0" not in w else rest).append(k)
+        groups = []
+        for length, rows in by_length.items():
+            codes = np.array([SPACE + words[k] for k in rows], f"<U{length + 1}").view(np.uint32).reshape(len(rows), length + 1)
+            fine = self.chars[np.minimum(codes, 0x10FFFF)].all(axis=1)
+            rest += [k for k, ok in zip(rows, fine) if not ok]
+            if fine.any():
+                groups.append((np.array(rows)[fine], codes[fine]))
+        return groups, rest
+
+    def pieces_in(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, rows that have a piece there, its number), by begin."""
+        n, length = codes.shape
+        wide = codes.astype(np.uint64)
+        found = []
+        for i in range(length):
+            h = np.zeros(n, np.uint64)
+            for j in range(i + 1, min(length, i + self.one.longest) + 1):
+                h = self.roll(h, wide[:, j - 1])
+                ids = self.find(h)
+                rows = np.flatnonzero(ids >= 0)
+                if len(rows):
+                    found.append((i, j, rows, ids[rows]))
+        return found
+
+    def forward(self, codes: np.ndarray, found: list) -> np.ndarray:
+        a = np.full((codes.shape[1] + 1, len(codes)), NONE)
+        a[0] = 0.0
+        for i, j, rows, ids in found:  # by begin: all that ends at i has been added
+            a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + self.logs[ids])
+        return a
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        groups, rest = self.grouped(words)
+        for rows, codes in groups:
+            out[rows] = self.forward(codes, self.pieces_in(codes))[-1]
+        for k in rest:
+            out[k] = self.one.log_probability(words[k])
+        return out
+
+    def expect(self, words: list[str], times: list[int], into: np.ndarray, others: dict) -> None:
+        """Adds the expected counts of all pieces to ``into``, those of words done one by one to ``others``."""
+        groups, rest = self.grouped(words)
+        weights = np.array(times, float)
+        for at, codes in groups:
+            found = self.pieces_in(codes)
+            a = self.forward(codes, found)
+            b = np.full_like(a, NONE)
+            b[-1] = 0.0
+            for i, j, rows, ids in sorted(found, key=lambda x: -x[1]):  # by end: all that begins at j has been added
+                b[i, rows] = np.logaddexp(b[i, rows], b[j, rows] + self.logs[ids])
+            mass = np.log(weights[at]) - a[-1]
+            if found:
+                ids = np.concatenate([x[3] for x in found])
+                share = np.concatenate([np.exp(a[i, rows] + self.logs[x] + b[j, rows] + mass[rows]) for i, j, rows, x in found])
+                into += np.bincount(ids, share, len(into))
+        for k in rest:
+            self.one.expect(words[k], times[k], others)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Several batches as one, so that words of one length are many."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
     """Weights of the pieces and of the bytes, one over rank by the vocabulary's own scores."""
     import sentencepiece
@@ -131,11 +262,13 @@ def learn(counts: DataFrame, documents: int, path: str, rounds: int, prior: floa
         given = spark.sparkContext.broadcast(normalised(*now, documents))
 
         def expected(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            into: dict = defaultdict(float)
-            for batch in batches:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    given.value.expect(word, c, into)
-            rows = [(k if isinstance(k, str) else f"\0{k}", v) for k, v in into.items()]
+            many = Lattices(given.value)
+            into, others = np.zeros(len(many.names)), defaultdict(float)
+            for table in gathered(batches):
+                many.expect(table.column(0).to_pylist(), table.column(1).to_pylist(), into, others)
+            for i in np.flatnonzero(into):
+                others[many.names[i]] += float(into[i])
+            rows = [(k if isinstance(k, str) else f"\0{k}", v) for k, v in others.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [(), ()], (pa.string(), pa.float64()))], names=["piece", "e"])
 
         sums = counts.where("c > 0").select("word", "c").mapInArrow(expected, "piece string, e double").groupBy("piece").agg(F.sum("e").alias("e"))
@@ -165,10 +298,10 @@ def score_documents(
     model = spark.sparkContext.broadcast(lattice)
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = model.value
-        for batch in batches:
-            scores = [one.log_probability(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["word", "n", "c", "score"])
+        many = Lattices(model.value)
+        for table in gathered(batches):
+            scores = pa.chunked_array([pa.array(many.log_probabilities(table.column(0).to_pylist()), pa.float64())])
+            yield from pa.Table.from_arrays([*table.columns, scores], names=["word", "n", "c", "score"]).to_batches()
 
     words = store(counts.select("word", "n", "c").mapInArrow(score_words, "word string, n long, c long, score double"), "lm-scored-words")
     frequent = words.where(F.length("word") <= 64).orderBy(F.col("n").desc(), "word").limit(common)
