@@ -34,7 +34,9 @@ def first_printings(cards: DataFrame, set_years: DataFrame) -> DataFrame:
     ).select(*KEPT_COLUMNS)
     first = at_group_min(kept, ["name"], "release_year", null_empties_group=True)
     measured = first.withColumn("text_num", F.length("text")).distinct()
-    known = measured.where(~F.col("power").rlike(UNKNOWN_PATTERN) & ~F.col("toughness").rlike(UNKNOWN_PATTERN))
+    # a missing value does not match the pattern, so its card stays
+    unknown = [F.coalesce(F.col(c).rlike(UNKNOWN_PATTERN), F.lit(False)) for c in ("power", "toughness")]
+    known = measured.where(~unknown[0] & ~unknown[1])
     numbers = {c: tolerant_number(c) for c in ("power", "toughness")}
     return known.withColumns(numbers).where(F.col("release_year") <= LAST_YEAR)
 
