@@ -9,9 +9,11 @@ Signatures are cut into bands; texts that agree in a band meet in a bucket.  A b
 so its pairs are never listed.  Instead each member is held against one hub of its bucket (the smallest
 text there) by the exact similarity of both texts.  What is not similar to the hub goes on to the next round with a
 hub of its own.  A member of the hub's kind and one that is not can still be similar to each other only if the
-triangle inequality of the distance allows it; exactly those pairs are looked at too, as far as the two are not
-linked already.  What is left in the buckets after ``rounds`` is compared pair by pair (only members
-that are like none of their hubs get there).  Classes are the connected components of the links.
+triangle inequality of the distance allows it; so can two members that were like none of ``rounds`` hubs.  These
+open pairs are closed at the end: inside a bucket, only members of different components still matter, so first a
+few members of each component are compared, which joins most components, and then every pair whose two ends
+are still apart.  Of the open pairs, those whose whole signatures agree in far too few places are left out before
+the exact check.  Classes are the connected components of the links.
 
 Equal texts are one node from the beginning (128-bit checksum).  Null text counts as empty; all empty texts are copies
 of each other.  A text of fewer than five words has one shingle, its words.  Ids may be null or repeated.
@@ -22,11 +24,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
@@ -119,22 +122,25 @@ def node_of(text: Column) -> Column:
 
 
 def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, buckets) of every row."""
+    """(doc_id, node, buckets, marks) of every row; marks: a byte for each place of the signature."""
     ship(df.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler(words)
         for batch in batches:
             ids = batch.column(0)
-            nodes, found = [], []
+            nodes, found, marks = [], [], []
             for text in batch.column(1).to_pylist():
                 nodes.append(hashlib.md5(text.encode("utf-8", "replace")).digest())
                 items, weights = shingled(text)
-                found.append(buckets(signature(items, weights, bands * rows), bands) if len(items) else [])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "buckets"])
+                who = signature(items, weights, bands * rows)
+                found.append(buckets(who, bands) if len(items) else [])
+                marks.append((mixed(who) >> np.uint64(56)).astype(np.uint8).tobytes())
+            columns = [ids, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "buckets", "marks"])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return docs.mapInArrow(sign, "doc_id long, node binary, buckets array<long>")
+    return docs.mapInArrow(sign, "doc_id long, node binary, buckets array<long>, marks binary")
 
 
 def small_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
@@ -142,18 +148,33 @@ def small_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Shingles (16 bytes each) that a task remembers between comparisons.
+SHINGLES_HELD = 2_000_000
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(a, b) -> (a, b, sim): exact similarity of the two texts."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler(words)
-        last: tuple = (None, None)
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # the same texts come up again and again
+        held = 0
+
+        def of(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            if node not in known:
+                found = shingled(text)
+                if held + len(found[0]) > SHINGLES_HELD:
+                    known.clear()
+                    held = 0
+                known[node] = found
+                held += len(found[0])
+            return known[node]
+
         for batch in batches:
             rows = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                if last[0] != a:  # a hub's pairs stand together
-                    last = (a, shingled(ta))
-                rows.append((a, b, similarity(last[1], shingled(tb))))
+                rows.append((a, b, similarity(of(a, ta), of(b, tb))))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, (pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "sim"])
 
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -161,6 +182,23 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return store(with_a.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary, sim double"), "neardup-verified")
 
 
+def promising(pairs: DataFrame, marks: DataFrame, places: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough places for a similarity of ``least``.
+
+    Places agree independently, so fewer than 4.5 standard deviations below the mean come with a chance of 4 in a million.
+    """
+    agree = places * least - 4.5 * (places * least * (1 - least)) ** 0.5
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, places) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= agree))
+
+    for c in ("b", "a"):
+        pairs = pairs.join(marks.select(F.col("node").alias(c), F.col("marks").alias(f"m{c}")), c)
+    return pairs.select("a", "b", "ma", "mb").mapInArrow(look, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): the smallest node of the connected component, for every node with a link."""
     both = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neardup-links")
@@ -175,13 +213,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components after more links: only the links between different components are followed."""
+    if labels is None:
+        return None if links.isEmpty() else components(links)
+    over = store(ends(links, labels).where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "neardup-over")
+    if over.isEmpty():
+        return labels
+    moved = components(over)
+    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    return store(old.select("node", F.coalesce("to", "label").alias("label")).unionByName(new), "neardup-labels")
+
+
+def ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the components of both ends, la and lb."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    return pairs
+
+
+def open_pairs(left: DataFrame, right: DataFrame, labels: DataFrame | None, least: float, most: int | None) -> DataFrame:
+    """Pairs of a bucket that may be similar and lie in different components; of each component ``most`` members a
+    bucket, the nearest to the hub (None: all).  A ``sim`` of null says that the distance to the hub is not known."""
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        df = df.select("turn", "bucket", F.col("node").alias(end), F.col("sim").alias(f"s{end}"))
+        if labels is None:
+            df = df.withColumn(f"l{end}", F.col(end))
+        else:
+            df = df.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+        if most is None:
+            return df
+        near = Window.partitionBy("turn", "bucket", f"l{end}").orderBy(F.col(f"s{end}").desc_nulls_last(), end)
+        return df.withColumn("place", F.row_number().over(near)).where(F.col("place") <= most).drop("place")
+
+    met = side(left, "a").join(side(right, "b"), ["turn", "bucket"])
+    near = F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - least, F.lit(True))
+    return met.where((F.col("la") != F.col("lb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The pairs that no chain of links joins yet."""
     if labels is None:
         return pairs
-    for c in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left")
-    return pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+    return ends(pairs, labels).where("la <> lb").drop("la", "lb")
 
 
 def near_duplicates(
@@ -198,22 +274,19 @@ def near_duplicates(
     alive = store(members.join(shared, "bucket", "left_semi"), "neardup-members")
     needed = small_or_shuffled(store(alive.select("node").distinct(), "neardup-nodes"))
     whole = df.select(text_or_empty(text_col).alias("text")).withColumn("node", node_of(F.col("text")))
+    marks = store(docs.join(needed, "node", "left_semi").select("node", "marks").dropDuplicates(["node"]), "neardup-marks")
     texts = store(whole.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
 
-    links: list[DataFrame] = []
     labels: DataFrame | None = None
+    left: list[DataFrame] = []  # (turn, bucket, node, sim to the hub): members whose pairs with those on the right are open
+    right: list[DataFrame] = []
 
     def check(pairs: DataFrame) -> DataFrame:
+        nonlocal labels
         found = verified(pairs, texts, words)
-        links.append(found.where(F.col("sim") >= least).select("a", "b"))
+        labels = relabelled(labels, found.where(F.col("sim") >= least).select("a", "b"))
         return found
 
-    def joined() -> DataFrame:
-        everything = links[0]
-        for more in links[1:]:
-            everything = everything.unionByName(more)
-        return components(everything)
-
     for turn in range(rounds):
         hubs = alive.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         held = store(alive.withColumnRenamed("node", "b").join(hubs.select("bucket", "a"), "bucket").where("a <> b"), "neardup-held")
@@ -223,7 +296,6 @@ def near_duplicates(
         sims = None
         if turn == 0:  # one hub a member, the one met most often, settles most of them
             sims = check(pairs.groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a")).select("a", "b"))
-            labels = joined()
             pairs = pairs.join(sims.select("a", "b"), ["a", "b"], "left_anti")
         rest = store(labelled(pairs.select("a", "b"), labels), "neardup-rest")
         if not rest.isEmpty():
@@ -231,24 +303,24 @@ def near_duplicates(
             sims = more if sims is None else sims.unionByName(more)
         # a pair that was not compared is linked already, over others; how far apart the two are is not known
         known = held.withColumn("sim", F.lit(None).cast("double")) if sims is None else store(held.join(sims, ["a", "b"], "left"), "neardup-known")
-        apart = known.where(F.col("sim") < least)
-        alike = known.where(F.col("sim").isNull() | (F.col("sim") >= least))
-        edge = apart.where(F.col("sim") >= 2 * least - 1).select("bucket", F.col("b").alias("x"), F.col("sim").alias("sx"))
-        reach = edge.join(alike.select("bucket", F.col("b").alias("y"), F.col("sim").alias("sy")), "bucket")
-        reach = reach.where(F.col("sy").isNull() | (F.col("sy") - F.col("sx") <= 1 - least))
-        border = store(labelled(reach.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), labels).distinct(), "neardup-border")
-        before = len(links)
-        if not border.isEmpty():
-            check(border)
-        if len(links) > before or not rest.isEmpty():
-            labels = joined()
-        alive = store(apart.select("bucket", F.col("b").alias("node")), "neardup-members")
+        sided = known.select(F.lit(turn).alias("turn"), "bucket", F.col("b").alias("node"), "sim")
+        left.append(sided.where((F.col("sim") < least) & (F.col("sim") >= 2 * least - 1)))
+        right.append(sided.where(F.col("sim").isNull() | (F.col("sim") >= least)))
+        alive = store(known.where(F.col("sim") < least).select("bucket", F.col("b").alias("node")), "neardup-members")
     else:
-        left = alive.withColumnRenamed("node", "a").join(alive.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b").distinct()
-        left = store(labelled(left, labels), "neardup-left")
-        if not left.isEmpty():
-            check(left)
-            labels = joined()
+        among = alive.select(F.lit(rounds).alias("turn"), "bucket", "node", F.lit(None).cast("double").alias("sim"))
+        left.append(among)
+        right.append(among)
+    if left:
+        left_side, right_side = reduce(DataFrame.unionByName, left), reduce(DataFrame.unionByName, right)
+        seen = None
+        for most in (1, 8, None):
+            pairs = open_pairs(left_side, right_side, labels, least, most)
+            pairs = store(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "neardup-open")
+            seen = pairs if seen is None else seen.unionByName(pairs)
+            likely = store(promising(pairs, marks, bands * rows, least), "neardup-likely")
+            if not likely.isEmpty():
+                check(likely)
 
     nodes = docs.select("node").distinct()
     if labels is None:
