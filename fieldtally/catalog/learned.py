@@ -16,6 +16,14 @@ from .tables import FEATURES, PLAYS_SQL, TABULAR_SQL, plays, tabular, vectors
 
 CUT = "1998-01-01"
 
+# Training sizes of the published models: fixed values
+FOLDS, REPEATS = 10, 5
+BOOSTING = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.1}
+FOREST = {"numTrees": 200, "maxDepth": 30}
+EXTRA_TREES = {"groups": 5, "trees": 40, "depth": 30, "bootstrap": True}
+BAGS, BAG_DEPTH = 100, 10
+ROUNDS = 50
+
 
 def halves(df):
     """Orders before the cut date train, the others are scored."""
@@ -84,13 +92,10 @@ def onehot_align(spark, sf):
     return sets.bind_rows(train.withColumn("is_train", F.lit(1)), test.withColumn("is_train", F.lit(0)))
 
 
-EMBEDDED = [f"e{i}" for i in range(64)]
-
-
 @query("pca_scores")
 def pca_scores(spark, sf):
-    v = vectors(spark, sf)
-    fitted = prepare.fit_pca(v, EMBEDDED, 6)
+    v, _ = vectors(spark, sf)
+    fitted = prepare.fit_pca(v, ["vec"], 6)
     scores = [F.round(f"PC{i}", 6).alias(f"PC{i}") for i in range(1, 7)]
     share = [F.lit(round(x, 6)).alias(f"explained_{i + 1}") for i, x in enumerate(fitted.explained)]
     return fitted.apply(v).select("vec_id", *scores, *share)
@@ -146,12 +151,13 @@ def together(frames):
 @query("cv_grid")
 def cv_grid(spark, sf):
     df, features = labelled(spark, sf)
-    estimator = models.classifier("logistic", maxIter=20)
+    estimator = models.classifier("logistic")
     searched = tuning.repeated_search(
-        df, 2, estimator=estimator, grid={"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]},
-        evaluator=BinaryClassificationEvaluator(), id_column="doc_id", folds=3, parallelism=8,
+        df.cache(), REPEATS, estimator=estimator, grid={"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]},
+        evaluator=BinaryClassificationEvaluator(), id_column="doc_id", folds=FOLDS, parallelism=8,
         stages=[VectorAssembler(inputCols=features, outputCol="features")],
     )
+    df.unpersist()
     return tuning.results_table(searched)
 
 
@@ -187,7 +193,7 @@ def logreg_metrics(spark, sf):
     out = [
         scored("logistic", models.fit(df, features, models.classifier("logistic")).transform(df)),
         scored("multinomial", models.fit(df, features, models.classifier("multinomial")).transform(df)),
-        scored("margin", models.fit(df, features, models.classifier("margin", maxIter=50)).transform(df)),
+        scored("margin", models.fit(df, features, models.classifier("margin")).transform(df)),
         scored("ridge", models.apply_ridge_classifier(ridge, df)),
     ]
     return together(out)
@@ -199,11 +205,11 @@ def tree_models(spark, sf):
     df = df.cache()
     kinds = {
         "tree": {"maxDepth": 6},
-        "forest": {"numTrees": 20, "maxDepth": 8},
-        "boosting": {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1},
+        "forest": FOREST,
+        "boosting": BOOSTING,
     }
     out = [scored(k, models.fit(df, features, models.classifier(k, **p)).transform(df)) for k, p in kinds.items()]
-    extra = ensembles.fit_extra_trees(df, features, "label", groups=3, trees=7, depth=8)
+    extra = ensembles.fit_extra_trees(df, features, "label", **EXTRA_TREES)
     out.append(scored("extra trees", ensembles.apply_extra_trees(extra, df)))
     return together(out)
 
@@ -215,9 +221,9 @@ def tree_regressors(spark, sf):
         (F.col("o_orderstatus") == "F").cast("int").alias("done"), F.col("o_custkey").alias("customer"),
     ).cache()
     features = ["year", "month", "done", "customer"]
-    kinds = {"tree": {"maxDepth": 5}, "forest": {"numTrees": 10, "maxDepth": 5}, "boosting": {"maxIter": 5, "maxDepth": 3}}
+    kinds = {"tree": {"maxDepth": 5}, "forest": {"numTrees": 200, "maxDepth": 10}, "boosting": BOOSTING}
     out = [(k, models.fit(o, features, models.regressor(k, label="o_totalprice", **p)).transform(o)) for k, p in kinds.items()]
-    extra = ensembles.fit_extra_trees(o, features, "o_totalprice", kind="numbers", groups=2, trees=5)
+    extra = ensembles.fit_extra_trees(o, features, "o_totalprice", kind="numbers", groups=5, trees=40, depth=10)
     out.append(("extra trees", ensembles.apply_extra_trees(extra, o, "numbers")))
     return together(
         [metrics.regression_metrics(p, "o_totalprice", "prediction", digits=4).select(F.lit(n).alias("model"), "*") for n, p in out]
@@ -229,8 +235,8 @@ def adaboost(spark, sf):
     df, features = labelled(spark, sf)
     ready = prepare.assemble(df, features).cache()
     blind = prepare.assemble(df, [c for c in features if c != "n_chars"])  # the label is no feature
-    votes = ensembles.fit_adaboost(ready, "label", rounds=8, cut_every=4)
-    numbers = ensembles.fit_adaboost_regressor(blind, "n_chars", rounds=4, cut_every=2)
+    votes = ensembles.fit_adaboost(ready, "label", rounds=ROUNDS)
+    numbers = ensembles.fit_adaboost_regressor(blind, "n_chars", rounds=ROUNDS)
     classes = scored("adaboost", votes.apply(ready)).select("model", "accuracy", "precision", "recall", "f1")
     fit = metrics.regression_metrics(numbers.apply(blind), "n_chars", "prediction", digits=4)
     return classes.select("*", F.lit(None).cast("double").alias("r2")).unionByName(
@@ -243,8 +249,8 @@ def bagging(spark, sf):
     df, features = labelled(spark, sf)
     df = df.cache()
     bags = {
-        "rows": ensembles.fit_bagging(df, features, "label", estimators=10, row_share=0.8),
-        "rows and columns": ensembles.fit_bagging(df, features, "label", estimators=9, column_share=0.6, column_sets=3),
+        "rows": ensembles.fit_bagging(df, features, "label", estimators=BAGS, row_share=0.8, depth=BAG_DEPTH),
+        "rows and columns": ensembles.fit_bagging(df, features, "label", estimators=BAGS, column_share=0.6, column_sets=10, depth=BAG_DEPTH),
     }
     return together([scored(n, ensembles.apply_bagging(m, df)) for n, m in bags.items()])
 
@@ -266,6 +272,37 @@ def knn_classify(spark, sf):
     return v.select("vec_id", F.col("label").alias("actual")).join(voted.withColumnRenamed("qid", "vec_id"), "vec_id")
 
 
+@query(
+    "knn_grid",
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+       pairs AS (SELECT a.vec_id, a.label AS actual, b.label, b.vec_id AS other, list_distance(a.e, b.e) AS d2,
+                        list_sum(list_transform(list_zip(a.e, b.e), lambda x: abs(x[1] - x[2]))) AS d1 FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+       d AS (SELECT vec_id, actual, label, other, 1 AS p, d1 AS dist FROM pairs UNION ALL SELECT vec_id, actual, label, other, 2, d2 FROM pairs),
+       near AS (SELECT *, row_number() OVER (PARTITION BY p, vec_id ORDER BY dist, other) AS place FROM d QUALIFY place <= 10),
+       asked AS (SELECT * FROM near, (SELECT unnest([3, 5, 7, 10]) AS k), (SELECT unnest(['uniform', 'distance']) AS weights) WHERE place <= k),
+       weighed AS (SELECT *, CASE WHEN weights = 'uniform' THEN 1.0::DOUBLE WHEN min(dist) OVER (PARTITION BY p, k, weights, vec_id) = 0 THEN CAST(dist = 0 AS DOUBLE)
+                                  ELSE 1 / dist END AS w FROM asked),
+       ballots AS (SELECT p, k, weights, vec_id, actual, label, sum(w) AS w FROM weighed GROUP BY ALL),
+       votes AS (SELECT *, row_number() OVER (PARTITION BY p, k, weights, vec_id ORDER BY w DESC, label) AS r FROM ballots)
+       SELECT CAST(p AS INTEGER) AS p, CAST(k AS INTEGER) AS k, weights, count(*) AS n, count(*) FILTER (WHERE actual = label) AS hits
+       FROM votes WHERE r = 1 GROUP BY ALL""",
+)
+def knn_grid(spark, sf):
+    """How many vectors their neighbours classify rightly, for each distance, number and weighting of neighbours."""
+    v = table(spark, sf, "embeddings")
+    fitted = neighbours.fit_neighbours(v, "vec_id", "embedding", "label")
+    actual = v.select(F.col("vec_id").alias("qid"), F.col("label").alias("actual"))
+    out = []
+    for p in (1, 2):
+        near = store(fitted.nearest(v, "vec_id", "embedding", 10, p, exclude_self=True), "neighbours")
+        for k in (3, 5, 7, 10):
+            for weights in ("uniform", "distance"):
+                voted = neighbours.knn_vote(near.where(F.col("place") <= k), weights).join(actual, "qid")
+                row = voted.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("actual") == F.col("prediction")).alias("hits"))
+                out.append(row.select(F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(weights).alias("weights"), "n", "hits"))
+    return together(out)
+
+
 @query(
     "gaussian_nb",
     f"""WITH {TABULAR_SQL},
@@ -278,7 +315,7 @@ def knn_classify(spark, sf):
       SELECT doc_id, quality, k AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, k) AS r FROM l) WHERE r = 1""",
 )
 def gaussian_nb(spark, sf):
-    t = tabular(spark, sf)
+    t = store(tabular(spark, sf), "tabular")
     fitted = bayes.fit_gaussian_bayes(t, ["n_chars", "commas", "stops"], "quality")
     return fitted.apply(t).select("doc_id", "quality", "prediction")
 
@@ -328,21 +365,23 @@ def regression_metrics(spark, sf):
 
 @query("mlp_classifier")
 def mlp_classifier(spark, sf):
-    v = vectors(spark, sf).withColumn("label", F.col("label").cast("double"))
-    width = v.agg(F.max("label")).first()[0]
-    net = models.classifier("net", layers=[64, 16, int(width) + 1], maxIter=30)
-    predicted = models.fit(v, EMBEDDED, net).transform(v)
+    v, width = vectors(spark, sf)
+    v = v.withColumn("label", F.col("label").cast("double"))
+    classes = int(v.agg(F.max("label")).first()[0]) + 1
+    net = models.classifier("net", layers=[width, 16, classes])
+    predicted = models.fit(v, ["vec"], net).transform(v)
     return metrics.class_report(predicted, "label", "prediction", digits=4)
 
 
 @query("multiclass_models")
 def multiclass_models(spark, sf):
     """Several classes: multinomial regression, and boosted trees one class against the rest."""
-    v = vectors(spark, sf).withColumn("label", F.col("label").cast("double")).cache()
-    kinds = {"multinomial": {"maxIter": 20}, "boosting_multiclass": {"maxIter": 3, "maxDepth": 3}}
+    v, _ = vectors(spark, sf)
+    v = store(v.withColumn("label", F.col("label").cast("double")), "vectors").cache()
+    kinds = {"multinomial": {}, "boosting_multiclass": BOOSTING}
     out = []
     for kind, params in kinds.items():
-        predicted = models.fit(v, EMBEDDED, models.classifier(kind, **params)).transform(v)
+        predicted = models.fit(v, ["vec"], models.classifier(kind, **params)).transform(v)
         out.append(metrics.class_report(predicted, "label", "prediction", digits=4).select(F.lit(kind).alias("model"), "*"))
     return together(out)
 
@@ -364,5 +403,5 @@ def attached_predictions(spark, sf):
 @query("ranked_importance")
 def ranked_importance(spark, sf):
     df, features = labelled(spark, sf)
-    forest = models.fit(df, features, models.classifier("forest", numTrees=20)).stages[-1]
+    forest = models.fit(df, features, models.classifier("forest", **FOREST)).stages[-1]
     return ranking.top_k_abs(models.ranked_weights(spark, forest, features), "weight", 5, "feature")

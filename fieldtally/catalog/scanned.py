@@ -26,6 +26,24 @@ def scan_csv_roundtrip(spark, sf):
     return read_delimited(spark, path, orders.schema)
 
 
+#: Missing text in a delimited file whose empty texts stay empty; a value that reads the same counts as missing.
+MISSING = "\\N"
+
+_AWKWARD = "concat_ws('', chr(34), source, chr(34), chr(10), ' ', left(text, 1), ',', chr(13), chr(10), chr(92), ' ')"
+
+
+@query(
+    "scan_csv_multiline",
+    f"SELECT *, CASE WHEN n_chars % 3 = 0 THEN '' WHEN n_chars % 3 = 1 THEN {_AWKWARD} END AS awkward FROM documents",
+)
+def scan_csv_multiline(spark, sf):
+    """Texts with line breaks, quotes, delimiters, escapes and outer spaces; empty and missing ones stay apart."""
+    third = F.col("n_chars") % 3
+    docs = table(spark, sf, "documents").withColumn("awkward", F.when(third == 0, "").when(third == 1, F.expr(_AWKWARD)))
+    path = write_delimited(docs, scratch_path(spark, "csv-multiline"), null_text=MISSING)
+    return read_delimited(spark, path, docs.schema, null_text=MISSING, multi_line=True)
+
+
 @query(
     "json_flatten",
     """SELECT event_id, user_id, event_type, value, ts,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,6 +180,11 @@ TABULAR_SQL = """tabular AS (
 FEATURES = ["n_chars", "commas", "stops", "digits", "lines"]
 
 
-def vectors(spark: SparkSession, sf: str, width: int = 64) -> DataFrame:
+def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The embeddings as ML vectors in ``vec``, whole, and their number of elements; unequal widths are an error."""
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
+    width = F.size("embedding")
+    low, high = e.agg(F.min(width), F.max(width)).first()
+    if low != high:
+        raise ValueError(f"embeddings of {low} to {high} elements")
+    return e.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("vec")), low

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import numpy as np
+import pandas as pd
 
 
-def classifier(kind: str, label: str = "label", features: str = "features", seed: int = 1, **params) -> Estimator:
+def classifier(kind: str, label: str = "label", features: str = "features", seed: int = 1, parallelism: int = 4, **params) -> Estimator:
     """Classifiers by the name of their family.
 
     Boosting libraries all map to gradient-boosted trees; margin learners to a linear SVC.
+    ``parallelism`` counts the classes that ``boosting_multiclass`` fits at the same time.
     """
     common = {"labelCol": label, "featuresCol": features}
     if kind == "logistic":
@@ -47,7 +49,7 @@ def classifier(kind: str, label: str = "label", features: str = "features", seed
     if kind == "boosting":
         return GBTClassifier(seed=seed, **common, **params)
     if kind == "boosting_multiclass":
-        return OneVsRest(classifier=GBTClassifier(seed=seed, **params), **common)
+        return OneVsRest(classifier=GBTClassifier(seed=seed, **params), parallelism=parallelism, **common)
     if kind == "net":
         return MultilayerPerceptronClassifier(seed=seed, **common, **params)
     raise ValueError(f"unknown classifier {kind!r}")
@@ -105,20 +107,21 @@ def kernel_features(
 ) -> DataFrame:
     """Random Fourier features of the kernel exp(-gamma * |x - y|^2) (Rahimi and Recht, 2007).
 
-    A linear model on them stands in for a kernel machine at linear cost.
+    A linear model on them stands in for a kernel machine at linear cost.  One matrix product a batch; the
+    matrix of ``size`` x columns goes to every task once.
     """
     rng = np.random.default_rng(seed)
-    weights = rng.normal(0.0, np.sqrt(2 * gamma), (size, len(columns)))
+    weights = rng.normal(0.0, np.sqrt(2 * gamma), (size, len(columns))).T
     shifts = rng.uniform(0.0, 2 * np.pi, size)
-    rows = [list(map(float, w)) + [float(b)] for w, b in zip(weights, shifts)]
-    matrix = F.array(*[F.array(*[F.lit(x) for x in row]) for row in rows])
-    # the trailing 1 meets the shift at the end of each weight row
-    x = F.array(*[F.col(c).cast("double") for c in columns], F.lit(1.0))
-    scale = float(np.sqrt(2.0 / size))
-    def wave(w):
-        return F.lit(scale) * F.cos(F.aggregate(F.zip_with(w, F.col("__x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-
-    return df.withColumn("__x", x).withColumn(output, array_to_vector(F.transform(matrix, wave))).drop("__x")
+
+    @F.pandas_udf("array<double>")
+    def waves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            x = np.stack(column.to_numpy()) if len(column) else np.zeros((0, len(columns)))
+            yield pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ weights + shifts)))
+
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    return df.withColumn(output, array_to_vector(waves(x)))
 
 
 def ranked_weights(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:

@@ -1,126 +1,101 @@
-"""Exact k-nearest neighbours without comparing every pair of rows.
-
-Points are assigned to the nearest of a few pivots.  A query's k-th neighbour is at most as
-far as the k-th smallest "distance to a pivot + that pivot's nearest members", and by the
-triangle inequality a cell whose distance band lies beyond that bound holds no neighbour.
-Only the remaining (query, cell) combinations meet, in blocks of bounded size, and each
-block hands back k rows per query.  This is the pivot-based kNN join of Lu et al. (2012),
-with large cells cut into blocks on both sides.
+"""k-nearest neighbours of a bounded set of fitted rows.
+
+The fitted rows become one matrix that every task receives once; the asked rows stream past it in Arrow
+batches and are neither copied nor shuffled.  The bound on the fitted rows (``most``) keeps the matrix
+small; above it a repeatable sample is fitted, so the work grows with the asked rows only.  Within the
+fitted rows the neighbours are exact.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _distances(x: np.ndarray, points: np.ndarray, p: int) -> np.ndarray:
-    """Distances of one vector to many."""
-    gap = points - x
-    return np.abs(gap).sum(axis=1) if p == 1 else np.sqrt((gap * gap).sum(axis=1))
-
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
+#: Numbers that one block of distances may hold.
+CELLS = 4_000_000
 
 
-def _pick_pivots(points: DataFrame, id_column: str, vector: str, count: int) -> np.ndarray:
-    rows = points.orderBy(F.xxhash64(id_column), id_column).limit(count).select(vector).collect()
-    return np.array([r[0] for r in rows], dtype=np.float64)
+def _exact(x: np.ndarray, points: np.ndarray, p: int) -> np.ndarray:
+    """Distances of paired rows (the last axis is summed)."""
+    gap = points - x
+    return np.abs(gap).sum(axis=-1) if p == 1 else np.sqrt((gap * gap).sum(axis=-1))
+
+
+@dataclass
+class Neighbours:
+    """Fitted rows in ascending order of their ids."""
+
+    ids: np.ndarray
+    payload: np.ndarray
+    vectors: np.ndarray
+    types: tuple[str, str]
+
+    def nearest(self, queries: DataFrame, id_column: str, vector: str, k: int, p: int = 2, exclude_self: bool = False) -> DataFrame:
+        """(qid, pid, payload, distance, place 1..k) for each row of ``queries``; ties go to the lower id.
+
+        ``exclude_self`` leaves out the fitted row of the same id.
+        """
+        ids, payload, points = self.ids, self.payload, self.vectors
+        squares = (points * points).sum(axis=1)
+        id_type, payload_type = self.types
+        names = ["qid", "pid", "payload", "distance", "place"]
+
+        def candidates(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(row of x, fitted row) pairs among which the k nearest are for certain."""
+            need = min(k, len(ids))
+            if p == 1:
+                rough, slack = _exact(x[:, None, :], points[None, :, :], 1), 0.0
+            else:  # one matrix product; its rounding errors are far below the slack
+                mine = (x * x).sum(axis=1)
+                rough = mine[:, None] + squares[None, :] - 2.0 * (x @ points.T)
+                slack = 1e-9 * (mine + squares.max())[:, None]
+            if exclude_self:
+                rough[own[:, None] == ids[None, :]] = np.inf
+            bound = np.partition(rough, need - 1, axis=1)[:, need - 1 : need]
+            return np.nonzero((rough <= bound + slack) & np.isfinite(rough))
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                asked, x = batch["qid"].to_numpy(), np.stack(batch["vec"].to_numpy()).astype(np.float64)
+                step = max(1, CELLS // (len(ids) * (x.shape[1] if p == 1 else 1)))
+                for at in range(0, len(x), step):
+                    own, part = asked[at : at + step], x[at : at + step]
+                    row, col = candidates(part, own)
+                    dist = _exact(part[row], points[col], p)
+                    order = np.lexsort((col, dist, row))  # fitted rows are in the order of their ids
+                    row, col, dist = row[order], col[order], dist[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                    kept = place <= k
+                    row, col = row[kept], col[kept]
+                    yield pd.DataFrame(dict(zip(names, (own[row], ids[col], payload[col], dist[kept], place[kept].astype(np.int32)))))
+
+        asking = queries.select(F.col(id_column).alias("qid"), F.col(vector).cast("array<double>").alias("vec"))
+        return asking.mapInPandas(ask, f"qid {asking.schema['qid'].dataType.simpleString()}, pid {id_type}, payload {payload_type}, distance double, place int")
+
+
+def fit_neighbours(points: DataFrame, id_column: str, vector: str, payload: str, most: int = 50_000) -> Neighbours:
+    """At most ``most`` rows are fitted: all, or above that those with the smallest hash of their id."""
+    rows = points.select(F.col(id_column).alias("i"), F.col(payload).alias("y"), F.col(vector).cast("array<double>").alias("v"))
+    types = tuple(rows.schema[c].dataType.simpleString() for c in "iy")
+    found = rows.orderBy(F.xxhash64("i"), "i").limit(most).toPandas().sort_values("i", kind="stable")
+    vectors = np.stack(found["v"].to_numpy()).astype(np.float64) if len(found) else np.zeros((0, 1))
+    return Neighbours(found["i"].to_numpy(), found["y"].to_numpy(), vectors, types)
 
 
 def nearest_neighbours(
     queries: DataFrame, points: DataFrame, id_column: str, vector: str, k: int, payload: str, p: int = 2,
-    exclude_self: bool = False, pivots: int | None = None, block: int = 4096,
+    exclude_self: bool = False, most: int = 50_000,
 ) -> DataFrame:
-    """(query id, neighbour id, payload, distance, place 1..k); ties go to the lower id."""
-    total = points.count()
-    pivot_count = pivots or max(1, min(256, int(math.sqrt(total) / 2)))
-    centres = _pick_pivots(points, id_column, vector, pivot_count)
-
-    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())]))
-    def home_cell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for column in batches:
-            m = _matrix(column)
-            d = [_distances(x, centres, p) for x in m]
-            best = [int(r.argmin()) for r in d]
-            yield pd.DataFrame({"cell": pd.Series(best, dtype="int32"), "dist": [float(r[b]) for r, b in zip(d, best)]})
-
-    placed = points.select(F.col(id_column).alias("pid"), F.col(vector).alias("pvec"), F.col(payload).alias("payload")).withColumn("h", home_cell("pvec"))
-    placed = placed.select("pid", "pvec", "payload", F.col("h.cell").alias("cell"), F.col("h.dist").alias("dist"))
-
-    # per cell: size, distance band and its k + 1 innermost members (at most pivots * (k + 1) rows)
-    need = k + 1 if exclude_self else k
-    inner = F.row_number().over(W.partitionBy("cell").orderBy("dist"))
-    nearest = placed.select("cell", "dist").withColumn("r", inner).where(F.col("r") <= need).groupBy("cell").agg(F.collect_list("dist").alias("near"))
-    summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).join(nearest, "cell").collect()
-    cells = np.array([r["cell"] for r in summary])
-    low, high = np.array([r["lo"] for r in summary]), np.array([r["hi"] for r in summary])
-    near_cell = np.concatenate([np.full(len(r["near"]), i) for i, r in enumerate(summary)])
-    near_dist = np.concatenate([np.array(r["near"]) for r in summary])
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def reachable(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            out = []
-            for x in _matrix(column):
-                d = _distances(x, centres, p)[cells]
-                reach = d[near_cell] + near_dist
-                bound = np.partition(reach, need - 1)[need - 1] if len(reach) > need else np.inf
-                floor = np.maximum(np.maximum(d - high, low - d), 0.0)
-                out.append(cells[floor <= bound * (1 + 1e-9) + 1e-12].tolist())
-            yield pd.Series(out)
-
-    asking = queries.select(F.col(id_column).alias("qid"), F.col(vector).alias("qvec"))
-    routed = asking.withColumn("cell", F.explode(reachable("qvec")))
-    loads = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = {r["cell"]: r["n"] for r in summary}
-    width = len(centres)
-
-    def pieces(counts):
-        return F.array(*[F.lit(max(1, math.ceil(counts.get(c, 0) / block))) for c in range(width)])
-
-    point_parts = F.get(pieces(sizes), F.col("cell"))
-    query_parts = F.get(pieces(loads), F.col("cell"))
-    left = routed.select(
-        "qid", "qvec", "cell",
-        F.pmod(F.xxhash64("qid"), query_parts).cast("int").alias("qpart"),
-        F.explode(F.sequence(F.lit(0), point_parts - 1)).alias("ppart"),
-    )
-    right = placed.select(
-        "pid", "pvec", "payload", "cell",
-        F.pmod(F.xxhash64("pid"), point_parts).cast("int").alias("ppart"),
-        F.explode(F.sequence(F.lit(0), query_parts - 1)).alias("qpart"),
-    )
-    payload_type = points.schema[payload].dataType.simpleString()
-    id_type = points.schema[id_column].dataType.simpleString()
-
-    def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        columns = ["qid", "pid", "payload", "distance"]
-        if q.empty or t.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        vectors, ids, labels = _matrix(t["pvec"]), t["pid"].to_numpy(), t["payload"].to_numpy()
-        parts = []
-        for qid, x in zip(q["qid"].to_numpy(), _matrix(q["qvec"])):
-            d = _distances(x, vectors, p)
-            allowed = np.flatnonzero(ids != qid) if exclude_self else np.arange(len(ids))
-            order = allowed[np.lexsort((ids[allowed], d[allowed]))[:k]]
-            parts.append(pd.DataFrame({"qid": qid, "pid": ids[order], "payload": labels[order], "distance": d[order]}))
-        return pd.concat(parts, ignore_index=True)
-
-    keys = ["cell", "qpart", "ppart"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        meet, f"qid {id_type}, pid {id_type}, payload {payload_type}, distance double"
-    )
-    place = F.row_number().over(W.partitionBy("qid").orderBy("distance", "pid"))
-    return met.withColumn("place", place).where(F.col("place") <= k)
+    """Fit ``points`` and ask ``queries``."""
+    return fit_neighbours(points, id_column, vector, payload, most).nearest(queries, id_column, vector, k, p, exclude_self)
 
 
 def knn_vote(neighbours: DataFrame, weights: str = "uniform") -> DataFrame:

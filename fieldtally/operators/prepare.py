@@ -114,6 +114,7 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int, scale: bool = True, c
     ``scale`` standardises with the population sd; Spark's scaler uses the sample sd, which
     stretches all scores alike and is undone on them.  ``center=False`` finds the directions
     of the raw second moments: rows together with their mirror images have mean zero.
+    ``columns`` may be numbers or whole vectors.
     """
     columns = list(columns)
     assemble_step = VectorAssembler(inputCols=columns, outputCol="__v")
@@ -127,7 +128,8 @@ def fit_pca(df: DataFrame, columns: Sequence[str], k: int, scale: bool = True, c
     prepared = Pipeline(stages=steps).fit(df)
     ready = prepared.transform(df).select(F.col(source).alias("__in"))
     if not (scale or center):
-        flip = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * len(columns)), inputCol="__in", outputCol="__out")
+        first = ready.first()
+        flip = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * (len(first["__in"]) if first else len(columns))), inputCol="__in", outputCol="__out")
         ready = ready.unionByName(flip.transform(ready).select(F.col("__out").alias("__in")))
     model = PCA(k=k, inputCol="__in", outputCol="__s").fit(ready)
     model = model.setInputCol(source)

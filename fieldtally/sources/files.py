@@ -15,16 +15,33 @@ NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def read_delimited(
-    spark: SparkSession, path, schema: T.StructType | str | None = None, delimiter: str = ",", null_text: str = ""
+    spark: SparkSession, path, schema: T.StructType | str | None = None, delimiter: str = ",", null_text: str = "",
+    empty_text: str | None = None, multi_line: bool = False,
 ) -> DataFrame:
-    """Header row; give a schema for large inputs, inference costs a full extra read."""
-    reader = spark.read.option("header", True).option("sep", delimiter).option("nullValue", null_text)
-    reader = reader.option("escape", '"').option("timestampNTZFormat", NTZ_FORMAT)
-    return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
-
+    """Header row; give a schema for large inputs, inference costs a full extra read.
 
-def write_delimited(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists") -> str:
-    df.write.mode(mode).option("header", True).option("sep", delimiter).option("escape", '"').option("timestampNTZFormat", NTZ_FORMAT).csv(path)
+    ``multi_line`` reads quoted values with line breaks; such a file is one task's work, so write many.
+    A value equal to ``null_text`` is missing, one equal to ``empty_text`` is the empty text.  With a
+    schema, a row that does not fit it is an error, never a row of nulls.
+    """
+    reader = spark.read.option("header", True).option("sep", delimiter).option("nullValue", null_text)
+    reader = reader.option("escape", '"').option("timestampNTZFormat", NTZ_FORMAT).option("multiLine", multi_line)
+    if empty_text is not None:
+        reader = reader.option("emptyValue", empty_text)
+    if multi_line:
+        reader = reader.option("lineSep", "\n")
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+
+
+def write_delimited(
+    df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists", null_text: str = "", empty_text: str = '""'
+) -> str:
+    """Header row; white space at the ends of a value is kept, missing and empty text are told apart."""
+    writer = df.write.mode(mode).option("header", True).option("sep", delimiter).option("escape", '"').option("timestampNTZFormat", NTZ_FORMAT)
+    writer = writer.option("nullValue", null_text).option("emptyValue", empty_text)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

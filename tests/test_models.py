@@ -33,13 +33,14 @@ def test_mode_ties_go_to_the_first(spark):
     assert profile.modes(df, ["x"]) == {"x": "a"}
 
 
-@pytest.mark.parametrize("p,exclude,block,pivots", [(2, True, 4096, None), (2, False, 7, 4), (1, True, 5, 9)])
-def test_neighbours_match_brute_force(spark, p, exclude, block, pivots):
+@pytest.mark.parametrize("p,exclude,cells", [(2, True, 4_000_000), (2, False, 200), (1, True, 900)])
+def test_neighbours_match_brute_force(spark, monkeypatch, p, exclude, cells):
+    monkeypatch.setattr(neighbours, "CELLS", cells)
     rng = np.random.default_rng(3)
     # a third of the points are copies of one vector
     x = np.vstack([rng.normal(size=(60, 4)), np.repeat(rng.normal(size=(1, 4)), 30, axis=0)])
     df = spark.createDataFrame([(i, [float(v) for v in row], i % 3) for i, row in enumerate(x)], "id long, v array<double>, y int")
-    got = neighbours.nearest_neighbours(df, df, "id", "v", 4, "y", p=p, exclude_self=exclude, block=block, pivots=pivots)
+    got = neighbours.nearest_neighbours(df, df, "id", "v", 4, "y", p=p, exclude_self=exclude)
     found = {}
     for r in got.orderBy("qid", "place").collect():
         found.setdefault(r.qid, []).append((r.pid, round(r.distance, 9)))
@@ -49,6 +50,49 @@ def test_neighbours_match_brute_force(spark, p, exclude, block, pivots):
         assert found[q] == [(i, round(float(dist), 9)) for dist, i in order]
 
 
+@pytest.mark.parametrize("rows", [0, 1, 3])
+def test_neighbours_of_few_rows(spark, rows):
+    df = spark.createDataFrame([(i, [float(i)] * 3, "x") for i in range(rows)], "id long, v array<float>, y string")
+    got = neighbours.nearest_neighbours(df, df, "id", "v", 4, "y", exclude_self=True).collect()
+    assert len(got) == rows * max(0, rows - 1)
+
+
+def test_fitted_rows_are_bounded(spark):
+    df = spark.range(100).selectExpr("id", "array(cast(id as double)) v", "id y")
+    fitted = neighbours.fit_neighbours(df, "id", "v", "y", most=10)
+    again = neighbours.fit_neighbours(df.repartition(7), "id", "v", "y", most=10)
+    assert len(fitted.ids) == 10 and fitted.ids.tolist() == again.ids.tolist()
+    assert fitted.nearest(df, "id", "v", 3).count() == 300
+
+
+@pytest.mark.parametrize("width", [10, 128])
+def test_whole_vectors(spark, tmp_path, width):
+    from fieldtally.catalog.tables import vectors
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=width)], i % 2) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df, n = vectors(spark, str(tmp_path))
+    assert n == width and {len(r.vec) for r in df.collect()} == {width}
+    spark.createDataFrame([(99, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(ValueError):
+        vectors(spark, str(tmp_path))
+
+
+def test_delimited_text_survives(spark, tmp_path):
+    from fieldtally.sources.files import read_delimited, write_delimited
+
+    texts = ["a\nb", "a\r\nb\r", "", None, ' "x", ', '"', '""', "\\", '\\"', ",", " ", "\n", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    path = write_delimited(df, f"{tmp_path}/t", null_text="\\N")
+    back = read_delimited(spark, path, df.schema, null_text="\\N", multi_line=True)
+    assert {r.id: r.text for r in back.collect()} == dict(enumerate(texts))
+    broken = spark.createDataFrame([("id,text",), ("x,y",)], "value string")
+    broken.coalesce(1).write.text(f"{tmp_path}/broken")
+    with pytest.raises(Exception):
+        read_delimited(spark, f"{tmp_path}/broken", df.schema).collect()
+
+
 def test_votes(spark):
     rows = [(1, 10, "a", 1.0), (1, 11, "b", 2.0), (1, 12, "b", 4.0), (2, 10, "a", 0.0), (2, 11, "b", 0.1), (2, 12, "b", 0.1)]
     near = spark.createDataFrame(rows, "qid long, pid long, payload string, distance double")
