@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..operators import bayes, ensembles, metrics, models, neighbours, prepare, ranking, sets, tuning
-from ..session import store
+from ..session import store, store_for_fits
 from ..sources.files import table
 from .registry import query
 from .tables import FEATURES, PLAYS_SQL, TABULAR_SQL, plays, tabular, vectors
@@ -137,7 +137,7 @@ def labelled(spark, sf):
     t = store(tabular(spark, sf).withColumn("label", F.col("quality").cast("double")), "labelled")
     hot = prepare.fit_onehot(t, ["lang"])
     scaled = prepare.fit_standardize(t, FEATURES).apply(t)
-    return hot.apply(scaled), [*FEATURES, *hot.names()]
+    return store_for_fits(hot.apply(scaled), "labelled-scaled"), [*FEATURES, *hot.names()]
 
 
 def scored(name, predicted, label="label"):
@@ -153,7 +153,7 @@ def cv_grid(spark, sf):
     df, features = labelled(spark, sf)
     estimator = models.classifier("logistic")
     searched = tuning.repeated_search(
-        df.cache(), REPEATS, estimator=estimator, grid={"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]},
+        df, REPEATS, estimator=estimator, grid={"regParam": [0.0, 0.1], "elasticNetParam": [0.0, 0.5]},
         evaluator=BinaryClassificationEvaluator(), id_column="doc_id", folds=FOLDS, parallelism=8,
         stages=[VectorAssembler(inputCols=features, outputCol="features")],
     )
@@ -188,7 +188,6 @@ def linear_models(spark, sf):
 @query("logreg_metrics")
 def logreg_metrics(spark, sf):
     df, features = labelled(spark, sf)
-    df = df.cache()
     ridge = models.fit_ridge_classifier(df, features, "label", 0.1)
     out = [
         scored("logistic", models.fit(df, features, models.classifier("logistic")).transform(df)),
@@ -202,7 +201,6 @@ def logreg_metrics(spark, sf):
 @query("tree_models")
 def tree_models(spark, sf):
     df, features = labelled(spark, sf)
-    df = df.cache()
     kinds = {
         "tree": {"maxDepth": 6},
         "forest": FOREST,
@@ -219,11 +217,12 @@ def tree_regressors(spark, sf):
     o = table(spark, sf, "orders").select(
         "o_totalprice", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
         (F.col("o_orderstatus") == "F").cast("int").alias("done"), F.col("o_custkey").alias("customer"),
-    ).cache()
+    )
+    o = store_for_fits(o, "orders")
     features = ["year", "month", "done", "customer"]
-    kinds = {"tree": {"maxDepth": 5}, "forest": {"numTrees": 200, "maxDepth": 10}, "boosting": BOOSTING}
+    kinds = {"tree": {"maxDepth": 5}, "forest": {"numTrees": BAGS, "maxDepth": 5}, "boosting": BOOSTING}
     out = [(k, models.fit(o, features, models.regressor(k, label="o_totalprice", **p)).transform(o)) for k, p in kinds.items()]
-    extra = ensembles.fit_extra_trees(o, features, "o_totalprice", kind="numbers", groups=5, trees=40, depth=10)
+    extra = ensembles.fit_extra_trees(o, features, "o_totalprice", kind="numbers", groups=5, trees=BAGS // 5)
     out.append(("extra trees", ensembles.apply_extra_trees(extra, o, "numbers")))
     return together(
         [metrics.regression_metrics(p, "o_totalprice", "prediction", digits=4).select(F.lit(n).alias("model"), "*") for n, p in out]
@@ -247,7 +246,6 @@ def adaboost(spark, sf):
 @query("bagging")
 def bagging(spark, sf):
     df, features = labelled(spark, sf)
-    df = df.cache()
     bags = {
         "rows": ensembles.fit_bagging(df, features, "label", estimators=BAGS, row_share=0.8, depth=BAG_DEPTH),
         "rows and columns": ensembles.fit_bagging(df, features, "label", estimators=BAGS, column_share=0.6, column_sets=10, depth=BAG_DEPTH),
@@ -377,7 +375,7 @@ def mlp_classifier(spark, sf):
 def multiclass_models(spark, sf):
     """Several classes: multinomial regression, and boosted trees one class against the rest."""
     v, _ = vectors(spark, sf)
-    v = store(v.withColumn("label", F.col("label").cast("double")), "vectors").cache()
+    v = store_for_fits(v.withColumn("label", F.col("label").cast("double")), "vectors")
     kinds = {"multinomial": {}, "boosting_multiclass": BOOSTING}
     out = []
     for kind, params in kinds.items():

@@ -174,12 +174,10 @@ def poll_features(spark, sf):
 @query("stacked_model")
 def stacked_model(spark, sf):
     """The last month's votes predicted from the months before, as a rank report."""
-    wanted = [*poll.IDENTITY, *poll.MODEL_COLUMNS, *[f"cum_{m}_per_game" for m in ("yards", "plays", "turnovers", "possession_minutes", "allowed_yards")]]
-    rows = features(spark, sf, list(dict.fromkeys(wanted)))
-    played = rows.where(F.col("opponent").isNotNull())
-    table_, names = poll_model.model_table(played, poll_model.quick())
+    played = features(spark, sf, None).where(F.col("opponent").isNotNull())
+    table_, names = poll_model.model_table(played)
     target = latest_period(table_, "year", "week", ahead=0)
-    return poll_model.rank_report(poll_model.predict_poll(table_, names, target, poll_model.quick()), poll_model.quick())
+    return poll_model.rank_report(poll_model.predict_poll(table_, names, target))
 
 
 def listening_export(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel, Pipeline
@@ -193,7 +193,7 @@ def apply_bagging(models: Sequence[PipelineModel], df: DataFrame, kind: str = "c
 
 def fit_extra_trees(
     train: DataFrame, features: Sequence[str], label: str, kind: str = "classes", groups: int = 5, trees: int = 10,
-    cuts: int = 16, depth: int = 5, seed: int = 1, bootstrap: bool = False,
+    cuts: int = 16, depth: int = 5, seed: int = 1, bootstrap: bool = False, **params,
 ) -> list[PipelineModel]:
     """Forests whose candidate split points are random instead of searched.
 
@@ -213,7 +213,7 @@ def fit_extra_trees(
         stages = [
             Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=cut_names, handleInvalid="keep"),
             VectorAssembler(inputCols=cut_names, outputCol=f"__cuts{g}"),
-            _forest(kind, label, f"__cuts{g}", numTrees=trees, maxDepth=depth, seed=seed + g, bootstrap=bootstrap, maxBins=max(32, cuts + 2))
+            _forest(kind, label, f"__cuts{g}", numTrees=trees, maxDepth=depth, seed=seed + g, bootstrap=bootstrap, maxBins=max(32, cuts + 2), **params)
             .setPredictionCol(f"__cutpred{g}"),
         ]
         models.append(Pipeline(stages=stages).fit(train))
@@ -224,6 +224,28 @@ def apply_extra_trees(models: Sequence[PipelineModel], df: DataFrame, kind: str
     return _mean_of_groups(models, df, "__cutout", kind, output)
 
 
+@dataclass
+class ExtraTreesModel:
+    models: Sequence[PipelineModel]
+    kind: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return apply_extra_trees(self.models, df, self.kind)
+
+
+@dataclass
+class ExtraTrees:
+    """:func:`fit_extra_trees` in the shape of an estimator, so that it can be a base model of a stack."""
+
+    features: Sequence[str]
+    label: str
+    kind: str = "classes"
+    params: Mapping[str, object] = field(default_factory=dict)
+
+    def fit(self, train: DataFrame) -> ExtraTreesModel:
+        return ExtraTreesModel(fit_extra_trees(train, self.features, self.label, self.kind, **self.params), self.kind)
+
+
 @dataclass
 class Stack:
     base: Mapping[str, PipelineModel]

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.columns import numeric_columns
-from ..operators.ensembles import fit_stack
+from ..operators.ensembles import ExtraTrees, fit_stack
 from ..operators.models import kernel_features, regressor
-from ..operators.prepare import fit_pca, fit_standardize, time_split
+from ..operators.prepare import fit_onehot, fit_pca, fit_standardize, time_split
 from ..operators.pruning import complete_rows, prune_columns
-from ..session import store
+from ..session import store, store_for_fits
 from .poll import IDENTITY, KEYS, MODEL_COLUMNS, TARGET
 from .report import compare_ranks
 
@@ -28,7 +28,8 @@ class Settings:
     components: int = 6
     boost_a: Mapping[str, object] = field(default_factory=lambda: {"maxIter": 50, "maxDepth": 4, "stepSize": 0.15, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.75"})
     boost_b: Mapping[str, object] = field(default_factory=lambda: {"maxIter": 250, "maxDepth": 5, "stepSize": 0.04, "minInstancesPerNode": 4})
-    forest: Mapping[str, object] = field(default_factory=lambda: {"numTrees": 500, "featureSubsetStrategy": "10", "minInstancesPerNode": 10, "maxDepth": 12})
+    # 500 trees with random split points, in groups that share their points
+    forest: Mapping[str, object] = field(default_factory=lambda: {"groups": 10, "trees": 50, "featureSubsetStrategy": "10", "minInstancesPerNode": 10, "depth": 12})
     net: Mapping[str, object] = field(default_factory=lambda: {"elasticNetParam": 0.75, "regParam": 0.0025})
     kernel_gamma: float = 0.00325
     kernel_size: int = 400
@@ -42,8 +43,9 @@ def quick(settings: Settings | None = None) -> Settings:
     """Far fewer trees: for trying the plan out."""
     s = settings or Settings()
     few = {"numTrees": 20, "maxDepth": 6}
+    few_random = {"groups": 4, "trees": 5, "depth": 6}
     return replace(
-        s, boost_a={**s.boost_a, "maxIter": 5}, boost_b={**s.boost_b, "maxIter": 5}, forest={**s.forest, **few},
+        s, boost_a={**s.boost_a, "maxIter": 5}, boost_b={**s.boost_b, "maxIter": 5}, forest={**s.forest, **few_random},
         final={**s.final, **few}, kernel_size=64,
     )
 
@@ -69,17 +71,24 @@ def _interactions(terms: Sequence[str]) -> list[str]:
 
 
 def predict_poll(table: DataFrame, names: Sequence[str], target: Mapping[str, int], settings: Settings = Settings()) -> DataFrame:
-    """Train on the weeks before the target, predict the target week: team, votes, prediction."""
-    scaling = fit_standardize(time_split(table, target)[0], names)
-    z = [f"__z_{n}" for n in names]
-    scaled = scaling.apply(table.select("*", *[F.col(n).alias(f"__k_{n}") for n in names]))
+    """Train on the weeks before the target, predict the target week: team, votes, prediction.
+
+    Team, year and week are predictors of every model besides ``names``; a team is a set of indicators.
+    """
+    known = fit_onehot(time_split(table, target)[0], ["team"])
+    inputs = {f"__x{i}": F.col(c).cast("double") for i, c in enumerate(["year", "week", *names])}
+    indicators = {name: f"__t{i}" for i, name in enumerate(known.names())}  # a team's name may hold anything
+    coded = known.apply(table.withColumns({**inputs, "__team": F.col("team")})).withColumnsRenamed({**indicators, "__team": "team"})
+    predictors = [*inputs, *indicators.values()]
+    z = [f"__z_{c}" for c in predictors]
     # standardised copies feed the kernel; the plain columns feed the trees
-    renamed = scaled.withColumnsRenamed({n: f"__z_{n}" for n in names}).withColumnsRenamed({f"__k_{n}": n for n in names})
-    ready = store(kernel_features(renamed, z, settings.kernel_gamma, settings.kernel_size, output="__kernel").drop(*z), "model-input")
+    scaled = fit_standardize(time_split(coded, target)[0], predictors).apply(coded.select("*", *[F.col(c).alias(f"__k_{c}") for c in predictors]))
+    renamed = scaled.withColumnsRenamed({c: f"__z_{c}" for c in predictors}).withColumnsRenamed({f"__k_{c}": c for c in predictors})
+    ready = store_for_fits(kernel_features(renamed, z, settings.kernel_gamma, settings.kernel_size, output="__kernel").drop(*z), "model-input")
     train, test = time_split(ready, target)
 
     def trees(kind, params):
-        return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), regressor(kind, label=TARGET, **params)])
+        return Pipeline(stages=[VectorAssembler(inputCols=predictors, outputCol="features"), regressor(kind, label=TARGET, **params)])
 
     crossed = _interactions(["team", "year", "week", "lag_log_votes"])
     formula = f"{TARGET} ~ " + " + ".join(["team", "year", "week", *names, *crossed])
@@ -87,12 +96,12 @@ def predict_poll(table: DataFrame, names: Sequence[str], target: Mapping[str, in
         "boost_a": trees("boosting", settings.boost_a),
         "kernel": regressor("linear", label=TARGET, features="__kernel", elasticNetParam=0.0, regParam=settings.kernel_penalty / max(1, settings.kernel_size)),
         "boost_b": trees("boosting", settings.boost_b),
-        "forest": trees("forest", settings.forest),
+        "forest": ExtraTrees(predictors, TARGET, "numbers", settings.forest),
         "net": Pipeline(stages=[RFormula(formula=formula, featuresCol="__formula", labelCol="__formula_label", handleInvalid="keep"),
                                 regressor("linear", label=TARGET, features="__formula", **settings.net)]),
     }
     train = train.withColumn("__id", F.concat_ws("|", *KEYS))
-    stack = fit_stack(train, base, list(names), regressor("forest", label=TARGET, **settings.final), id_column="__id", folds=settings.folds)
+    stack = fit_stack(train, base, predictors, regressor("forest", label=TARGET, **settings.final), id_column="__id", folds=settings.folds)
     return stack.apply(test).select(*KEYS, "analytical_votes", F.exp("prediction").alias("predicted_votes"))
 
 

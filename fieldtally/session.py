@@ -42,6 +42,16 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_for_fits(df: DataFrame, label: str, rows_per_task: int = 50_000) -> DataFrame:
+    """Stored like :func:`store` and kept by the executors in partitions of about ``rows_per_task`` rows.
+
+    A fit runs hundreds of short jobs over the same rows; with many near-empty partitions these are all overhead.
+    """
+    stored = store(df, label)
+    parts = max(1, -(-stored.count() // rows_per_task))
+    return stored.repartition(parts).cache()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the next stages start from files instead of a growing plan."""
     spark = df.sparkSession
