@@ -114,7 +114,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     # in order of y / x, the larger quotient is that of y from d on and that of x before it
     later_y = np.cumsum(y[::-1])[::-1]
     earlier_x = np.cumsum(x) - x
-    return float((1.0 / ((later_y + b[1].sum() - y.sum()) / y + (earlier_x + a[1].sum() - x.sum()) / x)).sum())
+    parts = (later_y + b[1].sum() - y.sum()) / y + (earlier_x + a[1].sum() - x.sum()) / x
+    if parts.min() == parts.max():  # equal counts: whole numbers, rounded once
+        return float(len(parts) / parts[0])
+    return float((1.0 / parts).sum())
 
 
 def node_of(text: Column) -> Column:
@@ -148,6 +151,9 @@ def small_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Far above the rounding errors of a similarity, far below the gap to the next quotient of whole numbers.
+SLACK = 1e-9
+
 #: Shingles (16 bytes each) that a task remembers between comparisons.
 SHINGLES_HELD = 2_000_000
 
@@ -267,6 +273,7 @@ def near_duplicates(
 
     Two texts of similarity ``least`` = 0.8 meet in a bucket with probability 0.9994 under 40 bands of 8.
     """
+    least -= SLACK  # exactly ``least`` counts; the triangle bounds below widen with it
     docs = store(signed(df, id_col, text_col, words, bands, rows), "neardup-docs")
     members = docs.select("node", F.explode("buckets").alias("bucket")).distinct()
     # most buckets have one member; these are dropped by a sum, before anything is joined
