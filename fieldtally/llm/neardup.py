@@ -308,11 +308,20 @@ def near_duplicates(
         if not rest.isEmpty():
             more = check(rest)
             sims = more if sims is None else sims.unionByName(more)
-        # a pair that was not compared is linked already, over others; how far apart the two are is not known
-        known = held.withColumn("sim", F.lit(None).cast("double")) if sims is None else store(held.join(sims, ["a", "b"], "left"), "neardup-known")
+        if sims is None:  # every member is linked to its hub already
+            break
+        # only buckets with a member outside the hub's component go on: pairs inside a component need no link
+        unlike = labelled(sims.where(F.col("sim") < least).select("a", "b"), labels)
+        mixed = small_or_shuffled(store(held.join(unlike, ["a", "b"], "left_semi").select("bucket").distinct(), "neardup-mixed"))
+        known = store(held.join(mixed, "bucket", "left_semi").join(sims, ["a", "b"], "left"), "neardup-known")
+        # a pair that was not compared is linked already, over others; how far apart the two are says who may be like the unlike ones
+        unknown = store(known.where("sim is null").select("a", "b").distinct(), "neardup-unknown")
+        if not unknown.isEmpty():
+            late = verified(unknown, texts, words).withColumnRenamed("sim", "late")
+            known = store(known.join(late, ["a", "b"], "left").withColumn("sim", F.coalesce("sim", "late")).drop("late"), "neardup-known")
         sided = known.select(F.lit(turn).alias("turn"), "bucket", F.col("b").alias("node"), "sim")
         left.append(sided.where((F.col("sim") < least) & (F.col("sim") >= 2 * least - 1)))
-        right.append(sided.where(F.col("sim").isNull() | (F.col("sim") >= least)))
+        right.append(sided.where(F.col("sim") >= least))
         alive = store(known.where(F.col("sim") < least).select("bucket", F.col("b").alias("node")), "neardup-members")
     else:
         among = alive.select(F.lit(rounds).alias("turn"), "bucket", "node", F.lit(None).cast("double").alias("sim"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -66,3 +67,34 @@ def test_triangle_bounds_hold_at_equality(spark, monkeypatch, m):
 
     texts = named(make, (0, 1, 2))
     assert classes_in(spark, monkeypatch, texts, {1: {0, 1, 2}}) == {0: 0, 1: 0, 2: 0}
+
+
+def test_members_linked_over_others_stay_in_a_bucket_with_unlike_ones(spark, monkeypatch):
+    """Hub and third text are linked over the second; only the third is like the fourth, which is unlike the hub."""
+
+    def make(name):  # steps of 0.818 between neighbours, hub to fourth 0.538
+        words = run_of(name, 200)
+        return [" ".join(words[10 * i : 10 * i + 104]) for i in range(4)]
+
+    texts = named(make, (0, 1, 2, 3))
+    assert classes_in(spark, monkeypatch, texts, {1: {0, 2, 3}, 2: {0, 1}, 3: {1, 2}}) == dict.fromkeys(range(4), 0)
+
+
+def test_drifting_chains_over_a_shared_passage(spark, monkeypatch):
+    """Every pair of a bucket that is like enough is linked, whoever becomes hub: against all pairs."""
+    r = random.Random(4)
+    texts = []
+    for chain in range(3):
+        words = run_of(f"chain{chain}", 400)
+        texts += [" ".join(run_of("passage", 16) + words[9 * i : 9 * i + 90]) for i in range(24)]
+    near = [{i, i + 1} for i in range(len(texts) - 1) if r.random() < 0.7]
+    buckets = dict(enumerate(near + [set(r.sample(range(len(texts)), 24)) for _ in range(6)]))
+    parts = [neardup.Shingler(5)(t) for t in texts]
+    want = list(range(len(texts)))
+    for inside in buckets.values():
+        for a in inside:
+            for b in inside:
+                if a < b and neardup.similarity(parts[a], parts[b]) >= 0.8 and want[a] != want[b]:
+                    low, high = sorted((want[a], want[b]))
+                    want = [low if x == high else x for x in want]
+    assert len(set(want)) > 3 and classes_in(spark, monkeypatch, texts, buckets) == dict(enumerate(want))
