@@ -1,8 +1,8 @@
 """Quality rules with compression bands.
 
 A text that says the same again and again shrinks far below what prose does, and noise hardly shrinks at
-all.  Each text is compressed as a whole, and in fixed chunks (so that a long text cannot hide a junk
-part behind good ones, or the other way round).  How far prose shrinks depends on how much of it there
+all.  Each text is compressed as a whole, and in fixed chunks and the rest behind them (so that a long text
+cannot hide a junk part behind good ones, or the other way round).  How far prose shrinks depends on how much of it there
 is, so the limits go by length.  Beside the bands stand plain counts of words, symbols, repeated lines and
 repeated five-word windows.
 
@@ -44,7 +44,11 @@ class Bands:
     )
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.30, 0.66)
-    bad_chunks: float = 0.25  # a larger share of full chunks outside ``chunk`` rejects the text
+    bad_chunks: float = 0.25  # a larger share of the bytes in chunks outside their limits rejects the text
+
+    def limits(self, size: int) -> tuple[float, float]:
+        """Of a text, or a rest shorter than a chunk, of so many bytes."""
+        return next((least, most) for upto, least, most in self.whole if size <= upto)
 
 
 @dataclass(frozen=True)
@@ -88,11 +92,13 @@ def judge(text: str, rules: Rules, bands: Bands, packer: zstandard.ZstdCompresso
     failed = len(words) < rules.least_words or 100 * repeats > rules.repeat_percent * len(words)
     raw = text.encode("utf-8", "replace")
     ratio = len(packer.compress(raw)) / max(1, len(raw))
-    low, high = next((a, b) for upto, a, b in bands.whole if len(raw) <= upto)
-    size, bad, full = bands.chunk_bytes, 0, len(raw) // bands.chunk_bytes
-    for k in range(full):
-        bad += not bands.chunk[0] <= len(packer.compress(raw[k * size : (k + 1) * size])) / size <= bands.chunk[1]
-    share = bad / full if full else 0.0
+    low, high = bands.limits(len(raw))
+    size, bad = bands.chunk_bytes, 0
+    for at in range(0, len(raw), size):
+        part = raw[at : at + size]
+        least, most = bands.chunk if len(part) == size else bands.limits(len(part))
+        bad += len(part) * (not least <= len(packer.compress(part)) / len(part) <= most)
+    share = bad / max(1, len(raw))
     return (
         len(words), sum(map(len, words)), sum(map(len, _SYMBOL.findall(text))), len(lines) - len(set(lines)), repeats,
         failed, ratio, share, not failed and low <= ratio <= high and share <= bands.bad_chunks,

@@ -54,3 +54,16 @@ def test_noise_within_prose_is_rejected(noise, share, place):
     at = int(len(text) * place)
     mixed = judged(text[:at] + junk + text[at:])
     assert not mixed[5] and mixed[-2] > 0.25 and not mixed[-1]
+
+
+@pytest.mark.parametrize("noise", [base64_noise, alphanumeric])
+@pytest.mark.parametrize("n, junk", [(2048 + 1950, 1950), (2048 + 900, 900), (3 * 2048 - 1, 2047), (2 * 2048 + 1700, 1700)])
+def test_noise_behind_the_last_full_chunk_is_rejected(noise, n, junk):
+    for seed in range(10):
+        mixed = judged(prose(n - junk, seed) + worded(noise, junk, seed))
+        assert not mixed[5] and mixed[-2] > 0.25 and not mixed[-1] and judged(prose(n, seed))[-1]
+
+
+def test_every_byte_is_judged():
+    assert judged(alphanumeric(700, 1))[-2] == judged("ab " * 300)[-2] == 1
+    assert judged(prose(700, 1))[-2] == judged("")[-2] == 0
