@@ -7,7 +7,11 @@ not stand side by side after the merges.  Whether two tokens can is decided by u
 towards the seam, and remembered; a position from which nothing led on is never tried again, so the work
 is linear in the length of the piece and the ids are those that merging in rank order gives.
 
-Null text counts as empty, and an empty text has no ids.  Texts of any length are encoded whole.
+Longest tokens are looked up from a position on only when it is reached.
+
+Null text counts as empty, and an empty text has no ids; an empty table gives an empty one.  Repeated rows get equal ids.
+Texts of any length are encoded whole: texts are worked on in runs of about a million characters, a longer one alone.
+The words of a run are told apart first, so each is encoded once; the ids of at most 300,000 recent words are remembered.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ import re
 import struct
 import sys
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,31 +49,40 @@ def chunks(text: str) -> list[str]:
     return _SEAM.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
-class Recent(dict):
-    """What was met lately, in two generations: the young one is the dictionary itself, ``recall`` asks the old one."""
+class Recent:
+    """What was met lately, in two generations of at most ``most`` entries each."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.young, self.old = most, {}, {}
 
-    def recall(self, key: str) -> bytes | None:
-        found = self.old.get(key)
-        if found is not None:
-            self[key] = found
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
         return found
 
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
+def gathered(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces of ``table`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return table[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
 class Coder:
     """Encoder and decoder for one file of ranks."""
 
-    KEPT = 400_000  # entries of a cache generation, each at most LONGEST characters
+    KEPT = 150_000  # entries of a cache generation, each at most LONGEST characters
     LONGEST = 48
-    PAIRS = 1_000_000
+    PAIRS = 200_000
+    RUN = 1 << 20  # characters, or ids, that are worked on at once (a longer text alone)
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
@@ -74,18 +90,24 @@ class Coder:
         self.by_id = {i: b for b, i in ranks.items()}
         self.whole = {b.decode("latin-1"): i for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
-        self.of_byte = [self.whole[chr(b)] for b in range(256)]
         self.pairs: dict[int, bool] = {}
-        self.parts, self.pieces = Recent(self.KEPT), Recent(self.KEPT)  # of texts; matches of the pattern
+        self.parts = Recent(self.KEPT)
         self._undo_merges()
         n = max(ranks.values()) + 1
         self.lengths = [self.length.get(i, 0) for i in range(n)]
         self.shorters = [-1 if (x := self.shorter.get(i)) is None else x for i in range(n)]
         self.automaton = ahocorasick.Automaton()
         for s, i in self.whole.items():
-            if i not in self.unmade and len(s) > 1:
-                self.automaton.add_word(s, (i, len(s) - 1))
+            if i not in self.unmade:
+                self.automaton.add_word(s, i)
         self.automaton.make_automaton()
+        of_byte = [self.by_id.get(i, b"") for i in range(n)]
+        self.bytes_of = np.frombuffer(b"".join(of_byte), np.uint8)
+        self.n_bytes = np.array([len(b) for b in of_byte], np.int64)
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
+        # what the pattern does with letters alone, and with one sign behind them
+        self.letters = self.pattern.findall(" ab") == [" ab"]
+        self.signs = {c for c in ".,;:!?" if self.letters and self.pattern.findall(f" ab{c}") == [" ab", c]}
 
     def _undo_merges(self) -> None:
         """The two tokens that each token is merged from, and its longest proper prefix that is a token."""
@@ -144,73 +166,109 @@ class Coder:
         at_once = self.ranks.get(piece)
         if at_once is not None:
             return [at_once]
-        longest = [self.of_byte[b] for b in piece]
-        for end, (i, back) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - back] = i  # later ends are longer
         length, shorter, pairs = self.lengths, self.shorters, self.pairs
         if len(pairs) > self.PAIRS:
             pairs.clear()
-        n = len(piece)
+        text, n = piece.decode("latin-1"), len(piece)
+        longest: dict[int, int] = {}  # by position, as far as they were asked for
         closed: set[int] = set()  # positions from which nothing leads on
         out: list[int] = []
-        at, token, last = 0, longest[0], -1
+        at, token, last = 0, -1, -1
         while True:
-            while token >= 0:
-                end = at + length[token]
-                if end not in closed:
-                    if last < 0:
-                        break
-                    fits = pairs.get(last << 20 | token)
-                    if fits is None:
-                        fits = pairs[last << 20 | token] = self._fit(last, token)
-                    if fits:
+            token = longest.get(at, -1)
+            if token < 0:  # the longest tokens from here on, one after the other, until they meet known ones
+                place = at
+                for _, found in self.automaton.iter_long(text, at):
+                    if place in longest:
                         break
-                token = shorter[token]
-            if token < 0:
+                    longest[place] = found
+                    place += length[found]
+                token = longest[at]
+            while True:
+                while token >= 0:
+                    end = at + length[token]
+                    if end not in closed:
+                        if last < 0:
+                            break
+                        fits = pairs.get(last << 20 | token)
+                        if fits is None:
+                            fits = pairs[last << 20 | token] = self._fit(last, token)
+                        if fits:
+                            break
+                    token = shorter[token]
+                if token >= 0:
+                    break
                 closed.add(at)
                 token = out.pop()
                 at -= length[token]  # its end is closed now, so it is replaced by a shorter one
                 last = out[-1] if out else -1
-                continue
             out.append(token)
             if end == n:
                 return out
-            at, last, token = end, token, longest[end]
+            at, last = end, token
 
     def encode_piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece) or self.pieces.recall(piece)
-        if found is None:
-            ids = self.merge(piece.encode("utf-8", "replace"))
-            found = array("I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= self.LONGEST:
-                self.pieces[piece] = found
-        return found
+        ids = self.merge(piece.encode("utf-8", "replace"))
+        return array("I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_part(self, part: str) -> bytes:
-        """A part of a text, with its space, that was not met lately."""
-        found = self.parts.recall(part)
-        if found is not None:
-            return found
-        if part.isalpha() and max(part) < "\u0250":
-            found = self.encode_piece(" " + part)  # letters alone are one piece
-        else:
-            found = b"".join(map(self.encode_piece, self.pattern.findall(" " + part)))
-        if len(part) <= self.LONGEST:
-            self.parts[part] = found
+        """Ids of a part of a text, with its space in front."""
+        found = self.parts.get(part)
+        if found is None:
+            word = part[:-1] if part[-1:] in self.signs else part
+            if self.letters and word.isalpha() and max(word) < "\u0250":  # letters alone are one piece
+                found = self.encode_piece(" " + part) if word is part else self.encode_part(word) + self.encode_piece(part[-1])
+            else:
+                found = b"".join(map(self.encode_piece, self.pattern.findall(" " + part)))
+            if len(part) <= self.LONGEST:
+                self.parts.put(part, found)
         return found
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        first, *parts = chunks(text)
-        found = list(map(self.parts.get, parts))
-        if None in found:
-            found = [self.encode_part(p) if f is None else f for p, f in zip(parts, found)]
-            self.parts.trim()
-            self.pieces.trim()
-        return b"".join([*map(self.encode_piece, self.pattern.findall(first)), *found])
+    def encode_run(self, texts: list[str]) -> list[bytes]:
+        firsts, flat, counts = [], [], []
+        for text in texts:
+            first, *parts = chunks(text)
+            firsts.append(b"".join(map(self.encode_piece, self.pattern.findall(first))))
+            flat += parts
+            counts.append(len(parts))
+        coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        known = [self.encode_part(p) for p in coded.dictionary.to_pylist()]
+        n_bytes = np.fromiter(map(len, known), np.int64, len(known))
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = n_bytes[which] // 4
+        ids = gathered(np.frombuffer(b"".join(known), "<u4"), ((np.cumsum(n_bytes) - n_bytes) // 4)[which], lengths)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *counts])].tolist()
+        return [first + ids[a:b].tobytes() for first, a, b in zip(firsts, ends, ends[1:])]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for run in runs(texts, self.RUN) for ids in self.encode_run(run)]
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, memoryview(packed).cast("I")))
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def decode_all(self, packed: list[bytes]) -> list[bytes]:
+        out = []
+        for run in runs(packed, 4 * self.RUN):
+            ids = np.frombuffer(b"".join(run), "<u4")
+            lengths = self.n_bytes[ids]
+            raw = gathered(self.bytes_of, self.first_byte[ids], lengths).tobytes()
+            ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *(len(p) // 4 for p in run)])].tolist()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return out
+
+
+def runs(values: list, most: int) -> Iterator[list]:
+    """Neighbouring values of at most ``most`` characters or bytes together; a longer one alone."""
+    run, held = [], 0
+    for v in values:
+        if run and held + len(v) > most:
+            yield run
+            run, held = [], 0
+        run.append(v)
+        held += len(v)
+    if run:
+        yield run
 
 
 @lru_cache(maxsize=2)
@@ -230,7 +288,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     @F.arrow_udf(BinaryType())
     def ids(texts: pa.Array) -> pa.Array:
         one = coder(path, pattern)
-        return pa.array([one.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        return pa.array(one.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -242,11 +300,26 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
     @F.arrow_udf(BinaryType())
     def raw(packed: pa.Array) -> pa.Array:
         one = coder(path, pattern)
-        return pa.array([None if p is None else one.decode(p) for p in packed.to_pylist()], pa.binary())
+        raws = pa.array(one.decode_all([p or b"" for p in packed.to_pylist()]), pa.binary())
+        return pc.if_else(packed.is_null(), pa.scalar(None, pa.binary()), raws) if packed.null_count else raws
 
     return df.withColumn(out, raw(F.col(ids)))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "coded") -> DataFrame:
+    """Adds (or replaces) ``out``: a struct of ``token_ids`` and ``decoded``, the bytes made from these ids again.
+
+    One call for both: two functions, one on the other's result, would encode twice.
+    """
+    ship(df.sparkSession)
+
+    @F.arrow_udf("token_ids binary, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        one = coder(path, pattern)
+        ids = one.encode_all([t or "" for t in texts.to_pylist()])
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(one.decode_all(ids), pa.binary())], names=["token_ids", "decoded"])
+
+    return df.withColumn(out, both(F.col(text)))
 
 def n_ids(packed: Column) -> Column:
     return F.floor(F.octet_length(packed) / 4).cast("long")

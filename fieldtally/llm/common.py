@@ -79,3 +79,20 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Like :func:`free_name`, for several names at once; they differ from each other too."""
+    out: list[str] = []
+    taken = {c.lower() for c in df.columns}
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

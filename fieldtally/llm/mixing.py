@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import n_words
+from .common import columns_of, free_names, n_words
 
 
 def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -199,15 +199,17 @@ def per_row(units: DataFrame, step: int = 1000) -> DataFrame:
 
 def copied(df: DataFrame, units: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` as often as the mix takes them."""
-    names = df.columns
-    keyed = df.withColumn("_size", n_words(F.col(text_col)))
-    u = units.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.col("rows").alias("_rows"), F.col("low").alias("_low"), F.col("extra").alias("_extra"))
+    names = columns_of(df)
+    size, s, d, z, rows, low, extra, copies, k, nth = free_names(df, "size", "s", "d", "z", "rows", "low", "extra", "copies", "k", "nth")
+    keyed = df.withColumn(size, n_words(F.col(text_col)))
+    u = units.select(*[F.col(a).alias(b) for a, b in (("source", s), ("doc_id", d), ("size", z), ("rows", rows), ("low", low), ("extra", extra))])
     # documents never taken are left out before the texts move
-    both = keyed.join(u.where("_low + _extra > 0"), F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_size") == F.col("_z")) & F.col(source_col).eqNullSafe(F.col("_s")))
-    single = both.where("_rows = 1").withColumn("_copies", F.col("_low") + F.col("_extra"))
-    out = single.withColumn("_nth", F.explode(F.expr("sequence(1L, _copies)")))
+    taken = u.where(F.col(low) + F.col(extra) > 0)
+    both = keyed.join(taken, F.col(id_col).eqNullSafe(F.col(d)) & (F.col(size) == F.col(z)) & F.col(source_col).eqNullSafe(F.col(s)))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    out = both.where(F.col(rows) == 1).withColumn(copies, F.col(low) + F.col(extra)).withColumn(nth, times)
     if units.where("rows > 1").limit(1).count():
-        order = Window.partitionBy("_s", "_d", "_z").orderBy(F.xxhash64(text_col))
-        many = both.where("_rows > 1").withColumn("_k", F.row_number().over(order)).withColumn("_copies", F.col("_low") + (F.col("_k") <= F.col("_extra")).cast("long"))
-        out = out.unionByName(many.where("_copies > 0").drop("_k").withColumn("_nth", F.explode(F.expr("sequence(1L, _copies)"))))
+        order = Window.partitionBy(s, d, z).orderBy(F.xxhash64(text_col))
+        many = both.where(F.col(rows) > 1).withColumn(k, F.row_number().over(order)).withColumn(copies, F.col(low) + (F.col(k) <= F.col(extra)).cast("long"))
+        out = out.unionByName(many.where(F.col(copies) > 0).drop(k).withColumn(nth, times))
     return out.select(*names)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import WORD, ship, text_or_empty
+from .common import WORD, columns_of, free_names, ship, text_or_empty
 
 _WORD = re.compile(WORD)
 _GOLD, _M1, _M2, _BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
@@ -358,18 +358,19 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     docs, classes = near_duplicates(df, id_col, text_col, **how)
     keys = docs.groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(classes, "node")
     first = keys.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("keep"))
+    d, node, key = free_names(df, "d", "node", "key")
     marked = store(
         keys.join(first, "class").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("node") == F.col("keep.node")))
-        .select(F.col("doc_id").alias("_d"), F.col("node").alias("_node"), "stays", "n"),
+        .select(F.col("doc_id").alias(d), F.col("node").alias(node), F.col("stays"), F.col("n")),
         "neardup-marked",
     )
-    names = df.columns
-    keyed = df.withColumn("_key", node_of(text_or_empty(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_node"))
-    kept = keyed.join(small_or_shuffled(marked.where("not stays").select("_d", "_node")), same, "left_anti")
-    repeated = marked.where("stays and n > 1").select("_d", "_node")
+    names = columns_of(df)
+    keyed = df.withColumn(key, node_of(text_or_empty(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(node))
+    kept = keyed.join(small_or_shuffled(marked.where("not stays").select(d, node)), same, "left_anti")
+    repeated = marked.where("stays and n > 1").select(d, node)
     if repeated.isEmpty():
         return kept.select(*names)
     repeated = small_or_shuffled(repeated)
     single = kept.join(repeated, same, "left_anti")
-    return single.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, "_key"])).select(*names)
+    return single.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, key])).select(*names)

@@ -33,9 +33,9 @@ def query(name: str, sql: str | None = None):
 def coded(docs: DataFrame) -> DataFrame:
     """Per document: number of ids, checksums of the ids and of what they decode to."""
     path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "text"), path, pattern)
-    return bpe.decode(ids, path, pattern).select(
-        "doc_id", bpe.n_ids(F.col("token_ids")).alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    made = bpe.round_trip(docs.select("doc_id", "text"), path, pattern)
+    return made.select(
+        "doc_id", bpe.n_ids(F.col("coded.token_ids")).alias("n_tokens"), F.sha2("coded.token_ids", 256).alias("ids_sha256"), F.sha2("coded.decoded", 256).alias("decoded_sha256")
     )
 
 
