@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.llm import mixing, neardup, pii, quality
-from fieldtally.llm.common import documents, free_name
+from fieldtally.llm.common import columns_of, documents, free_name
 from fieldtally.llm.queries import coded
 from fieldtally.session import store
 
@@ -18,7 +18,7 @@ from fieldtally.session import store
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     out = free_name(docs, "quality")
-    return quality.quality(docs, out=out).where(f"{out}.kept").select(*docs.columns)
+    return quality.quality(docs, out=out).where(f"{out}.kept").select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
