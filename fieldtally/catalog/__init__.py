@@ -11,6 +11,7 @@ from . import (  # noqa: F401  (importing a module registers its queries)
     scanned,
     shaped,
     spatial,
+    vectors,
     windowed,
 )
 from .registry import ORACLES, QUERIES
