@@ -36,9 +36,8 @@ def running_totals(spark, sf):
        FROM listens""",
 )
 def running_totals_long(spark, sf):
-    """Per event type over raw events: a few long histories, summed hour by hour."""
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
-    out = windows.running_totals_long(listens(spark, sf), ["type"], ["ts", "event_id"], {"so_far": "seconds"}, hour)
+    """Per event type over raw events: a few long histories, cut by ranges of (type, time) of equal size."""
+    out = windows.running_totals_long(listens(spark, sf), ["type"], ["ts", "event_id"], {"so_far": "seconds"}, rows_per_task=50_000)
     return out.select("event_id", "artist", F.round("so_far", 4).alias("so_far"))
 
 

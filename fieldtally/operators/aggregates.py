@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import as_col, safe_ratio
-from .joins import drop_matching
 
 
 def sum_where(condition: Column, value: str | Column) -> Column:
@@ -123,11 +123,26 @@ def total_or_parts(
     """Use reported total rows where a unit has any, else add up the parts.
 
     Sums and means of the parts stay aligned with the total rows' columns.
+
+    One scan and one aggregate: total rows are grouped by their own values (and counted, so equal ones stay), parts by
+    ``group``, both under their unit.  Whether a unit has total rows is then asked among these few rows.
     """
-    columns = [*group, *sums, *means]
-    totals = df.where(is_total)
-    parts = drop_matching(df.where(~is_total), totals.select(*unit).distinct(), unit)
-    rolled = parts.groupBy(*group).agg(
-        *[F.sum(c).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means]
+    values = [*sums, *means]
+    keys = list(dict.fromkeys([*unit, *group]))
+    flag = F.coalesce(is_total, F.lit(False))
+    flagged = df.where(is_total.isNotNull()).withColumn("__total", flag)
+    own = [F.when(F.col("__total"), F.col(c)).alias(f"__own_{c}") for c in values]
+    cells = flagged.groupBy(*keys, "__total", *own).agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(f"__sum_{c}") for c in values], *[F.count(c).alias(f"__n_{c}") for c in means]
     )
-    return totals.select(*columns).unionByName(rolled.select(*columns))
+    units = W.partitionBy(*[F.col(c) for c in unit])
+    # a missing unit matches no other, so its parts are always added up
+    known = ~F.coalesce(*[F.when(F.col(c).isNull(), F.lit(True)) for c in unit], F.lit(False))
+    marked = cells.withColumn("__has", known & F.max("__total").over(units)).where(F.col("__total") | ~F.col("__has"))
+    # a total row stays itself, as often as it was there; parts of a group meet in one row
+    copies = F.when(F.col("__total"), F.sequence(F.lit(1).cast("long"), F.col("__rows"))).otherwise(F.array(F.lit(0).cast("long")))
+    itself = [F.when(F.col("__total"), F.col(c)).alias(f"__unit_{c}") for c in unit if c not in group]
+    sums_of = {c: F.sum(f"__sum_{c}") for c in sums} | {c: F.try_divide(F.sum(f"__sum_{c}"), F.sum(f"__n_{c}")) for c in means}
+    rows = marked.withColumn("__copy", F.explode(copies)).groupBy(*group, "__total", "__copy", *[f"__own_{c}" for c in values], *itself)
+    out = rows.agg(*[c.alias(f"__of_{n}") for n, c in sums_of.items()])
+    return out.select(*group, *[F.when(F.col("__total"), F.col(f"__own_{c}")).otherwise(F.col(f"__of_{c}")).alias(c) for c in values])

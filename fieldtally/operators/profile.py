@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import store
+from .prefix import prefix_sums
+
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """count, mean, sd, min, max per column from one aggregation."""
@@ -66,6 +68,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = 1_000_000)
         cond = F.col(c).isNotNull()
         return cond if lo is None else cond & (F.col(c) >= lo) & (F.col(c) <= hi)
 
+    missed = False
     row = data.agg(*[F.count(c).alias(c) for c in columns]).first()
     for c in columns:
         total[c] = width[c] = row[c]
@@ -92,6 +95,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = 1_000_000)
             if under > (total[c] - 1) // 2 or under + held <= total[c] // 2:
                 # the approximation missed a middle position: read the wider bracket instead
                 (brackets[c], below[c]), width[c] = before[c], 0
+                missed = True
             else:
                 # no progress means a handful of heavily repeated values is left
                 below[c], width[c] = under, 0 if held == width[c] else held
@@ -104,9 +108,12 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = 1_000_000)
     for c in columns:
         start = F.when(F.col("c") == c, F.lit(below[c])).otherwise(start)
         last = F.when(F.col("c") == c, F.lit(total[c] - 1)).otherwise(last)
-    w = W.partitionBy("c").orderBy("v")
-    placed = counted.select(
-        "c", "v", (start + F.sum("n").over(w) - F.col("n")).alias("first"), (start + F.sum("n").over(w) - 1).alias("final"),
+    # where a bracket could not be narrowed, its distinct values may be many: they are summed up range by range
+    if missed:
+        counted = store(counted, "median-counts")
+    upto = prefix_sums(counted, ["c"], ["v"], {"upto": "n"}, rows_per_task=small, parts=None if missed else 1)
+    placed = upto.select(
+        "c", "v", (start + F.col("upto") - F.col("n")).alias("first"), (start + F.col("upto") - 1).alias("final"),
         F.floor(last / 2).alias("lo"), F.ceil(last / 2).alias("hi"),
     )
     hit = placed.where(

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import store
+from .prefix import ROWS_PER_TASK, prefix_sums
+
 
 def top_n(df: DataFrame, n: int, order: Sequence[Column], group: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """The n best rows, per group if asked, keeping every row tied with the n-th."""
@@ -50,33 +53,18 @@ def at_group_min(df: DataFrame, group: Sequence[str], column: str, null_empties_
     return df.join(minima.select(*group, column), [*group, column], "left_semi")
 
 
-def average_ranks(df: DataFrame, column: str, name: str, blocks: int = 200) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, name: str, blocks: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Rank over the whole table, largest first, tied rows sharing their average rank.
 
-    Approximate quantiles (one aggregate row) cut the value range into blocks.  Row counts of earlier blocks
-    come from a table of at most ``blocks + 1`` rows, distinct values are ranked inside
-    their block, and the ranks are joined back by value; no task sorts the whole table and
-    a value shared by many rows is counted before it is shuffled.  Missing values get no rank.
-    ``df`` is read four times: store it first if it is costly.
+    Equal values are counted first, so a value shared by many rows is one row.  The distinct values are dealt by ranges
+    of about ``rows_per_task`` (or into ``blocks`` ranges), the counts are summed up over them, and the ranks are joined
+    back by value; no task sorts the whole table.  Missing values get no rank.  ``df`` is read twice: store it
+    first if it is costly.
     """
-    known = df.where(F.col(column).isNotNull())
-    probs = [i / blocks for i in range(1, blocks)]
-    found = known.agg(F.array_distinct(F.percentile_approx(column, probs, 10000))).first()[0]
-    splits = F.array(*[F.lit(s) for s in found or []])
-    value = F.col(column)
-    # block 0 holds the largest values
-    block = F.size(F.filter(splits, lambda s: s >= value))
-    counted = known.select(column, block.alias("__block")).groupBy("__block", column).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = known.select(block.alias("__block")).groupBy("__block").agg(F.count(F.lit(1)).alias("__rows"))
-    earlier = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("__block", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
-    inside = W.partitionBy("__block").orderBy(value.desc())
-    ahead = F.sum("__n").over(inside) - F.col("__n")
-    ranked = (
-        counted.withColumn("__ahead", ahead)
-        .join(offsets, "__block")
-        .select(column, (F.col("__offset") + F.col("__ahead") + (F.col("__n") + 1) / 2).alias(name))
-    )
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    counted = store(counted, "rank-counts")
+    upto = prefix_sums(counted, [], [F.col(column).desc()], {"__upto": "__n"}, rows_per_task, blocks)
+    ranked = upto.select(column, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranked, column, "left")
 
 

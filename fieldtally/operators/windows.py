@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_ratio, zero_if_null
+from .prefix import ROWS_PER_TASK, prefix_sums
 
 
 def season_window(entity: Sequence[str], order: Sequence[str]):
@@ -38,14 +39,17 @@ def running_totals_long(
     entity: Sequence[str],
     order: Sequence[str],
     measures: Mapping[str, str],
-    block: str | Column,
+    block: str | Column | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """The same totals for histories too long for one task.
 
-    ``block`` cuts each entity's history into consecutive pieces (say, the month of a
-    timestamp).  Pieces are summed independently; the totals of earlier pieces are added
-    from a table with one row per (entity, block).
+    Histories are cut by ranges of (entity, order) into pieces of about ``rows_per_task`` rows, wherever the rows lie.
+    ``block`` cuts them by a column instead (say, the month of a timestamp); then the longest block bounds a task.
+    Pieces are summed independently and the totals of earlier pieces are added.
     """
+    if block is None:
+        return prefix_sums(df, entity, order, measures, rows_per_task)
     cut = df.withColumn("__block", F.col(block) if isinstance(block, str) else block)
     keys = [*entity, "__block"]
     inner = running_totals(cut, keys, order, measures)
