@@ -21,13 +21,14 @@ from .tables import LISTENS_SQL, TEAM_MONTHS_SQL, VOTES_SQL, PLAYS_SQL, listens,
      LEFT JOIN nation ON o.team = n_name""",
 )
 def left_join_multi(spark, sf):
-    p = plays(spark, sf)
-    offence = p.where("kind = 'R'").groupBy("team", "year", "week").agg(F.round(F.sum("points"), 2).alias("points"))
-    defence = (
-        p.where("kind = 'A'").groupBy(F.col("opp").alias("team"), "year", "week").agg(F.round(F.sum("points"), 2).alias("allowed"))
-    )
+    kind = lambda k: F.when(F.col("kind") == k, F.col("points"))
+    both = aggregates.two_sided(
+        plays(spark, sf), "team", "opp", ["year", "week"], parts={"ran": F.sum(kind("R")), "caught": F.sum(kind("A"))},
+        own={"points": F.round(F.sum("ran"), 2)}, faced={"allowed": F.round(F.sum("caught"), 2)},
+    )
+    # months without a run have no row of their own
+    both = both.where("points IS NOT NULL")
     nations = table(spark, sf, "nation").select("n_name", F.col("n_regionkey").alias("region"))
-    both = joins.left_attach(offence, defence, ["team", "year", "week"])
     return joins.left_attach(both, nations, {"team": "n_name"})
 
 

@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import bayes, ensembles, metrics, models, neighbours, prepare, ranking, sets, tuning
+from ..operators import bayes, ensembles, gram, metrics, models, neighbours, prepare, ranking, sets, tuning
 from ..session import store, store_for_fits
 from ..sources.files import table
 from .registry import query
@@ -171,6 +171,45 @@ def linreg_metrics(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("slope", "intercept")})
 
 
+@query(
+    "ridge_folds",
+    """WITH rows_ AS (SELECT o_custkey % 10 AS fold, CAST(day(o_orderdate) AS DOUBLE) AS x, CAST(o_custkey % 97 AS DOUBLE) AS z, o_totalprice / 1000 AS y FROM orders),
+       folds AS (SELECT DISTINCT fold FROM rows_),
+       s AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz,
+                    covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM folds f JOIN rows_ r ON r.fold <> f.fold GROUP BY 1),
+       g AS (SELECT * FROM (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE)) v(penalty)),
+       -- two inputs: the normal equations by Cramer's rule, the penalty on standardised slopes
+       b AS (SELECT fold, n, penalty, mx, mz, my, (xy * zz * (1 + penalty) - zy * xz) / d AS bx, (zy * xx * (1 + penalty) - xy * xz) / d AS bz
+             FROM (SELECT *, xx * zz * (1 + penalty) * (1 + penalty) - xz * xz AS d FROM s, g)),
+       e AS (SELECT b.fold, penalty, count(*) AS held, sqrt(avg((y - (my - bx * mx - bz * mz) - bx * x - bz * z) ** 2)) AS rmse
+             FROM b JOIN rows_ r ON r.fold = b.fold GROUP BY ALL)
+       SELECT 'ridge' AS model, CAST(fold AS INTEGER) AS fold, penalty, n AS train, held, round(bx, 6) AS slope_x, round(bz, 6) AS slope_z,
+              round(my - bx * mx - bz * mz, 4) AS intercept, round(rmse, 5) AS rmse FROM b JOIN e USING (fold, penalty)
+       UNION ALL
+       -- one input: the lasso has a closed form
+       SELECT 'lasso', CAST(fold AS INTEGER), penalty, n, held, round(slope, 6), NULL, round(my - slope * mx, 4), round(rmse, 5)
+       FROM (SELECT l.fold, penalty, n, mx, my, slope, count(*) AS held, sqrt(avg((y - my + slope * mx - slope * x) ** 2)) AS rmse
+             FROM (SELECT *, sign(xy) * greatest(abs(xy) / sqrt(xx) - penalty, 0) / sqrt(xx) AS slope FROM s, g) l JOIN rows_ r ON r.fold = l.fold GROUP BY ALL)""",
+)
+def ridge_folds(spark, sf):
+    """Every fold and penalty from one aggregate over the orders."""
+    o = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 10).alias("part"), F.dayofmonth("o_orderdate").cast("double").alias("x"), (F.col("o_custkey") % 97).cast("double").alias("z"),
+        (F.col("o_totalprice") / 1000).alias("y"),
+    )
+    both = gram.fold_sums(o, ["x", "z"], "y", F.col("part"))
+    one = {k: s.without(2) for k, s in both.items()}
+    penalties = [0.0, 0.1, 1.0]
+    shown = []
+    for name, sums, mix in (("ridge", both, 0.0), ("lasso", one, 1.0)):
+        found = gram.search_table(spark, gram.search(sums, [(p, mix) for p in penalties]))
+        shown.append(found.select(
+            F.lit(name).alias("model"), "fold", "penalty", "train", "held", F.round(F.get("slopes", F.lit(0)), 6).alias("slope_x"),
+            F.round(F.get("slopes", F.lit(1)), 6).alias("slope_z"), F.round("intercept", 4).alias("intercept"), F.round("rmse", 5).alias("rmse"),
+        ))
+    return together(shown)
+
+
 @query("linear_models")
 def linear_models(spark, sf):
     """Least squares, and the elastic net on a formula with a text column and interactions."""

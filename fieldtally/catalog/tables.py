@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import aggregates
 from ..sources.files import table
 
 # a line of an order is a play: supplier nation attacks, customer nation defends
@@ -64,17 +65,14 @@ def whole(c):
 
 def team_months(spark: SparkSession, sf: str) -> DataFrame:
     """One row per team and month: its last opponent, points, yards, allowed sums, flags."""
-    p = plays(spark, sf)
-    offence = p.groupBy("team", "year", "week").agg(
-        F.max_by("opp", F.struct(*PLAY_ORDER)).alias("last_opp"),
-        whole(F.sum("points")).alias("points"),
-        F.round(F.sum("yards"), 2).alias("yards"),
-        F.count(F.lit(1)).alias("plays"),
-    )
-    defence = p.groupBy(F.col("opp").alias("team"), "year", "week").agg(
-        whole(F.sum("points")).alias("allowed_points"), F.round(F.sum("yards"), 2).alias("allowed_yards")
-    )
-    both = offence.join(defence, ["team", "year", "week"], "left")
+    both = aggregates.two_sided(
+        plays(spark, sf), "team", "opp", ["year", "week"],
+        parts={"points": F.sum("points"), "yards": F.sum("yards"), "plays": F.count(F.lit(1)), "last": F.max(F.struct(*PLAY_ORDER))},
+        own={
+            "last_opp": F.max_by("opp", "last"), "points": whole(F.sum("points")), "yards": F.round(F.sum("yards"), 2), "plays": F.sum("plays"),
+        },
+        faced={"allowed_points": whole(F.sum("points")), "allowed_yards": F.round(F.sum("yards"), 2)},
+    )
     # a team that met itself has no opponent that month
     return both.select(
         "team", "year", "week",

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import as_col, safe_ratio
+from ..session import store
 
 
 def sum_where(condition: Column, value: str | Column) -> Column:
@@ -146,3 +147,17 @@ def total_or_parts(
     rows = marked.withColumn("__copy", F.explode(copies)).groupBy(*group, "__total", "__copy", *[f"__own_{c}" for c in values], *itself)
     out = rows.agg(*[c.alias(f"__of_{n}") for n, c in sums_of.items()])
     return out.select(*group, *[F.when(F.col("__total"), F.col(f"__own_{c}")).otherwise(F.col(f"__of_{c}")).alias(c) for c in values])
+
+
+def two_sided(
+    facts: DataFrame, side: str, other: str, period: Sequence[str], parts: Mapping[str, Column], own: Mapping[str, Column], faced: Mapping[str, Column], label: str = "pairs"
+) -> DataFrame:
+    """One row per ``side`` and period from a single pass over ``facts``: what it did itself, and what was done to it.
+
+    The facts are aggregated once to (side, other, period) by ``parts`` and stored; this narrow table is rolled up to
+    both sides: ``own`` over the rows where a unit is ``side``, ``faced`` where it is ``other``.
+    """
+    pairs = store(facts.groupBy(side, other, *period).agg(*[c.alias(n) for n, c in parts.items()]), label)
+    did = pairs.groupBy(side, *period).agg(*[c.alias(n) for n, c in own.items()])
+    met = pairs.withColumn("__side", F.col(other)).groupBy("__side", *period).agg(*[c.alias(n) for n, c in faced.items()])
+    return did.join(met.withColumnRenamed("__side", side), [side, *period], "left")
