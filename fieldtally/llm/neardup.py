@@ -10,13 +10,16 @@ so its pairs are never listed.  Instead each member is held against one hub of i
 text there) by the exact similarity of both texts.  What is not similar to the hub goes on to the next round with a
 hub of its own.  A member of the hub's kind and one that is not can still be similar to each other only if the
 triangle inequality of the distance allows it; so can two members that were like none of ``rounds`` hubs.  These
-open pairs are closed at the end: inside a bucket, only members of different components still matter, so first a
-few members of each component are compared, which joins most components, and then every pair whose two ends
-are still apart.  Of the open pairs, those whose whole signatures agree in far too few places are left out before
-the exact check.  Classes are the connected components of the links.
+open texts are closed at the end, whatever buckets they share.  All their shingles are put in one order, rare ones first, and each
+text keeps the beginning that holds more than 1 - ``least`` of its weight: two similar texts have a shingle of
+these in common, so texts that share no more than a common passage never meet.  Of the pairs that do, only those in different
+components matter: first a few members of each component are compared, which joins most components, and then
+every pair whose two ends are still apart.  Those whose whole signatures agree in far too few places are left
+out before the exact check.  Classes are the connected components of the links.
 
 Equal texts are one node from the beginning (128-bit checksum).  Null text counts as empty; all empty texts are copies
-of each other.  A text of fewer than five words has one shingle, its words.  Ids may be null or repeated.
+of each other.  A text of fewer than five words has one shingle, its words.  Ids may be null or repeated.  An empty table
+has no classes.  Very long texts are shingled whole; a comparison holds two of them.
 """
 
 from __future__ import annotations
@@ -239,24 +242,73 @@ def ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def open_pairs(left: DataFrame, right: DataFrame, labels: DataFrame | None, least: float, most: int | None) -> DataFrame:
-    """Pairs of a bucket that may be similar and lie in different components; of each component ``most`` members a
-    bucket, the nearest to the hub (None: all).  A ``sim`` of null says that the distance to the hub is not known."""
+#: Counters of the order of shingles, whatever the corpus: 4 MB in every task.
+SLOTS = 1 << 20
 
-    def side(df: DataFrame, end: str) -> DataFrame:
-        df = df.select("turn", "bucket", F.col("node").alias(end), F.col("sim").alias(f"s{end}"))
-        if labels is None:
-            df = df.withColumn(f"l{end}", F.col(end))
-        else:
-            df = df.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
-        if most is None:
-            return df
-        near = Window.partitionBy("turn", "bucket", f"l{end}").orderBy(F.col(f"s{end}").desc_nulls_last(), end)
-        return df.withColumn("place", F.row_number().over(near)).where(F.col("place") <= most).drop("place")
 
-    met = side(left, "a").join(side(right, "b"), ["turn", "bucket"])
-    near = F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - least, F.lit(True))
-    return met.where((F.col("la") != F.col("lb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """How many texts hold a shingle of each slot (its hash modulo SLOTS)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingled, seen = Shingler(words), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(seen, (shingled(text.as_py())[0] % np.uint64(SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(seen[slots])], names=["slot", "n"])
+
+    table = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    out[table.column("slot").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def prefixes(texts: DataFrame, counts, words: int, least: float) -> DataFrame:
+    """(node, shingle): the rarest shingles of each text, until they hold more than 1 - ``least`` of its weight.
+
+    A similarity of ``least`` needs common shingles that hold as much of either text's weight (each term of the
+    similarity is at most the shingle's share of either).  In any one order of all shingles, the first common one then
+    stands in both texts' prefixes: what precedes it is not common, so it holds at most 1 - ``least``.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingled = Shingler(words)
+        for batch in batches:
+            nodes, found = [], []
+            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                items, weights = shingled(text)
+                order = np.lexsort((items, counts.value[(items % np.uint64(SLOTS)).astype(np.int64)]))
+                before = np.cumsum(weights[order]) - weights[order]
+                kept = order[before <= (1 - least) * weights.sum() + SLACK]
+                kept = kept[counts.value[(items[kept] % np.uint64(SLOTS)).astype(np.int64)] > 1]  # others are in one text alone
+                nodes += [node] * len(kept)
+                found.append(items[kept])
+            shingles = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(shingles)], names=["node", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(cut, "node binary, shingle long")
+
+
+def open_pairs(shared: DataFrame, labels: DataFrame | None, most: int | None) -> DataFrame:
+    """Pairs of open texts that share a shingle of their prefixes and lie in different components.
+
+    ``shared``: node, shingle, is_left, is_right; one end is a left one, the other a right one.  Of each component
+    ``most`` members a shingle (None: all).
+    """
+    if labels is None:
+        df = shared.withColumn("label", F.col("node"))
+    else:
+        df = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def side(role: str, end: str) -> DataFrame:
+        own = df.where(role)
+        if most is not None:
+            place = Window.partitionBy("shingle", "label").orderBy("node")
+            own = own.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+        return own.select("shingle", F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+
+    met = side("is_left", "a").join(side("is_right", "b"), "shingle").where(F.col("la") != F.col("lb"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -328,10 +380,14 @@ def near_duplicates(
         left.append(among)
         right.append(among)
     if left:
-        left_side, right_side = reduce(DataFrame.unionByName, left), reduce(DataFrame.unionByName, right)
+        sides = [df.select("node", F.lit(k == 0).alias("is_left"), F.lit(k == 1).alias("is_right")) for k, group in enumerate((left, right)) for df in group]
+        roles = store(reduce(DataFrame.unionByName, sides).groupBy("node").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right")), "neardup-roles")
+        own = store(texts.join(small_or_shuffled(roles.select("node")), "node", "left_semi"), "neardup-open-texts")
+        counts = df.sparkSession.sparkContext.broadcast(rarity(own, words))
+        shared = store(prefixes(own, counts, words, least).join(small_or_shuffled(roles), "node"), "neardup-prefixes")
         seen = None
         for most in (1, 8, None):
-            pairs = open_pairs(left_side, right_side, labels, least, most)
+            pairs = open_pairs(shared, labels, most)
             pairs = store(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "neardup-open")
             seen = pairs if seen is None else seen.unionByName(pairs)
             likely = store(promising(pairs, marks, bands * rows, least), "neardup-likely")
