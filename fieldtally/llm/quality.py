@@ -7,7 +7,7 @@ is, so the limits go by length.  Beside the bands stand plain counts of words, s
 repeated five-word windows.
 
 Null text counts as having no words and fails the rules, as empty text does.  Whole texts are read; the
-memory of a task is that of one batch and one text's word numbers.
+memory of a task is that of one batch and one text's word numbers.  Repeated rows get equal verdicts, an empty table none.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ fit, the longest wins: more host labels first, then the longer path.
 
 The verdict of a url no rule fits is ``default``, unless the filter's own entries (``extra``) decide; they are
 walked in a trie of their own and never show up as ``rule``.  A null url, or one without ``://``, has an empty
-host and path; only the default applies to it.
+host and path; only the default applies to it.  Repeated urls get equal verdicts, an empty table none; a url of any length is
+walked as far as the trie goes.
 """
 
 from __future__ import annotations
