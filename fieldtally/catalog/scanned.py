@@ -41,7 +41,7 @@ def scan_csv_multiline(spark, sf):
     third = F.col("n_chars") % 3
     docs = table(spark, sf, "documents").withColumn("awkward", F.when(third == 0, "").when(third == 1, F.expr(_AWKWARD)))
     path = write_delimited(docs, scratch_path(spark, "csv-multiline"), null_text=MISSING)
-    return read_delimited(spark, path, docs.schema, null_text=MISSING, multi_line=True)
+    return read_delimited(spark, path, docs.schema, null_text=MISSING, multi_line=True, line_end="\n")
 
 
 @query(

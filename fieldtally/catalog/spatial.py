@@ -80,3 +80,32 @@ def dot_density(spark, sf):
     return place.groupBy("s_suppkey", "kind").agg(
         F.sum("d").alias("dots"), F.sum("i").alias("inside"), F.count(F.lit(1)).alias("places")
     )
+
+
+_PARTS = 12
+
+
+@query(
+    "dot_density_parts",
+    f"""SELECT s_suppkey, n AS dots, n AS inside, n AS places FROM (
+         SELECT s_suppkey, CAST(count(*) // {_PARTS} AS BIGINT) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) WHERE n > 0""",
+)
+def dot_density_parts(spark, sf):
+    """Shapes with a hole and a second part; every third one is a line without area.  Checked by plain comparisons."""
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.floor(F.count(F.lit(1)) / _PARTS).cast("long").alias("n"))
+    x0 = (F.col("s_suppkey") % 100) * 10.0
+
+    def box(x, y, side, turned=False):
+        corners = [(0, 0), (0, side), (side, side), (side, 0), (0, 0)] if turned else [(0, 0), (side, 0), (side, side), (0, side), (0, 0)]
+        return F.array(*[F.struct((x + float(a)).alias("x"), F.lit(float(y + b)).alias("y")) for a, b in corners])
+
+    frame = F.array(box(x0, 0, 4), box(x0 + 1.0, 1, 2, turned=True), box(x0 + 6.0, 0, 2))
+    line = F.array(F.array(*[F.struct((x0 + dx).alias("x"), F.lit(1.0).alias("y")) for dx in (0.0, 5.0, 2.0, 0.0)]))
+    flat = F.col("s_suppkey") % 3 == 0
+    shapes = table(spark, sf, "supplier").select("s_suppkey", F.when(flat, line).otherwise(frame).alias("rings"))
+    dots = spatial.dot_density(counts.join(shapes, "s_suppkey"), ["s_suppkey"], "rings", "n", seed=11)
+    x, y = F.col("x") - x0, F.col("y")
+    outer = x.between(0, 4) & y.between(0, 4) & ~((x > 1) & (x < 3) & (y > 1) & (y < 3))
+    ok = F.when(flat, (y == 1.0) & x.between(0, 5)).otherwise(outer | (x.between(6, 8) & y.between(0, 2)))
+    place = dots.withColumn("ok", ok).groupBy("s_suppkey", "x", "y").agg(F.count(F.lit(1)).alias("d"), F.count_if("ok").alias("i"))
+    return place.groupBy("s_suppkey").agg(F.sum("d").alias("dots"), F.sum("i").alias("inside"), F.count(F.lit(1)).alias("places"))

@@ -10,12 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.nulls import safe_ratio
 
 
-def ring_edges(ring: str) -> Column:
+def ring_edges(ring: str | Column) -> Column:
     """Consecutive vertex pairs of a closed ring."""
+    ring = F.col(ring) if isinstance(ring, str) else ring
     n = F.size(ring)
     heads, tails = F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1)
     return F.zip_with(heads, tails, lambda p, q: F.struct(p.alias("a"), q.alias("b")))
@@ -95,24 +97,34 @@ def dot_density(
 ) -> DataFrame:
     """``dots`` random points inside each row's polygon: (keys, dot, x, y).
 
+    ``ring`` holds one closed ring, or an array of them: several parts, and holes, which lie inside an odd number of other
+    rings (a point is inside the shape if a ray from it crosses an odd number of edges of all rings).  A shape
+    without an area has its dots on its edges, by their length.
+
     A row is cut into chunks of at most ``chunk`` dots and the chunks are spread over all
     tasks, so one heavy polygon is not one task's work.  Each dot draws its own hash-based
     candidates in the bounding box until one falls inside; dots never need to be counted or
     ranked per polygon.  Draws come in growing batches that are only evaluated when the
     batch before missed, and the number allowed follows the polygon's fill of its box, so
-    that the chance of running out is about e^-40 per dot; such a dot takes the first
-    vertex, which keeps the count exact.
+    that the chance of running out is about e^-40 per dot; such a dot takes a place on the
+    edges, which keeps the count exact.
     """
+    several = isinstance(df.schema[ring].dataType.elementType, ArrayType)
+    rings = F.filter(ring, lambda r: F.size(r) > 1) if several else F.array(ring)
+    points = F.flatten(rings) if several else F.col(ring)
+    edges_of = F.flatten(F.transform(rings, ring_edges))
+    xs, ys = F.transform(points, lambda v: v["x"]), F.transform(points, lambda v: v["y"])
+    width, height = F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")
+    # holes take away at least as much as their winding says; a thin frame may need more draws than a full shape
+    whole = F.aggregate(rings, F.lit(0.0), lambda acc, r: acc + F.abs(_edge_sum(ring_edges(r), _cross)))
+    signed = F.abs(_edge_sum(F.col("__edges"), _cross))
     with_box = df.where(F.col(dots) > 0).select(
-        *keys, ring, dots, ring_edges(ring).alias("__edges"),
-        F.array_min(F.transform(ring, lambda v: v["x"])).alias("__x0"),
-        F.array_max(F.transform(ring, lambda v: v["x"])).alias("__x1"),
-        F.array_min(F.transform(ring, lambda v: v["y"])).alias("__y0"),
-        F.array_max(F.transform(ring, lambda v: v["y"])).alias("__y1"),
+        *keys, dots, edges_of.alias("__edges"), whole.alias("__whole"),
+        F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"), F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"),
     )
-    width, height = F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")
-    fill = F.abs(_edge_sum(F.col("__edges"), _cross)) / 2 / (width * height)
-    tries = F.greatest(F.lit(8), F.ceil(F.lit(40.0) / fill)).cast("int")
+    fill = F.try_divide(F.least(signed, F.col("__whole")) / 2, width * height)
+    flat = F.coalesce(fill <= 1e-12, F.lit(True))
+    tries = F.when(flat, F.lit(0)).otherwise(F.least(F.greatest(F.lit(8), F.ceil(F.lit(40.0) / fill)), F.lit(1_000_000_000))).cast("int")
     chunks = F.sequence(F.lit(0).cast("long"), ((F.col(dots) - 1) / F.lit(chunk)).cast("long"))
     spread = (
         with_box.withColumn("__tries", tries)
@@ -133,7 +145,19 @@ def dot_density(
         candidates = F.transform(F.sequence(lo, hi), draw)
         return F.get(F.filter(candidates, lambda p: point_in_ring(p["x"], p["y"], F.col("__edges"))), F.lit(0))
 
-    point = F.coalesce(
-        batch(F.lit(1), F.lit(2)), batch(F.lit(3), F.lit(8)), batch(F.lit(9), F.col("__tries") + 8), F.get(ring, F.lit(0))
-    )
+    def length(e):
+        return F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], F.lit(2)) + F.pow(e["b"]["y"] - e["a"]["y"], F.lit(2)))
+
+    # a place on the edges: the first edge at which their lengths so far reach a share of the whole
+    aim = _edge_sum(F.col("__edges"), length) * unit_noise(*keys, "dot", F.lit(-1), F.lit(seed))
+    start = F.struct(F.lit(0.0).alias("so_far"), F.lit(None).cast("struct<x:double,y:double>").alias("p"))
+
+    def walk(acc, e):
+        share = F.least(F.greatest(F.coalesce(F.try_divide(aim - acc["so_far"], length(e)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        here = F.struct((e["a"]["x"] + share * (e["b"]["x"] - e["a"]["x"])).alias("x"), (e["a"]["y"] + share * (e["b"]["y"] - e["a"]["y"])).alias("y"))
+        return F.struct((acc["so_far"] + length(e)).alias("so_far"), F.when(acc["p"].isNull() & (acc["so_far"] + length(e) >= aim), here).otherwise(acc["p"]).alias("p"))
+
+    on_edge = F.aggregate("__edges", start, walk, lambda acc: acc["p"])
+    inside = F.coalesce(batch(F.lit(1), F.lit(2)), batch(F.lit(3), F.lit(8)), batch(F.lit(9), F.col("__tries") + 8))
+    point = F.coalesce(F.when(F.col("__tries") > 0, inside), on_edge)
     return each.select(*keys, "dot", point.alias("__p")).select(*keys, "dot", "__p.x", "__p.y")

@@ -16,11 +16,13 @@ NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 def read_delimited(
     spark: SparkSession, path, schema: T.StructType | str | None = None, delimiter: str = ",", null_text: str = "",
-    empty_text: str | None = None, multi_line: bool = False,
+    empty_text: str | None = None, multi_line: bool = False, line_end: str | None = None,
 ) -> DataFrame:
     """Header row; give a schema for large inputs, inference costs a full extra read.
 
     ``multi_line`` reads quoted values with line breaks; such a file is one task's work, so write many.
+    Line ends are found by the reader, in Windows files too; ``line_end`` fixes them ("\\n" for files that
+    :func:`write_delimited` wrote, so that other line ends inside values stay as they are).
     A value equal to ``null_text`` is missing, one equal to ``empty_text`` is the empty text.  With a
     schema, a row that does not fit it is an error, never a row of nulls.
     """
@@ -28,8 +30,8 @@ def read_delimited(
     reader = reader.option("escape", '"').option("timestampNTZFormat", NTZ_FORMAT).option("multiLine", multi_line)
     if empty_text is not None:
         reader = reader.option("emptyValue", empty_text)
-    if multi_line:
-        reader = reader.option("lineSep", "\n")
+    if line_end is not None:
+        reader = reader.option("lineSep", line_end)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.option("mode", "FAILFAST").schema(schema).csv(path)
