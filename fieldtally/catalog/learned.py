@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import bayes, ensembles, gram, metrics, models, neighbours, prepare, ranking, sets, tuning
+from ..operators import bayes, components, ensembles, gram, metrics, models, neighbours, prepare, ranking, sets, tuning
 from ..session import store, store_for_fits
 from ..sources.files import table
 from .registry import query
@@ -101,6 +101,36 @@ def pca_scores(spark, sf):
     return fitted.apply(v).select("vec_id", *scores, *share)
 
 
+@query(
+    "prefix_components",
+    """WITH r AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS a, corr(l_discount, l_tax) AS b, corr(l_discount, l_linenumber) AS c,
+                         corr(l_tax, l_linenumber) AS d FROM lineitem)
+       SELECT 'size' AS prefix, n, 2.0::DOUBLE AS variance, round(2 + 2 * a * a, 6) AS strength, round(1 + abs(a), 6) AS first, 0.0::DOUBLE AS means, 0.0::DOUBLE AS crossed FROM r
+       UNION ALL SELECT 'rate', n, 3.0, round(3 + 2 * (b * b + c * c + d * d), 6), NULL, 0.0, 0.0 FROM r""",
+)
+def prefix_components(spark, sf):
+    """Components of two groups of columns, standardised: what SQL can tell about the scores without the directions. The variances
+    add up to the number of columns, their squares to the squared correlations; means and covariances vanish."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("size_quantity"), F.col("l_extendedprice").alias("size_price"), F.col("l_discount").alias("rate_discount"),
+        F.col("l_tax").alias("rate_tax"), F.col("l_linenumber").alias("rate_line"),
+    )
+    blocks = components.fit_blocks(li, components.by_prefix(li.columns, ["size", "rate"]), 3)
+    scores = components.bind_scores(li, blocks, drop=True)
+    shown = []
+    for name, block in blocks.items():
+        pcs = [f"{name}_PC{i + 1}" for i in range(len(block.variances))]
+        total = lambda cs: reduce(lambda a, b: a + b, cs)
+        pairs = [F.abs(F.covar_pop(a, b)) for i, a in enumerate(pcs) for b in pcs[:i]]
+        shown.append(scores.agg(
+            F.lit(name).alias("prefix"), F.count(pcs[0]).alias("n"), F.round(total([F.var_pop(c) for c in pcs]), 6).alias("variance"),
+            F.round(total([F.pow(F.var_pop(c), F.lit(2)) for c in pcs]), 6).alias("strength"),
+            (F.round(F.var_pop(pcs[0]), 6) if len(pcs) == 2 else F.lit(None).cast("double")).alias("first"),
+            F.round(total([F.abs(F.avg(c)) for c in pcs]), 6).alias("means"), F.round(total(pairs), 6).alias("crossed"),
+        ))
+    return together(shown)
+
+
 @query(
     "pairwise_interactions",
     """SELECT l_orderkey, l_quantity * l_extendedprice AS "l_quantity|l_extendedprice", l_quantity * l_discount AS "l_quantity|l_discount",

@@ -65,8 +65,9 @@ def solve(sums: Sums, penalty: float = 0.0, mix: float = 0.0, tolerance: float =
     """(intercept, slopes) that minimise half the mean squared error plus ``penalty`` times (mix * sum of sizes + (1 - mix) / 2 *
     sum of squares) of the slopes of standardised inputs; the intercept is free.  ``mix`` 0: ridge, 1: lasso."""
     cov, with_y, means, mean_y = sums.centred()
-    scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    used = scale > 0
+    variances = np.maximum(np.diag(cov), 0.0)
+    used = variances > 1e-13 * (variances + means**2)  # less is the rounding of a constant
+    scale = np.where(used, np.sqrt(variances), 0.0)
     q = cov[np.ix_(used, used)] / np.outer(scale[used], scale[used])
     c = with_y[used] / scale[used]
     if mix == 0.0 or penalty == 0.0:
