@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import bayes, components, ensembles, gram, metrics, models, neighbours, prepare, ranking, sets, tuning
+from ..operators import bayes, components, ensembles, gram, metrics, models, neighbours, online, prepare, ranking, sets, tuning
 from ..session import store, store_for_fits
 from ..sources.files import table
 from .registry import query
@@ -267,6 +267,51 @@ def logreg_metrics(spark, sf):
     return together(out)
 
 
+def _online_sql() -> str:
+    score = "w0 + w1 * x1 + w2 * x2 + w3 * x3"
+    steps = {
+        "perceptron": f"CASE WHEN y * ({score}) <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+        "passive-aggressive": f"least(0.5::DOUBLE, greatest(0.0::DOUBLE, 1 - y * ({score})) / (1 + x1 * x1 + x2 * x2 + x3 * x3))",
+    }
+    ctes, out = [], []
+    for k, (kind, step) in enumerate(steps.items()):
+        start = "(SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3)"
+        for e in (1, 2):
+            f, a = f"f{k}{e}", f"a{k}{e}"
+            ctes.append(f"""{f}(part, rn, w0, w1, w2, w3) AS (
+              SELECT p.part, 0::BIGINT, w0, w1, w2, w3 FROM (SELECT DISTINCT part FROM r) p, {start} b UNION ALL
+              SELECT part, rn, w0 + t * y, w1 + t * y * x1, w2 + t * y * x2, w3 + t * y * x3
+              FROM (SELECT r.part, r.rn, w0, w1, w2, w3, x1, x2, x3, y, {step} AS t FROM {f} g JOIN r ON r.part = g.part AND r.rn = g.rn + 1))""")
+            ctes.append(f"""{a} AS (SELECT sum(w0 * rn) / sum(rn) AS w0, sum(w1 * rn) / sum(rn) AS w1, sum(w2 * rn) / sum(rn) AS w2, sum(w3 * rn) / sum(rn) AS w3
+              FROM (SELECT *, max(rn) OVER (PARTITION BY part) AS m FROM {f}) WHERE rn = m)""")
+            start = a
+            out.append(f"""SELECT '{kind}' AS model, {e} AS epochs, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, hits
+              FROM {a}, (SELECT count(*) AS hits FROM r, {a} WHERE ({score} > 0) = (y > 0))""")
+    return f"""WITH RECURSIVE {TABULAR_SQL}, r AS (
+        SELECT doc_id % 4 AS part, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS rn, n_chars / 1000.0::DOUBLE AS x1, commas / 10.0::DOUBLE AS x2,
+               stops / 10.0::DOUBLE AS x3, CASE WHEN quality > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM tabular),
+      {", ".join(ctes)} {" UNION ALL ".join(out)}"""
+
+
+@query("online_classifiers", _online_sql())
+def online_classifiers(spark, sf):
+    """Perceptron and passive-aggressive learner after one and two epochs, four parts each."""
+    t = store(
+        tabular(spark, sf).select(
+            "doc_id", "quality", (F.col("n_chars") / 1000).alias("chars"), (F.col("commas") / 10).alias("commas"), (F.col("stops") / 10).alias("stops")
+        ),
+        "online",
+    )
+    out = []
+    for name, most in (("perceptron", None), ("passive-aggressive", 0.5)):
+        for epochs in (1, 2):
+            model = online.fit_online(t, ["chars", "commas", "stops"], "quality", "doc_id", F.col("doc_id") % 4, 4, epochs, most)
+            hits = model.apply(t).agg(F.count_if(F.col("prediction") == F.col("quality")).alias("hits"))
+            weights = [F.round(F.lit(w), 6).alias(f"w{i}") for i, w in enumerate(model.weights)]
+            out.append(hits.select(F.lit(name).alias("model"), F.lit(epochs).alias("epochs"), *weights, "hits"))
+    return together(out)
+
+
 @query("tree_models")
 def tree_models(spark, sf):
     df, features = labelled(spark, sf)

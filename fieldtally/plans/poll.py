@@ -297,7 +297,7 @@ def with_running_totals(calendar: DataFrame, needed: set[str] | None = None) ->
     return rated.withColumns(_only({f"{c}_per_game": safe_ratio(c, "games") for c in averages}, needed))
 
 
-# Own measure x what the opponent usually allows or produces, as the features are defined:
+# Own measure x what the opponent usually allows or produces. Fixed values of the published features:
 # some pairs deliberately meet an unlike measure.
 MATCHUPS = {
     "points": "cum_points_allowed_per_game",
@@ -377,6 +377,7 @@ def poll_rows(calendar: DataFrame) -> DataFrame:
     return partner_rows(logged.withColumns(lags), "team", "opponent", ["year", "week"], ["lag_log_votes"]).drop("opponent", "conference")
 
 
+# Measures weighted by the opponent's last vote: fixed values of the published features
 VOTE_WEIGHTED = (
     *RESULTS, "passing_yards", "rushing_yards", "yards", "passes_complete", "yards_per_pass", "passing_touchdowns",
     "yards_per_rush", "rushing_touchdowns", "plays", "yards_per_play", "redzone_scoring_rate", "fourth_down_rate",
@@ -422,7 +423,7 @@ def season_features(
     return out if columns is None else out.select(*columns)
 
 
-# The model's input besides the component scores
+# The model's input besides the component scores: fixed values of the published features
 MODEL_COLUMNS = (
     "lag_log_votes", "cum_win", "cum_loss", "cum_m_allowed_passes_complete_per_game", "cum_allowed_completion_rate",
     "cum_allowed_passes_missed", "cum_allowed_yards_per_pass_per_game", "cum_m_allowed_passing_yards_per_game",
