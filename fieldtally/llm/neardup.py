@@ -7,13 +7,12 @@ process stops.  Two signatures agree in a place with the probability Jaccard sim
 
 Signatures are cut into bands; texts that agree in a band meet in a bucket.  A bucket may hold a third of the corpus,
 so its pairs are never listed.  Instead each member is held against one hub of its bucket (the smallest
-text there) by the exact similarity of both texts.  What is not similar to the hub goes on to the next round with a
-hub of its own.  A member of the hub's kind and one that is not can still be similar to each other only if the
-triangle inequality of the distance allows it; so can two members that were like none of ``rounds`` hubs.  These
-open pairs are closed at the end: inside a bucket, only members of different components still matter, so first a
-few members of each component are compared, which joins most components, and then every pair whose two ends
-are still apart.  Of the open pairs, those whose whole signatures agree in far too few places are left out before
-the exact check.  Classes are the connected components of the links.
+text there) by the exact similarity of both texts.  Members that this leaves outside the hub's component go on to the
+next round with a hub of their own; ``rounds`` of them settle as many large families a bucket.  What is still open,
+members inside the hub's component against those outside and the members that no round settled, is compared by a second
+signature of ``places`` places: both sides are cut into blocks of bounded size, a task holds one block of each, and only pairs of different
+components whose signatures agree in enough places leave it.  These are checked exactly, the most alike first, and
+those that a link found meanwhile has joined are not checked at all.  Classes are the connected components of the links.
 
 Equal texts are one node from the beginning (128-bit checksum).  Null text counts as empty; all empty texts are copies
 of each other.  A text of fewer than five words has one shingle, its words.  Ids may be null or repeated.  An empty table
@@ -126,25 +125,23 @@ def node_of(text: Column) -> Column:
 
 
 def signed(df: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, buckets, marks) of every row; marks: a byte for each place of the signature."""
+    """(doc_id, node, buckets) of every row."""
     ship(df.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler(words)
         for batch in batches:
             ids = batch.column(0)
-            nodes, found, marks = [], [], []
+            nodes, found = [], []
             for text in batch.column(1).to_pylist():
                 nodes.append(hashlib.md5(text.encode("utf-8", "replace")).digest())
                 items, weights = shingled(text)
-                who = signature(items, weights, bands * rows)
-                found.append(buckets(who, bands) if len(items) else [])
-                marks.append((mixed(who) >> np.uint64(56)).astype(np.uint8).tobytes())
-            columns = [ids, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "buckets", "marks"])
+                found.append(buckets(signature(items, weights, bands * rows), bands) if len(items) else [])
+            columns = [ids, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "buckets"])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return docs.mapInArrow(sign, "doc_id long, node binary, buckets array<long>, marks binary")
+    return docs.mapInArrow(sign, "doc_id long, node binary, buckets array<long>")
 
 
 def small_or_shuffled(df: DataFrame, most: int = 500_000) -> DataFrame:
@@ -189,21 +186,86 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return store(with_a.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary, sim double"), "neardup-verified")
 
 
-def promising(pairs: DataFrame, marks: DataFrame, places: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in enough places for a similarity of ``least``.
+def marked(texts: DataFrame, words: int, places: int) -> DataFrame:
+    """(node, marks): a second, longer signature, a byte for each place, of texts that the hubs leave open."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingled = Shingler(words)
+        for batch in batches:
+            marks = []
+            for text in batch.column(1).to_pylist():
+                items, weights = shingled(text)
+                who = signature(mixed(items + _GOLD), weights, places)  # other arrivals than those of the bands
+                marks.append((mixed(who) >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["node", "marks"])
+
+    return texts.select("node", "text").mapInArrow(mark, "node binary, marks binary")
+
+
+def least_agreement(places: int, least: float) -> float:
+    """Places agree independently, so fewer than 4.5 standard deviations below the mean come with a chance of 4 in a million."""
+    return places * least - 4.5 * (places * least * (1 - least)) ** 0.5
+
 
-    Places agree independently, so fewer than 4.5 standard deviations below the mean come with a chance of 4 in a million.
+def alike_in_blocks(sides: DataFrame, labels: DataFrame | None, marks: DataFrame, places: int, least: float, block: int = 256) -> DataFrame:
+    """(turn, bucket, node, inner, outer, n_inner, n_outer) -> (a, b, agree): pairs of an inner and an outer member of one
+    bucket that lie in different components and whose signatures agree in enough places for a similarity of ``least``.
+
+    A side of n members is dealt into n / ``block`` blocks by a hash of the node and sent once to each block of the other
+    side, so no task holds more than two blocks of a bucket, and n * m / ``block`` rows are sent, not n * m pairs.
     """
-    agree = places * least - 4.5 * (places * least * (1 - least)) ** 0.5
+    enough = least_agreement(places, least)
+    here = F.struct("turn", "bucket", "inner", "outer", "n_inner", "n_outer")
+    nodes = sides.groupBy("node").agg(F.collect_list(here).alias("at")).join(marks, "node")  # signatures and labels are looked up once a node
+    if labels is None:
+        nodes = nodes.withColumn("label", F.col("node"))
+    else:
+        nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    blocks = {s: F.ceil(F.col(f"n_{s}") / block).cast("int") for s in ("inner", "outer")}
+
+    def dealt(side: str, other: str) -> Column:
+        """The block pairs of a member, its own block being fixed."""
+        own = F.pmod(F.xxhash64("node", F.lit(7)), blocks[side]).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks[other] - 1), lambda o: F.struct(F.lit(side == "inner").alias("is_inner"), *((own.alias("i"), o.alias("j")) if side == "inner" else (o.alias("i"), own.alias("j")))))
+        return F.when(F.col(side), pairs)
+
+    none = F.array().cast("array<struct<is_inner:boolean,i:int,j:int>>")
+    rows = nodes.select("node", "label", "marks", F.inline("at"))
+    rows = rows.select("node", "label", "marks", "turn", "bucket", F.inline(F.concat(F.coalesce(dealt("inner", "outer"), none), F.coalesce(dealt("outer", "inner"), none))))
+    # block pairs that share a hash are merely compared with each other, too
+    rows = rows.select(F.xxhash64("turn", "bucket", "i", "j").alias("pair"), "is_inner", "node", "label", "marks")
+    parts = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(t: pa.Table) -> pa.RecordBatch:
+            inner = t.column(1).to_numpy()
+            node, label = (np.array(t.column(c).to_pylist(), object) for c in (2, 3))
+            seen = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, places)
+            _, label = np.unique(label, return_inverse=True)
+            ins, outs = np.flatnonzero(inner), np.flatnonzero(~inner)
+            found: list[tuple] = []
+            for x in ins:
+                ys = outs[label[outs] != label[x]]
+                if len(ys):
+                    agree = (seen[ys] == seen[x]).sum(axis=1)
+                    for y, n in zip(ys[agree >= enough], agree[agree >= enough]):
+                        found.append((min(node[x], node[y]), max(node[x], node[y]), int(n)))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 3, (pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "agree"])
+
+        rest: pa.Table | None = None
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, places) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= agree))
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            keys = t.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield of(t.slice(lo, hi - lo))
+            rest = t.slice(cuts[-1]) if len(t) else None  # the last block pair may go on in the next batch
+        if rest is not None:
+            yield of(rest)
 
-    for c in ("b", "a"):
-        pairs = pairs.join(marks.select(F.col("node").alias(c), F.col("marks").alias(f"m{c}")), c)
-    return pairs.select("a", "b", "ma", "mb").mapInArrow(look, "a binary, b binary")
+    met = rows.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(compare, "a binary, b binary, agree int")
+    return store(met.distinct(), "neardup-alike")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,26 +302,6 @@ def ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
-def open_pairs(left: DataFrame, right: DataFrame, labels: DataFrame | None, least: float, most: int | None) -> DataFrame:
-    """Pairs of a bucket that may be similar and lie in different components; of each component ``most`` members a
-    bucket, the nearest to the hub (None: all).  A ``sim`` of null says that the distance to the hub is not known."""
-
-    def side(df: DataFrame, end: str) -> DataFrame:
-        df = df.select("turn", "bucket", F.col("node").alias(end), F.col("sim").alias(f"s{end}"))
-        if labels is None:
-            df = df.withColumn(f"l{end}", F.col(end))
-        else:
-            df = df.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
-        if most is None:
-            return df
-        near = Window.partitionBy("turn", "bucket", f"l{end}").orderBy(F.col(f"s{end}").desc_nulls_last(), end)
-        return df.withColumn("place", F.row_number().over(near)).where(F.col("place") <= most).drop("place")
-
-    met = side(left, "a").join(side(right, "b"), ["turn", "bucket"])
-    near = F.coalesce(F.abs(F.col("sa") - F.col("sb")) <= 1 - least, F.lit(True))
-    return met.where((F.col("la") != F.col("lb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The pairs that no chain of links joins yet."""
     if labels is None:
@@ -268,11 +310,12 @@ def labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, rows: int = 8, rounds: int = 3
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = 40, rows: int = 8, rounds: int = 3, places: int = 640
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, node, a row per row; classes: node, class for every node).  A class is named by a node.
 
-    Two texts of similarity ``least`` = 0.8 meet in a bucket with probability 0.9994 under 40 bands of 8.
+    Two texts of similarity ``least`` = 0.8 meet in a bucket with probability 0.9994 under 40 bands of 8.  Of those that
+    the hubs leave open, the second signature passes over 4 in a million.
     """
     least -= SLACK  # exactly ``least`` counts; the triangle bounds below widen with it
     docs = store(signed(df, id_col, text_col, words, bands, rows), "neardup-docs")
@@ -282,12 +325,10 @@ def near_duplicates(
     alive = store(members.join(shared, "bucket", "left_semi"), "neardup-members")
     needed = small_or_shuffled(store(alive.select("node").distinct(), "neardup-nodes"))
     whole = df.select(text_or_empty(text_col).alias("text")).withColumn("node", node_of(F.col("text")))
-    marks = store(docs.join(needed, "node", "left_semi").select("node", "marks").dropDuplicates(["node"]), "neardup-marks")
     texts = store(whole.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "neardup-texts")
 
     labels: DataFrame | None = None
-    left: list[DataFrame] = []  # (turn, bucket, node, sim to the hub): members whose pairs with those on the right are open
-    right: list[DataFrame] = []
+    sides: list[DataFrame] = []  # members inside (inner) and outside (outer) their hub's component, where there are both
 
     def check(pairs: DataFrame) -> DataFrame:
         nonlocal labels
@@ -311,31 +352,27 @@ def near_duplicates(
             sims = more if sims is None else sims.unionByName(more)
         if sims is None:  # every member is linked to its hub already
             break
-        # only buckets with a member outside the hub's component go on: pairs inside a component need no link
-        unlike = labelled(sims.where(F.col("sim") < least).select("a", "b"), labels)
-        mixed = small_or_shuffled(store(held.join(unlike, ["a", "b"], "left_semi").select("bucket").distinct(), "neardup-mixed"))
-        known = store(held.join(mixed, "bucket", "left_semi").join(sims, ["a", "b"], "left"), "neardup-known")
-        # a pair that was not compared is linked already, over others; how far apart the two are says who may be like the unlike ones
-        unknown = store(known.where("sim is null").select("a", "b").distinct(), "neardup-unknown")
-        if not unknown.isEmpty():
-            late = verified(unknown, texts, words).withColumnRenamed("sim", "late")
-            known = store(known.join(late, ["a", "b"], "left").withColumn("sim", F.coalesce("sim", "late")).drop("late"), "neardup-known")
-        sided = known.select(F.lit(turn).alias("turn"), "bucket", F.col("b").alias("node"), "sim")
-        left.append(sided.where((F.col("sim") < least) & (F.col("sim") >= 2 * least - 1)))
-        right.append(sided.where(F.col("sim") >= least))
-        alive = store(known.where(F.col("sim") < least).select("bucket", F.col("b").alias("node")), "neardup-members")
-    else:
-        among = alive.select(F.lit(rounds).alias("turn"), "bucket", "node", F.lit(None).cast("double").alias("sim"))
-        left.append(among)
-        right.append(among)
-    if left:
-        left_side, right_side = reduce(DataFrame.unionByName, left), reduce(DataFrame.unionByName, right)
-        seen = None
-        for most in (1, 8, None):
-            pairs = open_pairs(left_side, right_side, labels, least, most)
-            pairs = store(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "neardup-open")
-            seen = pairs if seen is None else seen.unionByName(pairs)
-            likely = store(promising(pairs, marks, bands * rows, least), "neardup-likely")
+        # pairs inside a component need no link, so only buckets with a member outside the hub's component go on
+        unlike = store(labelled(sims.where(F.col("sim") < least).select("a", "b"), labels).withColumn("apart", F.lit(True)), "neardup-unlike")
+        if unlike.isEmpty():
+            break
+        split = store(held.join(unlike, ["a", "b"], "left").select("bucket", F.col("b").alias("node"), F.col("apart").isNotNull().alias("outer")), "neardup-split")
+        mixed = split.groupBy("bucket").agg(F.count_if("outer").alias("n_outer"), F.count_if(~F.col("outer")).alias("n_inner")).where("n_outer > 0")
+        known = store(split.join(small_or_shuffled(store(mixed, "neardup-mixed")), "bucket"), "neardup-known")
+        sides.append(known.where("n_inner > 0").select(F.lit(turn).alias("turn"), "bucket", "node", (~F.col("outer")).alias("inner"), "outer", "n_inner", "n_outer"))
+        alive = known.where("outer and n_outer > 1").select("bucket", "node", "n_outer")
+    else:  # each of these against each
+        yes, n = F.lit(True), F.col("n_outer")
+        sides.append(alive.select(F.lit(rounds).alias("turn"), "bucket", "node", yes.alias("inner"), yes.alias("outer"), n.alias("n_inner"), n.alias("n_outer")))
+    if sides:
+        met = reduce(DataFrame.unionByName, sides)
+        open_ones = small_or_shuffled(store(met.select("node").distinct(), "neardup-open"))
+        marks = store(marked(texts.join(open_ones, "node", "left_semi"), words, places), "neardup-marks")
+        pairs = alike_in_blocks(met, labels, marks, places, least)
+        enough, mean = least_agreement(places, least), places * least
+        tops = [places + 1, mean, (mean + enough) / 2, enough]  # the most alike first: their links join most of what the others ask
+        for top, low in zip(tops, tops[1:]):
+            likely = store(labelled(pairs.where((F.col("agree") < top) & (F.col("agree") >= low)).select("a", "b"), labels), "neardup-likely")
             if not likely.isEmpty():
                 check(likely)
 

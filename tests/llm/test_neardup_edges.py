@@ -22,8 +22,8 @@ def node(text):
 
 def classes_in(spark, monkeypatch, texts, buckets):
     """Class of each text when the texts meet in the given buckets only."""
-    rows = [(i, bytearray(node(t)), [b for b, inside in buckets.items() if i in inside], bytearray(320)) for i, t in enumerate(texts)]
-    given = spark.createDataFrame(rows, "doc_id long, node binary, buckets array<long>, marks binary")
+    rows = [(i, bytearray(node(t)), [b for b, inside in buckets.items() if i in inside]) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, "doc_id long, node binary, buckets array<long>")
     monkeypatch.setattr(neardup, "signed", lambda *_: neardup.ship(spark) or given)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.class_id for r in neardup.class_ids(*neardup.near_duplicates(df)).collect()}
@@ -98,3 +98,27 @@ def test_drifting_chains_over_a_shared_passage(spark, monkeypatch):
                     low, high = sorted((want[a], want[b]))
                     want = [low if x == high else x for x in want]
     assert len(set(want)) > 3 and classes_in(spark, monkeypatch, texts, buckets) == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_blocks_give_every_alike_pair_of_different_components(spark, block):
+    """However the two sides of a bucket are cut: against all pairs, signatures of 64 places."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 256, 64)
+    marks = [bytes(np.where(r.random(64) < 0.25, r.integers(0, 256, 64), base).astype(np.uint8)) for _ in range(40)]
+    nodes = [bytes([i]) * 16 for i in range(40)]
+    label = [i % 5 if i % 3 else i for i in range(40)]  # some share a component
+    members = {(0, 7): (range(0, 25), range(25, 40)), (3, 7): (range(10, 40),) * 2, (1, 9): ([1], range(2, 9))}
+    rows = [(t, b, nodes[i], i in ins, i in outs, len(ins), len(outs)) for (t, b), (ins, outs) in members.items() for i in sorted({*ins, *outs})]
+    sides = spark.createDataFrame(rows, "turn int, bucket long, node binary, inner boolean, outer boolean, n_inner long, n_outer long")
+    labels = spark.createDataFrame([(nodes[i], nodes[label[i]]) for i in range(40)], "node binary, label binary")
+    given = spark.createDataFrame(list(zip(nodes, marks)), "node binary, marks binary")
+    got = {(r.a[0], r.b[0]): r.agree for r in neardup.alike_in_blocks(sides, labels, given, 64, 0.8, block).collect()}
+    want = {}
+    for ins, outs in members.values():
+        for a in ins:
+            for b in outs:
+                agree = sum(x == y for x, y in zip(marks[a], marks[b]))
+                if label[a] != label[b] and agree >= neardup.least_agreement(64, 0.8):
+                    want[min(a, b), max(a, b)] = agree
+    assert got == want and 20 < len(want) < 700
