@@ -12,7 +12,7 @@ next round with a hub of their own; ``rounds`` of them settle as many large fami
 members inside the hub's component against those outside and the members that no round settled, is compared by a second
 signature of ``places`` places: both sides are cut into blocks of bounded size, a task holds one block of each, and only pairs of different
 components whose signatures agree in enough places leave it.  These are checked exactly, the most alike first, and
-those that a link found meanwhile has joined are not checked at all.  Classes are the connected components of the links.
+those that a link found meanwhile has joined are not told at all.  Classes are the connected components of the links.
 
 Equal texts are one node from the beginning (128-bit checksum).  Null text counts as empty; all empty texts are copies
 of each other.  A text of fewer than five words has one shingle, its words.  Ids may be null or repeated.  An empty table
@@ -207,20 +207,25 @@ def least_agreement(places: int, least: float) -> float:
     return places * least - 4.5 * (places * least * (1 - least)) ** 0.5
 
 
-def alike_in_blocks(sides: DataFrame, labels: DataFrame | None, marks: DataFrame, places: int, least: float, block: int = 256) -> DataFrame:
+def alike_in_blocks(sides: DataFrame, labels: DataFrame | None, marks: DataFrame, places: int, low: float, top: float, block: int = 256) -> DataFrame:
     """(turn, bucket, node, inner, outer, n_inner, n_outer) -> (a, b, agree): pairs of an inner and an outer member of one
-    bucket that lie in different components and whose signatures agree in enough places for a similarity of ``least``.
+    bucket that lie in different components and whose signatures agree in at least ``low`` and fewer than ``top`` places.
 
     A side of n members is dealt into n / ``block`` blocks by a hash of the node and sent once to each block of the other
     side, so no task holds more than two blocks of a bucket, and n * m / ``block`` rows are sent, not n * m pairs.
+    Two members that meet in several buckets are told once, in the first of them: each row knows all its buckets.
     """
-    enough = least_agreement(places, least)
     here = F.struct("turn", "bucket", "inner", "outer", "n_inner", "n_outer")
     nodes = sides.groupBy("node").agg(F.collect_list(here).alias("at")).join(marks, "node")  # signatures and labels are looked up once a node
     if labels is None:
         nodes = nodes.withColumn("label", F.col("node"))
     else:
         nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def met_in(side: str) -> Column:
+        return F.transform(F.filter("at", lambda x: x[side]), lambda x: F.xxhash64(x["turn"], x["bucket"]))
+
+    nodes = nodes.select("node", "label", "marks", "at", met_in("inner").alias("ins"), met_in("outer").alias("outs"))
     blocks = {s: F.ceil(F.col(f"n_{s}") / block).cast("int") for s in ("inner", "outer")}
 
     def dealt(side: str, other: str) -> Column:
@@ -230,25 +235,31 @@ def alike_in_blocks(sides: DataFrame, labels: DataFrame | None, marks: DataFrame
         return F.when(F.col(side), pairs)
 
     none = F.array().cast("array<struct<is_inner:boolean,i:int,j:int>>")
-    rows = nodes.select("node", "label", "marks", F.inline("at"))
-    rows = rows.select("node", "label", "marks", "turn", "bucket", F.inline(F.concat(F.coalesce(dealt("inner", "outer"), none), F.coalesce(dealt("outer", "inner"), none))))
-    # block pairs that share a hash are merely compared with each other, too
-    rows = rows.select(F.xxhash64("turn", "bucket", "i", "j").alias("pair"), "is_inner", "node", "label", "marks")
+    told = ["node", "label", "marks", "ins", "outs"]
+    rows = nodes.select(*told, F.inline("at"))
+    both = (F.col("inner") & F.col("outer")).alias("both")
+    rows = rows.select(*told, "turn", "bucket", both, F.inline(F.concat(F.coalesce(dealt("inner", "outer"), none), F.coalesce(dealt("outer", "inner"), none))))
+    rows = rows.select(F.xxhash64("turn", "bucket", "i", "j").alias("pair"), F.xxhash64("turn", "bucket").alias("key"), "is_inner", "both", *told)
     parts = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(t: pa.Table) -> pa.RecordBatch:
-            inner = t.column(1).to_numpy()
-            node, label = (np.array(t.column(c).to_pylist(), object) for c in (2, 3))
-            seen = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, places)
+            key, inner, both = (t.column(c).to_numpy() for c in (1, 2, 3))
+            node, label = (np.array(t.column(c).to_pylist(), object) for c in (4, 5))
+            seen = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, places)
+            within, without = ([frozenset(x) for x in t.column(c).to_pylist()] for c in (7, 8))
             _, label = np.unique(label, return_inverse=True)
             ins, outs = np.flatnonzero(inner), np.flatnonzero(~inner)
             found: list[tuple] = []
             for x in ins:
-                ys = outs[label[outs] != label[x]]
-                if len(ys):
-                    agree = (seen[ys] == seen[x]).sum(axis=1)
-                    for y, n in zip(ys[agree >= enough], agree[agree >= enough]):
+                ys = outs[(label[outs] != label[x]) & (key[outs] == key[x])]
+                if not len(ys):
+                    continue
+                agree = (seen[ys] == seen[x]).sum(axis=1)
+                for y, n in ((y, n) for y, n in zip(ys[agree >= low], agree[agree >= low]) if n < top):
+                    if both[x] and node[x] > node[y]:  # each against each: the other way round they meet again
+                        continue
+                    if key[x] == min((within[x] & without[y]) | (without[x] & within[y])):
                         found.append((min(node[x], node[y]), max(node[x], node[y]), int(n)))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 3, (pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "agree"])
 
@@ -265,7 +276,7 @@ def alike_in_blocks(sides: DataFrame, labels: DataFrame | None, marks: DataFrame
             yield of(rest)
 
     met = rows.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(compare, "a binary, b binary, agree int")
-    return store(met.distinct(), "neardup-alike")
+    return store(met, "neardup-alike")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -368,11 +379,9 @@ def near_duplicates(
         met = reduce(DataFrame.unionByName, sides)
         open_ones = small_or_shuffled(store(met.select("node").distinct(), "neardup-open"))
         marks = store(marked(texts.join(open_ones, "node", "left_semi"), words, places), "neardup-marks")
-        pairs = alike_in_blocks(met, labels, marks, places, least)
-        enough, mean = least_agreement(places, least), places * least
-        tops = [places + 1, mean, (mean + enough) / 2, enough]  # the most alike first: their links join most of what the others ask
-        for top, low in zip(tops, tops[1:]):
-            likely = store(labelled(pairs.where((F.col("agree") < top) & (F.col("agree") >= low)).select("a", "b"), labels), "neardup-likely")
+        mean, enough = places * least, least_agreement(places, least)
+        for low, top in ((mean, places + 1), (enough, mean)):  # the most alike first: their links join most of what the others ask
+            likely = alike_in_blocks(met, labels, marks, places, low, top).select("a", "b")
             if not likely.isEmpty():
                 check(likely)
 
