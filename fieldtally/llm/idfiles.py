@@ -13,8 +13,8 @@ serialized id arrays gives each frame what the documents have in common.  File f
 A file ends with its block, or earlier when it holds ``file_bytes``.  Files hold neighbouring ids in ascending order (null ids last; rows with equal ids by a hash of their text), so the
 files in order are the corpus in order.  A document is read by its two index entries and one frame.
 
-The dictionary is trained on the first frames of a bounded sample by hash (``sample`` documents at most, a
-parameter); every document is encoded whole.  A file is written under a name of its own and then moved to its
+The dictionary is trained on a piece from anywhere of each document of a bounded sample by hash (``sample`` documents
+at most, a parameter); every document is encoded whole.  A file is written under a name of its own and then moved to its
 final name, so a task that runs twice leaves one whole file; the manifest names the files that count.
 Null text is empty: its frame holds the end id alone.  An empty table gives an empty manifest.
 """
@@ -41,6 +41,7 @@ from .common import block_bounds, block_of, order_key, ship, text_or_empty
 
 MAGIC = b"FTIDS001"
 _NULL = 1 << 62
+BLOCKS_PER_TASK = 8  # at most, on average: tasks grow in number with the table
 
 
 class CachedTokenizer:
@@ -60,7 +61,7 @@ class CachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized as ``kind``."""
-        known, marks = self.known, self.MARKS
+        marks = self.MARKS
         split: list[list[str]] = []
         for text in texts:
             first, *parts = chunks(text)
@@ -72,13 +73,15 @@ class CachedTokenizer:
                 else:
                     out.append(" " + p)
             split.append(out)
-        ids = [list(map(known.get, pieces)) for pieces in split]
-        unknown = list({p for pieces, found in zip(split, ids) if None in found for p, f in zip(pieces, found) if f is None and known.recall(p) is None})
-        fresh = {p: np.array(e.ids, self.kind).tobytes() for at in range(0, len(unknown), 4096) for p, e in zip(unknown[at : at + 4096], self.tokenizer.encode_batch_fast(unknown[at : at + 4096], add_special_tokens=False))}
-        out = [b"".join(found) if None not in found else b"".join([f if f is not None else fresh[p] if p in fresh else known[p] for p, f in zip(pieces, found)]) for pieces, found in zip(split, ids)]
-        known.update((p, i) for p, i in fresh.items() if len(p) <= self.LONGEST)
-        known.trim()
-        return out
+        found = {p: self.known.get(p) for p in set().union(*split)}  # each piece is looked up once for all texts
+        unknown = [p for p, ids in found.items() if ids is None]
+        for at in range(0, len(unknown), 4096):
+            some = unknown[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                found[p] = np.array(e.ids, self.kind).tobytes()
+                if len(p) <= self.LONGEST:
+                    self.known.put(p, found[p])
+        return [b"".join(map(found.__getitem__, pieces)) for pieces in split]
 
 
 @lru_cache(maxsize=2)
@@ -158,25 +161,27 @@ def write_ids(
     with system.open_output_stream(f"{folder}/dictionary.zstd") as f:
         f.write(dictionary)
     frames = docs.mapInArrow(encode, "block long, k0 long, k1 long, k2 long, doc_id long, n long, frame binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(bounds) // BLOCKS_PER_TASK))
     in_order = frames.repartition(parts, "block").sortWithinPartitions("block", "k0", "k1", "k2")
     return store(in_order.mapInArrow(write, "block long, part long, file string, n_docs long, n_ids long"), "id-manifest")
 
 
 def train_on(docs: DataFrame, tokenizer_path: str, end_id: int, sample: int, sample_bytes: int, dictionary_bytes: int) -> bytes:
-    """A dictionary from the beginnings of ``sample`` documents, the ones with the smallest hashes."""
+    """A dictionary from pieces of ``sample`` documents, the ones with the smallest hashes; where a piece begins is a hash too."""
     # the sample alone is cut: a long document would teach the dictionary nothing but itself
-    cut = docs.select("k1", "k2", F.substring("text", 1, 2 * sample_bytes).alias("text"))
+    places = F.greatest(F.length("text") - 2 * sample_bytes, F.lit(0)) + 1
+    begin = (F.pmod(F.xxhash64("k1", "k2", F.lit(31)), places) + 1).cast("int")
+    cut = docs.select("k1", "k2", F.substring(F.col("text"), begin, F.lit(2 * sample_bytes)).alias("text"))
     some = cut.orderBy(F.xxhash64("k1", "k2", F.lit(29)), "k1", "k2").select("text").limit(sample)
 
-    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tokenizer(tokenizer_path)
         end = np.array([end_id], one.kind).tobytes()
         for batch in batches:
             raw = [(r + end)[:sample_bytes] for r in one.encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["raw"])
 
-    return train([bytes(r.raw) for r in some.mapInArrow(beginnings, "raw binary").collect()], dictionary_bytes)
+    return train([bytes(r.raw) for r in some.mapInArrow(pieces, "raw binary").collect()], dictionary_bytes)
 
 
 def read_header(f, digest: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
