@@ -70,10 +70,11 @@ def as_text(sig: np.ndarray) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common phrases among the smallest hashes of both sets together; exact for small sets."""
-    both = np.union1d(a, b)[:HASHES]
-    if not len(both):
+    mine, yours = set(a.tolist()), set(b.tolist())
+    both = sorted(mine | yours)[:HASHES]
+    if not both:
         return 1.0
-    return float(np.count_nonzero(np.isin(both, a) & np.isin(both, b)) / len(both))
+    return len((mine & yours).intersection(both)) / len(both)
 
 
 def edited(text: str, following: str) -> tuple[str, str]:

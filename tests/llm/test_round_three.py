@@ -254,3 +254,19 @@ def test_bounds_hold():
     low, high = grid.bounds(queries, grid.codes(vectors))
     exact = queries @ vectors.T
     assert (low <= exact).all() and (exact <= high).all()
+
+
+def test_likeness_is_the_share_among_the_smallest_hashes():
+    import random
+
+    import numpy as np
+
+    from fieldtally.llm import phrases
+
+    r = random.Random(5)
+    for na, nb in ((0, 0), (0, 3), (5, 0), (1, 1), (40, 64), (64, 64), (64, 7)):
+        a = np.array(sorted(r.sample(range(90), na)), np.uint32)
+        b = np.array(sorted(r.sample(range(90), nb)), np.uint32)
+        both = np.union1d(a, b)[: phrases.HASHES]
+        want = float(np.count_nonzero(np.isin(both, a) & np.isin(both, b)) / len(both)) if len(both) else 1.0
+        assert phrases.likeness(a, b) == want
