@@ -108,3 +108,17 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
     assert [r.n for r in pii.find_pii(df, keep=("doc_id",)).select(F.size("spans").alias("n")).collect()] == [0, 0]
     assert pii.find_pii(df.limit(0), keep=("doc_id",)).count() == 0
+
+
+def test_every_answer_is_learnt_from(spark, monkeypatch):
+    """More answers than the 20,000 that used to be drawn: all of them reach the trees or the thresholds."""
+    n = 24_000
+    made_up = spark.range(n).select(
+        F.col("id").alias("row"), F.lit(2).alias("kind"), F.lit(0).alias("start"), F.lit(16).alias("end"),
+        (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 * 3 + F.col("id") % 5).cast("double").alias("f_length"),
+    )
+    kept = {}
+    monkeypatch.setattr(pii, "store", lambda df, label: kept.setdefault(label, store(df, label)))
+    model, thresholds = pii.fit(made_up, pii.Fit())
+    assert model is not None and thresholds
+    assert sorted(df.count() for df in kept.values()) == [n]
