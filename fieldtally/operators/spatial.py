@@ -51,7 +51,7 @@ def vertex_centroids(
     """The same from a vertex table of closed rings (several rings add up, holes wind the other way).
 
     A vertex serves the edge it starts and the edge it ends; the two halves meet by
-    (geo, ring, edge), so even one giant ring is spread over all tasks.
+    (geo, ring, edge), so even one giant ring is spread over all tasks, and a task holds the edges dealt to it only.
     """
     halves = vertices.select(
         geo, ring, x, y,
@@ -59,7 +59,8 @@ def vertex_centroids(
                           F.struct((F.col(seq) - 1).alias("edge"), F.lit(False).alias("start")))).alias("h"),
     ).select(geo, ring, "h.edge", "h.start", x, y)
     is_start = F.col("start")
-    edges = halves.groupBy(geo, ring, "edge").agg(
+    # dealt before they are grouped: a task that reads the vertices would hold all their edges, as no two of its halves need meet
+    edges = halves.repartition(geo, ring, "edge").groupBy(geo, ring, "edge").agg(
         F.max(F.when(is_start, F.col(x))).alias("x0"), F.max(F.when(is_start, F.col(y))).alias("y0"),
         F.max(F.when(~is_start, F.col(x))).alias("x1"), F.max(F.when(~is_start, F.col(y))).alias("y1"),
     ).where("x0 is not null and x1 is not null")
