@@ -315,15 +315,15 @@ def online_classifiers(spark, sf):
 @query("tree_models")
 def tree_models(spark, sf):
     df, features = labelled(spark, sf)
-    kinds = {
-        "tree": {"maxDepth": 6},
-        "forest": FOREST,
-        "boosting": BOOSTING,
-    }
-    out = [scored(k, models.fit(df, features, models.classifier(k, **p)).transform(df)) for k, p in kinds.items()]
+    rows = df.count()
+    kinds = {"tree": {"maxDepth": 6}, "boosting": BOOSTING}
+    one = {k: scored(k, models.fit(df, features, models.classifier(k, **p)).transform(df)) for k, p in kinds.items()}
+    # deep trees grow with the rows: they vote a few at a time
+    parts = ensembles.grow(df, models.classifier("forest", **FOREST), rows, [VectorAssembler(inputCols=features, outputCol="features")])
+    one["forest"] = scored("forest", ensembles.vote_of_parts(parts, df, ["label"], rows))
     extra = ensembles.fit_extra_trees(df, features, "label", **EXTRA_TREES)
-    out.append(scored("extra trees", ensembles.apply_extra_trees(extra, df)))
-    return together(out)
+    one["extra trees"] = scored("extra trees", ensembles.apply_extra_trees(extra, df))
+    return together([one[k] for k in ("tree", "forest", "boosting", "extra trees")])
 
 
 @query("tree_regressors")
@@ -515,5 +515,6 @@ def attached_predictions(spark, sf):
 @query("ranked_importance")
 def ranked_importance(spark, sf):
     df, features = labelled(spark, sf)
-    forest = models.fit(df, features, models.classifier("forest", **FOREST)).stages[-1]
-    return ranking.top_k_abs(models.ranked_weights(spark, forest, features), "weight", 5, "feature")
+    parts = ensembles.grow(df, models.classifier("forest", **FOREST), df.count(), [VectorAssembler(inputCols=features, outputCol="features")])
+    weights = models.weights_table(spark, ensembles.grown_importances(parts), features)
+    return ranking.top_k_abs(weights, "weight", 5, "feature")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel, Pipeline
@@ -14,7 +15,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, store
+from .models import DEEP
 from .tuning import hash_fold
 
 
@@ -135,9 +137,81 @@ def fit_adaboost_regressor(
     return Vote(models, weights, None, vector)
 
 
+#: Rows times trees that are grown together.  The driver holds every node of a forest, up to two for each row and tree.
+GROWN_AT_ONCE = 1_000_000
+
+
+def forest_parts(trees: int, depth: int, rows: int) -> list[int]:
+    """Numbers of trees that are grown together: all, or as many as the driver can hold (one at least)."""
+    leaves = min(max(1, rows), 2**depth)
+    size = max(1, min(trees, GROWN_AT_ONCE // leaves))
+    return [min(size, trees - at) for at in range(0, trees, size)]
+
+
+def grow(train: DataFrame, forest: Estimator, rows: int, before: Sequence = ()) -> Iterator[PipelineModel]:
+    """``forest`` as forests of fewer trees, one after the other, so that no more than :data:`GROWN_AT_ONCE` is held.
+
+    A forest within the bound is fitted as it is.  The trees of a forest do not depend on each other; every part has
+    its own seed and looks at as many columns in a split as the whole forest would.  ``before`` are stages ahead of it.
+    """
+    sizes = forest_parts(forest.getNumTrees(), forest.getMaxDepth(), rows)
+    if len(sizes) > 1:  # every row is looked at once a tree and level: all cores take part
+        train = train.repartition(max(train.rdd.getNumPartitions(), train.sparkSession.sparkContext.defaultParallelism)).cache()
+    strategy = forest.getFeatureSubsetStrategy()
+    if len(sizes) > 1 and strategy == "auto":
+        strategy = "sqrt" if isinstance(forest, RandomForestClassifier) else "onethird"
+    for i, size in enumerate(sizes):
+        part = forest.copy({forest.numTrees: size, forest.seed: forest.getSeed() + 1_000_003 * i, forest.featureSubsetStrategy: strategy})
+        yield Pipeline(stages=[*before, part]).fit(train)
+    if len(sizes) > 1:
+        train.unpersist()
+
+
+def grown_importances(parts: Iterable[PipelineModel]) -> np.ndarray:
+    """Importances of the forest that ``parts`` make up: the mean over its trees that split at all, as in one forest."""
+    total: np.ndarray | float = 0.0
+    for model in parts:
+        forest = model.stages[-1]
+        total = total + forest.featureImportances.toArray() * sum(t.numNodes > 1 for t in forest.trees)
+    return total / total.sum() if np.sum(total) else np.asarray(total)
+
+
+def vote_of_parts(parts: Iterable[PipelineModel], df: DataFrame, keep: Sequence[str], rows: int, output: str = "prediction") -> DataFrame:
+    """``keep`` columns of ``df`` and the class that the trees of all parts choose together (largest sum of their class probabilities).
+
+    Parts are forgotten once they have voted: the votes so far are stored whenever what was grown reaches the bound, so
+    neither the driver nor a task holds more trees than that.
+    """
+    given = df.columns
+    out, held, so_far, waiting = df, 0, None, []
+
+    def counted(out: DataFrame, models: Sequence[PipelineModel], so_far: str | None) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        names = []
+        for i, model in enumerate(models):
+            votes = vector_to_array(F.col("rawPrediction")).alias(f"__votes{i}")  # the sum over its trees
+            out = model.transform(out).select(*given, *([so_far] if so_far else []), *names, votes)
+            names.append(f"__votes{i}")
+        total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(F.col, [*([so_far] if so_far else []), *names]))
+        return out.select(*given, total.alias("__votes"))
+
+    for model in parts:
+        forest = model.stages[-1]
+        leaves = forest.getNumTrees * min(max(1, rows), 2 ** forest.getMaxDepth())
+        if waiting and held + leaves > GROWN_AT_ONCE:
+            out = store(counted(out, waiting, so_far), "votes")
+            so_far, held, waiting = "__votes", 0, []
+        waiting.append(model)
+        held += leaves
+    out = counted(out, waiting, so_far)
+    # first class with the largest total
+    return out.select(*keep, (F.array_position("__votes", F.array_max("__votes")) - 1).cast("double").alias(output))
+
+
 def _forest(kind: str, label: str, vector: str, **params) -> Estimator:
     make = RandomForestClassifier if kind == "classes" else RandomForestRegressor
-    return make(labelCol=label, featuresCol=vector, **params)
+    return make(labelCol=label, featuresCol=vector, cacheNodeIds=params.get("maxDepth", 5) >= DEEP, **params)
 
 
 def fit_bagging(

@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 import numpy as np
 import pandas as pd
 
+#: From this depth on a forest keeps each row's nodes.  Otherwise all trees so far go to every task at every level,
+#: which costs the driver time and memory; the trees are the same.
+DEEP = 10
+
 
 def classifier(kind: str, label: str = "label", features: str = "features", seed: int = 1, parallelism: int = 4, **params) -> Estimator:
     """Classifiers by the name of their family.
@@ -45,7 +49,7 @@ def classifier(kind: str, label: str = "label", features: str = "features", seed
     if kind == "tree":
         return DecisionTreeClassifier(seed=seed, **common, **params)
     if kind == "forest":
-        return RandomForestClassifier(seed=seed, **common, **params)
+        return RandomForestClassifier(seed=seed, cacheNodeIds=params.get("maxDepth", 5) >= DEEP, **common, **params)
     if kind == "boosting":
         return GBTClassifier(seed=seed, **common, **params)
     if kind == "boosting_multiclass":
@@ -64,7 +68,7 @@ def regressor(kind: str, label: str = "label", features: str = "features", seed:
     if kind == "tree":
         return DecisionTreeRegressor(seed=seed, **common, **params)
     if kind == "forest":
-        return RandomForestRegressor(seed=seed, **common, **params)
+        return RandomForestRegressor(seed=seed, cacheNodeIds=params.get("maxDepth", 5) >= DEEP, **common, **params)
     if kind == "boosting":
         return GBTRegressor(seed=seed, **common, **params)
     raise ValueError(f"unknown regressor {kind!r}")
@@ -127,7 +131,11 @@ def kernel_features(
 def ranked_weights(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:
     """Coefficients or importances next to their feature names (one row per feature)."""
     vector = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
-    rows = [(name, float(v)) for name, v in zip(features, vector.toArray().tolist(), strict=True)]
+    return weights_table(spark, vector.toArray(), features)
+
+
+def weights_table(spark: SparkSession, weights: Sequence[float], features: Sequence[str]) -> DataFrame:
+    rows = [(name, float(v)) for name, v in zip(features, weights, strict=True)]
     return spark.createDataFrame(rows, "feature string, weight double")
 
 
