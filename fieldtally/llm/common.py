@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 #: A word: the longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whole texts go to Python in batches of about so many bytes: a batch is held several times, in the executor and in its worker.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Spark hand this package to the Python workers (once per application)."""
+    """Let Spark hand this package to the Python workers (once per application), and bound its batches unless the user has."""
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
     sc: SparkContext = spark.sparkContext
     if sc.applicationId in _shipped:
         return

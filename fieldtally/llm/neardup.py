@@ -48,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    KEPT = 500_000
+    KEPT = 150_000
 
     def __init__(self, words: int):
         self.words, self.known = words, {}
