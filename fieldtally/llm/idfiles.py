@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, store
-from .bpe import Recent, chunks
+from .bpe import chunks
 from .common import block_bounds, block_of, order_key, ship, text_or_empty
 
 MAGIC = b"FTIDS001"
@@ -45,10 +45,14 @@ BLOCKS_PER_TASK = 8  # at most, on average: tasks grow in number with the table
 
 
 class CachedTokenizer:
-    """The tokenizer library on pieces it has not met lately; pieces end where its own splitting ends them."""
+    """The tokenizer library on pieces it has not met lately; pieces end where its own splitting ends them.
 
-    KEPT, LONGEST = 400_000, 48
-    MARKS = frozenset(".,;:?!")
+    A piece stands for itself with a space in front, one that begins with a space for what follows that space.
+    """
+
+    KEPT, LONGEST = 800_000, 48
+    RUN = 1 << 21  # characters that are worked on at once (a longer text alone)
+    JOINED = 256  # pieces that the library is given as one text
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -56,32 +60,68 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = Recent(self.KEPT)
+        self.known: dict[str, bytes] = {}
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character of a token is a byte
+            self.n_bytes[i] = len(token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized as ``kind``."""
-        marks = self.MARKS
-        split: list[list[str]] = []
-        for text in texts:
-            first, *parts = chunks(text)
-            out = [first]
-            for p in parts:
-                if p and p[-1] in marks and p[:-1].isalpha():  # letters and a mark are split in any case
-                    out.append(" " + p[:-1])
-                    out.append(p[-1])
-                else:
-                    out.append(" " + p)
-            split.append(out)
-        found = {p: self.known.get(p) for p in set().union(*split)}  # each piece is looked up once for all texts
-        unknown = [p for p, ids in found.items() if ids is None]
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+        split = [text.split(" ") for text in texts]
+        pieces = set().union(*split)
+        # a space beside other white space ends no piece: such texts are cut at their other spaces only
+        odd = {p for p in pieces.difference(self.known) if not p or p[0].isspace() or p[-1].isspace()}
+        if odd:
+            split = [s if odd.isdisjoint(s) else chunks(text) for s, text in zip(split, texts)]
+            pieces = set().union(*split)
+        for s in split:
+            s[0] = " " + s[0]
+        pieces.update([s[0] for s in split])
+        found = dict(zip(pieces, map(self.known.get, pieces)))  # each piece is looked up once for all texts
+        self.learn(found, [p for p, ids in found.items() if ids is None])
+        return [b"".join(map(found.__getitem__, s)) for s in split]
+
+    def learn(self, found: dict[str, bytes | None], unknown: list[str]) -> None:
+        """Adds the ids of the unknown pieces; those that end where the next one's space begins are encoded side by side."""
+        alone = [p for p in unknown if not p or " " in p or p[-1].isspace()]
+        joined = list(set(unknown).difference(alone)) if alone else unknown
+        for at in range(0, len(joined), self.JOINED):
+            some = joined[at : at + self.JOINED]
+            text = " " + " ".join(some)
+            (told,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(told.ids, self.kind)
+            raw = text.encode()
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
+            reached = np.cumsum(self.n_bytes[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if cuts[-1] != len(ids) or not np.array_equal(reached[cuts - 1], ends):  # a token that goes over a seam
+                alone += some
+                continue
+            raw, width = ids.tobytes(), self.kind.itemsize
+            cuts = (cuts * width).tolist()
+            for p, lo, hi in zip(some, [0, *cuts], cuts):
+                found[p] = raw[lo:hi]
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else " " + p for p in some], add_special_tokens=False)):
                 found[p] = np.array(e.ids, self.kind).tobytes()
-                if len(p) <= self.LONGEST:
-                    self.known.put(p, found[p])
-        return [b"".join(map(found.__getitem__, pieces)) for pieces in split]
+        if len(self.known) + len(unknown) > self.KEPT:  # frequent pieces are soon met again
+            self.known.clear()
+        # one that ends with white space is a piece at the end of a text only
+        self.known.update([(p, found[p]) for p in unknown[: self.KEPT] if p and len(p) <= self.LONGEST and not p[-1].isspace()])
+
+    def runs(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """Consecutive texts of about ``RUN`` characters together: first, behind the last."""
+        lo = size = 0
+        for hi, text in enumerate(texts):
+            if hi > lo and size + len(text) > self.RUN:
+                yield lo, hi
+                lo, size = hi, 0
+            size += len(text)
+        if lo < len(texts):
+            yield lo, len(texts)
 
 
 @lru_cache(maxsize=2)
@@ -117,9 +157,9 @@ def write_ids(
         end = np.array([end_id], one.kind).tobytes()
         for batch in batches:
             ids, texts, *keys = (c.to_pylist() for c in batch.columns)
-            for at in range(0, len(ids), 256):
-                raw = [r + end for r in one.encode(texts[at : at + 256])]
-                rows = [(block_of(bounds, k), *k, d, len(r) // one.kind.itemsize, packer.compress(r)) for d, r, k in zip(ids[at : at + 256], raw, zip(*(k[at : at + 256] for k in keys)))]
+            for lo, hi in one.runs(texts):
+                raw = [r + end for r in one.encode(texts[lo:hi])]
+                rows = [(block_of(bounds, k), *k, d, len(r) // one.kind.itemsize, packer.compress(r)) for d, r, k in zip(ids[lo:hi], raw, zip(*(k[lo:hi] for k in keys)))]
                 kinds = [pa.int64()] * 6 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["block", "k0", "k1", "k2", "doc_id", "n", "frame"])
 

@@ -2,9 +2,13 @@
 
 import random
 
+import random
+
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from fieldtally.llm import common, neardup
+from fieldtally.llm import common, idfiles, neardup
 
 
 def test_batches_of_texts_are_bounded(spark):
@@ -33,3 +37,29 @@ def test_bound_of_the_user_stays(spark):
         assert spark.conf.get(common._BATCH_KEY) == "9000000b"
     finally:
         spark.conf.set(common._BATCH_KEY, before)
+
+
+def test_pieces_side_by_side_have_the_ids_of_the_library():
+    one = idfiles.CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    some = ["a", "B", "\u00e9", "1", " ", "\n", " ", ".", ",", "'s", "\t", "\r", " ", "\x1c", "_", "\u00b2", "\u6f22", "\U0001f600", "<|endoftext|>", "\x85", "don't", "  ", "\n\n"]
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(some) for _ in range(draw.randint(0, 14))) for _ in range(20_000)]
+    found = [ids for at in range(0, len(texts), 500) for ids in one.encode(texts[at : at + 500])]
+    told = one.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert found == [np.array(e.ids, one.kind).tobytes() for e in told]
+
+
+def test_unknown_pieces_are_few_calls():
+    """A thousand words that were not met go to the library as a few texts, not as a thousand."""
+    one = idfiles.CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    library, given = one.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    one.tokenizer = Counting()
+    text = " ".join(f"w{i}x" for i in range(1000))
+    assert one.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, one.kind).tobytes()]
+    assert len(given) < 10
