@@ -2,8 +2,6 @@
 
 import random
 
-import random
-
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
