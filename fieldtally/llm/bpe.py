@@ -11,7 +11,8 @@ Longest tokens are looked up from a position on only when it is reached.
 
 Null text counts as empty, and an empty text has no ids; an empty table gives an empty one.  Repeated rows get equal ids.
 Texts of any length are encoded whole: texts are worked on in runs of about a million characters, a longer one alone.
-The words of a run are told apart first, so each is encoded once; the ids of at most 300,000 recent words are remembered.
+The words of a run are told apart first, so each is encoded once; the ids of at most 120,000 recent words are remembered.
+What Arrow holds of a batch goes back to the system with it: workers live on, with the next operator's memory beside.
 """
 
 from __future__ import annotations
@@ -79,9 +80,9 @@ def gathered(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 class Coder:
     """Encoder and decoder for one file of ranks."""
 
-    KEPT = 150_000  # entries of a cache generation, each at most LONGEST characters
+    KEPT = 60_000  # entries of a cache generation, each at most LONGEST characters
     LONGEST = 48
-    PAIRS = 200_000
+    PAIRS = 100_000
     RUN = 1 << 20  # characters, or ids, that are worked on at once (a longer text alone)
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -287,6 +288,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     @F.arrow_udf(BinaryType())
     def ids(texts: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()
         one = coder(path, pattern)
         return pa.array(one.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
@@ -299,6 +301,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
 
     @F.arrow_udf(BinaryType())
     def raw(packed: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()
         one = coder(path, pattern)
         raws = pa.array(one.decode_all([p or b"" for p in packed.to_pylist()]), pa.binary())
         return pc.if_else(packed.is_null(), pa.scalar(None, pa.binary()), raws) if packed.null_count else raws
@@ -315,6 +318,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", out:
 
     @F.arrow_udf("token_ids binary, decoded binary")
     def both(texts: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()
         one = coder(path, pattern)
         ids = one.encode_all([t or "" for t in texts.to_pylist()])
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(one.decode_all(ids), pa.binary())], names=["token_ids", "decoded"])

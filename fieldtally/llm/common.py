@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Whole texts go to Python in batches of about so many bytes: a batch is held several times, in the executor and in its worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _shipped: set[str] = set()

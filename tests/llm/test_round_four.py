@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from fieldtally.llm import common, idfiles, neardup
+from fieldtally.llm import bpe, common, idfiles, neardup
 
 
 def test_batches_of_texts_are_bounded(spark):
@@ -61,3 +61,11 @@ def test_unknown_pieces_are_few_calls():
     text = " ".join(f"w{i}x" for i in range(1000))
     assert one.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, one.kind).tobytes()]
     assert len(given) < 10
+
+
+def test_coder_in_a_worker_stays_small():
+    """Words that hardly repeat, as in the pipeline on 0.51 GB: what the coder remembers is bounded by far less than it was."""
+    one = bpe.Coder({bytes([i]): i for i in range(256)}, public_tokenizers.PATTERN)
+    for at in range(0, 400_000, 50_000):
+        one.encode_all([" ".join(f"w{i}" for i in range(at, at + 50_000))])
+    assert len(one.parts.young) + len(one.parts.old) <= 120_000 and common.BATCH_BYTES <= 1 << 20
