@@ -27,16 +27,18 @@ import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, store
-from .bpe import chunks
+from .bpe import chunks, gathered
 from .common import block_bounds, block_of, order_key, ship, text_or_empty
 
 MAGIC = b"FTIDS001"
@@ -48,11 +50,12 @@ class CachedTokenizer:
     """The tokenizer library on pieces it has not met lately; pieces end where its own splitting ends them.
 
     A piece stands for itself with a space in front, one that begins with a space for what follows that space.
+    The ids of the pieces lie in one table; a text is put together from it by the numbers of its pieces.
     """
 
-    KEPT, LONGEST = 800_000, 48
-    RUN = 1 << 21  # characters that are worked on at once (a longer text alone)
-    JOINED = 256  # pieces that the library is given as one text
+    KEPT, LONGEST = 1_200_000, 48
+    RUN = 1 << 22  # characters that are worked on at once (a longer text alone)
+    JOINED = 1024  # pieces that the library is given as one text
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -60,33 +63,94 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.keep([], [])
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a character of a token is a byte
             self.n_bytes[i] = len(token)
 
+    def keep(self, pieces: list[str], ids: list[np.ndarray]) -> None:
+        """These pieces are known, no others."""
+        self.known: dict[str, int] = dict(zip(pieces, range(len(pieces))))  # their places in begins and sizes
+        self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.table = np.concatenate([np.empty(0, self.kind), *ids])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized as ``kind``."""
-        split = [text.split(" ") for text in texts]
-        pieces = set().union(*split)
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        which, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        firsts = [" " + pieces[i] for i in which[edges[:-1]].tolist()]
+        place = self.places(pieces)
         # a space beside other white space ends no piece: such texts are cut at their other spaces only
-        odd = {p for p in pieces.difference(self.known) if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            split = [s if odd.isdisjoint(s) else chunks(text) for s, text in zip(split, texts)]
-            pieces = set().union(*split)
-        for s in split:
-            s[0] = " " + s[0]
-        pieces.update([s[0] for s in split])
-        found = dict(zip(pieces, map(self.known.get, pieces)))  # each piece is looked up once for all texts
-        self.learn(found, [p for p, ids in found.items() if ids is None])
-        return [b"".join(map(found.__getitem__, s)) for s in split]
-
-    def learn(self, found: dict[str, bytes | None], unknown: list[str]) -> None:
-        """Adds the ids of the unknown pieces; those that end where the next one's space begins are encoded side by side."""
-        alone = [p for p in unknown if not p or " " in p or p[-1].isspace()]
-        joined = list(set(unknown).difference(alone)) if alone else unknown
+        odd = np.zeros(len(pieces), bool)
+        odd[[i for i in np.flatnonzero(place < 0).tolist() if not (p := pieces[i]) or p[0].isspace() or p[-1].isspace()]] = True
+        more: list[str] = []
+        if odd.any():
+            others: dict[str, int] = {}
+            parts = np.split(which, edges[1:-1])
+            for i in np.unique(np.searchsorted(edges, np.flatnonzero(odd[which]), "right") - 1).tolist():
+                first, *rest = chunks(texts[i])
+                firsts[i] = " " + first
+                parts[i] = np.array([0, *(len(pieces) + others.setdefault(p, len(others)) for p in rest)], np.int64)
+            which, edges = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+            more += others
+        begun = {p: len(pieces) + len(more) + i for i, p in enumerate(dict.fromkeys(firsts))}
+        which[edges[:-1]] = [begun[p] for p in firsts]
+        more += begun
+        pieces, place = pieces + more, np.concatenate((place, self.places(more)))
+        begins, sizes, table = self.found(pieces, place, np.bincount(which, minlength=len(pieces)) > 0)
+        lengths = sizes[which]
+        ids = gathered(table, begins[which], lengths)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[edges].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def found(self, pieces: list[str], place: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each piece that is used begin in the table, how many they are, and the table."""
+        new = np.flatnonzero((place < 0) & used)
+        if not len(new):
+            return self.begins[place], self.sizes[place], self.table
+        if len(self.known) + len(new) > self.KEPT:  # frequent pieces are soon met again: those at hand stay
+            old = np.flatnonzero(place >= 0)
+            at, n = self.begins[place[old]].tolist(), self.sizes[place[old]].tolist()
+            self.keep([pieces[i] for i in old.tolist()], [self.table[b : b + k] for b, k in zip(at, n)])
+            place[old] = self.places([pieces[i] for i in old.tolist()])
+        learnt, ids, cuts, kept = self.learn([pieces[i] for i in new.tolist()])
+        number = dict(zip(learnt, range(len(self.sizes), len(self.sizes) + len(learnt))))
+        place[new] = [number[pieces[i]] for i in new.tolist()]
+        sizes = np.diff(cuts, prepend=0)
+        begins, sizes = np.concatenate((self.begins, len(self.table) + cuts - sizes)), np.concatenate((self.sizes, sizes))
+        table = np.concatenate((self.table, ids))
+        if len(self.known) + kept > self.KEPT:
+            self.keep([], [])
+        elif kept:
+            n = len(self.sizes) + kept
+            self.known.update(zip(learnt[:kept], range(n - kept, n)))
+            self.begins, self.sizes, self.table = begins[:n], sizes[:n], table[: begins[n - 1] + sizes[n - 1]]
+        return begins[place], sizes[place], table
+
+    def learn(self, unknown: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+        """The unknown pieces in a new order, their ids one after the other, where each piece's ids end, and how many of these pieces are to be remembered (the first ones).
+
+        Those that end where the next one's space begins are encoded side by side.
+        """
+        order: list[str] = []
+        parts, cuts, done = [np.empty(0, self.kind)], [np.empty(0, np.int64)], 0
+        alone, unlike = [], []  # the last ones are not remembered: one that ends with white space is a piece at the end of a text only
+        joined = []
+        for p in unknown:
+            if not p or len(p) > self.LONGEST or p[-1].isspace():
+                unlike.append(p)
+            else:
+                (alone if " " in p else joined).append(p)
         for at in range(0, len(joined), self.JOINED):
             some = joined[at : at + self.JOINED]
             text = " " + " ".join(some)
@@ -95,22 +159,25 @@ class CachedTokenizer:
             raw = text.encode()
             ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
             reached = np.cumsum(self.n_bytes[ids])
-            cuts = np.searchsorted(reached, ends) + 1
-            if cuts[-1] != len(ids) or not np.array_equal(reached[cuts - 1], ends):  # a token that goes over a seam
+            mine = np.searchsorted(reached, ends) + 1
+            if mine[-1] != len(ids) or not np.array_equal(reached[mine - 1], ends):  # a token that goes over a seam
                 alone += some
                 continue
-            raw, width = ids.tobytes(), self.kind.itemsize
-            cuts = (cuts * width).tolist()
-            for p, lo, hi in zip(some, [0, *cuts], cuts):
-                found[p] = raw[lo:hi]
+            order += some
+            parts.append(ids)
+            cuts.append(mine + done)
+            done += len(ids)
+        kept = len(order) + len(alone)
+        alone += unlike
         for at in range(0, len(alone), 4096):
             some = alone[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else " " + p for p in some], add_special_tokens=False)):
-                found[p] = np.array(e.ids, self.kind).tobytes()
-        if len(self.known) + len(unknown) > self.KEPT:  # frequent pieces are soon met again
-            self.known.clear()
-        # one that ends with white space is a piece at the end of a text only
-        self.known.update([(p, found[p]) for p in unknown[: self.KEPT] if p and len(p) <= self.LONGEST and not p[-1].isspace()])
+            told = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else " " + p for p in some], add_special_tokens=False)
+            order += some
+            each = [np.array(e.ids, self.kind) for e in told]
+            parts += each
+            cuts.append(np.cumsum([len(x) for x in each]) + done)
+            done += sum(map(len, each))
+        return order, np.concatenate(parts), np.concatenate(cuts), kept
 
     def runs(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """Consecutive texts of about ``RUN`` characters together: first, behind the last."""
@@ -129,6 +196,18 @@ def tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
+def together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Consecutive batches of at most ``most`` bytes as one table; a larger batch alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def train(samples: list[bytes], size: int) -> bytes:
     """A dictionary; too little to train on gives a raw-content one."""
     try:
@@ -146,8 +225,9 @@ def write_ids(
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     docs = docs.select("doc_id", "text", *[c.alias(n) for c, n in zip(order_key(F.col("doc_id"), F.xxhash64("text")), ("k0", "k1", "k2"))])
-    bounds = block_bounds(docs.select("k0", "k1", "k2"), rows_per_file)
-    dictionary = train_on(docs, tokenizer_path, end_id, sample, sample_bytes, dictionary_bytes)
+    keys = store(docs.select("k0", "k1", "k2"), "id-keys")  # asked several times; the texts behind them are read once for all
+    bounds = block_bounds(keys, rows_per_file)
+    dictionary = train_on(docs, keys, tokenizer_path, end_id, sample, sample_bytes, dictionary_bytes)
     given = spark.sparkContext.broadcast((bounds, dictionary))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +235,8 @@ def write_ids(
         one = tokenizer(tokenizer_path)
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
         end = np.array([end_id], one.kind).tobytes()
-        for batch in batches:
-            ids, texts, *keys = (c.to_pylist() for c in batch.columns)
+        for table in together(batches, one.RUN):
+            ids, texts, *keys = (c.to_pylist() for c in table.columns)
             for lo, hi in one.runs(texts):
                 raw = [r + end for r in one.encode(texts[lo:hi])]
                 rows = [(block_of(bounds, k), *k, d, len(r) // one.kind.itemsize, packer.compress(r)) for d, r, k in zip(ids[lo:hi], raw, zip(*(k[lo:hi] for k in keys)))]
@@ -206,13 +286,15 @@ def write_ids(
     return store(in_order.mapInArrow(write, "block long, part long, file string, n_docs long, n_ids long"), "id-manifest")
 
 
-def train_on(docs: DataFrame, tokenizer_path: str, end_id: int, sample: int, sample_bytes: int, dictionary_bytes: int) -> bytes:
+def train_on(docs: DataFrame, keys: DataFrame, tokenizer_path: str, end_id: int, sample: int, sample_bytes: int, dictionary_bytes: int) -> bytes:
     """A dictionary from pieces of ``sample`` documents, the ones with the smallest hashes; where a piece begins is a hash too."""
     # the sample alone is cut: a long document would teach the dictionary nothing but itself
     places = F.greatest(F.length("text") - 2 * sample_bytes, F.lit(0)) + 1
     begin = (F.pmod(F.xxhash64("k1", "k2", F.lit(31)), places) + 1).cast("int")
-    cut = docs.select("k1", "k2", F.substring(F.col("text"), begin, F.lit(2 * sample_bytes)).alias("text"))
-    some = cut.orderBy(F.xxhash64("k1", "k2", F.lit(29)), "k1", "k2").select("text").limit(sample)
+    draw = F.xxhash64("k1", "k2", F.lit(29))
+    last = keys.select(draw.alias("draw")).orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    cut = docs.where(draw <= F.lit(last)).select("k1", "k2", F.substring(F.col("text"), begin, F.lit(2 * sample_bytes)).alias("text"))
+    some = cut.orderBy(draw, "k1", "k2").select("text").limit(sample)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tokenizer(tokenizer_path)

@@ -63,6 +63,26 @@ def test_unknown_pieces_are_few_calls():
     assert len(given) < 10
 
 
+def test_repeated_pieces_cost_no_bytes_of_their_own():
+    """Ids of all pieces lie in one table; the cache, when it is full, keeps the pieces at hand and forgets the others."""
+    one = idfiles.CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    one.KEPT = 60
+    draw = random.Random(5)
+    for turn in range(30):
+        words = [f"w{draw.randint(0, 40 + turn)}{draw.choice(['', 'x', '.', chr(10)])}" for _ in range(60)]
+        texts = [" ".join(words[at : at + 9]) for at in range(0, 60, 9)] + ["", " ", "y" * 100, " a  b"]
+        told = one.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert one.encode(texts) == [np.array(e.ids, one.kind).tobytes() for e in told]
+        assert len(one.known) <= one.KEPT and len(one.begins) == len(one.sizes) and one.sizes.sum() == len(one.table)
+        assert all(isinstance(place, int) for place in one.known.values())
+
+
+def test_small_batches_are_encoded_together():
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * 100])], names=["t"]) for _ in range(50)]
+    found = [len(t) for t in idfiles.together(iter(batches), 1200)]
+    assert sum(found) == 50 and len(found) < 8
+
+
 def test_coder_in_a_worker_stays_small():
     """Words that hardly repeat, as in the pipeline on 0.51 GB: what the coder remembers is bounded by far less than it was."""
     one = bpe.Coder({bytes([i]): i for i in range(256)}, public_tokenizers.PATTERN)
