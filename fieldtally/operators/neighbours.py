@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Numbers that one block of distances may hold.
 CELLS = 4_000_000
+#: A tile of single-precision distances that stays in a core's cache.
+ROWS_OF_TILE, COLUMNS_OF_TILE = 32, 2048
+#: Beyond this size single precision could overflow in a sum.
+LARGEST = 1e30
 
 
 def _exact(x: np.ndarray, points: np.ndarray, p: int) -> np.ndarray:
@@ -27,6 +31,31 @@ def _exact(x: np.ndarray, points: np.ndarray, p: int) -> np.ndarray:
     return np.abs(gap).sum(axis=-1) if p == 1 else np.sqrt((gap * gap).sum(axis=-1))
 
 
+def _about_l1(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of absolute differences in single precision, a small tile at a time, and twice their largest error for each row of x.
+
+    ``points`` has a row for each dimension.
+    """
+    dims, n = points.shape
+    out = np.empty((len(x), n), np.float32)
+    mine = x.astype(np.float32).T
+    gap = np.empty((ROWS_OF_TILE, COLUMNS_OF_TILE), np.float32)
+    for top in range(0, len(x), ROWS_OF_TILE):
+        for left in range(0, n, COLUMNS_OF_TILE):
+            tile = out[top : top + ROWS_OF_TILE, left : left + COLUMNS_OF_TILE]
+            t = gap[: tile.shape[0], : tile.shape[1]]
+            total = np.zeros_like(t)
+            for d in range(dims):
+                np.maximum(mine[d, top : top + ROWS_OF_TILE, None], points[d, None, left : left + COLUMNS_OF_TILE], out=t)
+                total += t
+            total += total  # |a - b| = 2 max(a, b) - a - b
+            total -= mine[:, top : top + ROWS_OF_TILE].sum(axis=0)[:, None]
+            total -= points[:, left : left + COLUMNS_OF_TILE].sum(axis=0)[None, :]
+            tile[:] = total
+    size = np.abs(x).sum(axis=1) + np.abs(points.astype(np.float64)).sum(axis=0).max()
+    return out, 8 * (dims + 4) * 2.0**-24 * size + 1e-30
+
+
 @dataclass
 class Neighbours:
     """Fitted rows in ascending order of their ids."""
@@ -45,12 +74,19 @@ class Neighbours:
         squares = (points * points).sum(axis=1)
         id_type, payload_type = self.types
         names = ["qid", "pid", "payload", "distance", "place"]
+        small = None
+        if p == 1 and len(points) and np.abs(points).max(initial=0.0) < LARGEST:  # no missing value is below it
+            centre = points.mean(axis=0)  # differences stay, rounding errors shrink with the sizes
+            small = np.ascontiguousarray((points - centre).T, np.float32)
 
         def candidates(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """(row of x, fitted row) pairs among which the k nearest are for certain."""
             need = min(k, len(ids))
-            if p == 1:
-                rough, slack = _exact(x[:, None, :], points[None, :, :], 1), 0.0
+            if small is not None and np.abs(x).max(initial=0.0) < LARGEST:
+                rough, slack = _about_l1(x - centre, small)
+                slack = slack[:, None]
+            elif p == 1:
+                rough, slack = np.concatenate([_exact(row, points, 1)[None, :] for row in x]), 0.0
             else:  # one matrix product; its rounding errors are far below the slack
                 mine = (x * x).sum(axis=1)
                 rough = mine[:, None] + squares[None, :] - 2.0 * (x @ points.T)
@@ -65,11 +101,12 @@ class Neighbours:
                 if not len(batch) or not len(ids):
                     continue
                 asked, x = batch["qid"].to_numpy(), np.stack(batch["vec"].to_numpy()).astype(np.float64)
-                step = max(1, CELLS // (len(ids) * (x.shape[1] if p == 1 else 1)))
+                step = max(1, CELLS // len(ids))
                 for at in range(0, len(x), step):
                     own, part = asked[at : at + step], x[at : at + step]
                     row, col = candidates(part, own)
-                    dist = _exact(part[row], points[col], p)
+                    pairs = max(1, CELLS // max(1, x.shape[1]))
+                    dist = np.concatenate([np.empty(0), *(_exact(part[row[i : i + pairs]], points[col[i : i + pairs]], p) for i in range(0, len(row), pairs))])
                     order = np.lexsort((col, dist, row))  # fitted rows are in the order of their ids
                     row, col, dist = row[order], col[order], dist[order]
                     place = np.arange(len(row)) - np.searchsorted(row, row) + 1
