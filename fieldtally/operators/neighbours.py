@@ -1,7 +1,7 @@
 """k-nearest neighbours of a bounded set of fitted rows.
 
 The fitted rows become one matrix that every task receives once; the asked rows stream past it in Arrow
-batches and are neither copied nor shuffled.  The bound on the fitted rows (``most``) keeps the matrix
+batches, dealt over the tasks once by a hash and not copied.  The bound on the fitted rows (``most``) keeps the matrix
 small; above it a repeatable sample is fitted, so the work grows with the asked rows only.  Within the
 fitted rows the neighbours are exact.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 #: Numbers that one block of distances may hold.
 CELLS = 4_000_000
+TASKS_A_CORE = 4
 #: A tile of single-precision distances that stays in a core's cache.
 ROWS_OF_TILE, COLUMNS_OF_TILE = 32, 2048
 #: Beyond this size single precision could overflow in a sum.
@@ -115,7 +116,8 @@ class Neighbours:
                     yield pd.DataFrame(dict(zip(names, (own[row], ids[col], payload[col], dist[kept], place[kept].astype(np.int32)))))
 
         asking = queries.select(F.col(id_column).alias("qid"), F.col(vector).cast("array<double>").alias("vec"))
-        return asking.mapInPandas(ask, f"qid {asking.schema['qid'].dataType.simpleString()}, pid {id_type}, payload {payload_type}, distance double, place int")
+        tasks = TASKS_A_CORE * asking.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: one small file would be one task
+        return asking.repartition(tasks, F.xxhash64("qid", "vec")).mapInPandas(ask, f"qid {asking.schema['qid'].dataType.simpleString()}, pid {id_type}, payload {payload_type}, distance double, place int")
 
 
 def fit_neighbours(points: DataFrame, id_column: str, vector: str, payload: str, most: int = 50_000) -> Neighbours:

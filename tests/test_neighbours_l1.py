@@ -27,3 +27,10 @@ def test_nearest_equal_brute_force(spark, offset, step, exclude_self):
         d = np.abs(v - v[q]).sum(axis=-1)
         order = [i for i in sorted(range(150), key=lambda i: (d[i], i)) if not (exclude_self and i == q)][:4]
         assert [got[q, k + 1] for k in range(4)] == [(i, d[i]) for i in order]
+
+
+def test_one_file_is_asked_in_many_tasks(spark):
+    df = spark.createDataFrame([(i if i % 5 else None, i % 3, [float(i)]) for i in range(200)], "id long, y int, v array<double>").coalesce(1)
+    points = df.where("id IS NOT NULL")
+    found = neighbours.nearest_neighbours(df, points, "id", "v", 1, "y", 1)
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 200
