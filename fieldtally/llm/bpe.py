@@ -10,7 +10,7 @@ is linear in the length of the piece and the ids are those that merging in rank
 Longest tokens are looked up from a position on only when it is reached.
 
 Null text counts as empty, and an empty text has no ids; an empty table gives an empty one.  Repeated rows get equal ids.
-Texts of any length are encoded whole: texts are worked on in runs of about a million characters, a longer one alone.
+Texts of any length are encoded whole: texts are worked on in runs of about a quarter of a million characters, a longer one alone.
 The words of a run are told apart first, so each is encoded once; the ids of at most 120,000 recent words are remembered.
 What Arrow holds of a batch goes back to the system with it: workers live on, with the next operator's memory beside.
 """
@@ -77,18 +77,29 @@ def gathered(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return table[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+def taken(table: pa.LargeBinaryArray, which: pa.Array, groups: list[int]) -> list[memoryview]:
+    """The entries of ``table`` at ``which``, one after the other, cut into ``groups`` of so many entries.
+
+    Arrow copies the bytes entry by entry; indexes for every byte would take eight times the room of the result.
+    """
+    found = table.take(which)
+    _, offsets, raw = found.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(found) + 1, found.offset * 8)[np.cumsum([0, *groups])].tolist()
+    joined = memoryview(raw or b"")
+    return [joined[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Coder:
     """Encoder and decoder for one file of ranks."""
 
     KEPT = 60_000  # entries of a cache generation, each at most LONGEST characters
     LONGEST = 48
     PAIRS = 100_000
-    RUN = 1 << 20  # characters, or ids, that are worked on at once (a longer text alone)
+    RUN = 1 << 18  # characters, or ids, that are worked on at once (a longer text alone)
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
         self.ranks = ranks
-        self.by_id = {i: b for b, i in ranks.items()}
         self.whole = {b.decode("latin-1"): i for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
         self.pairs: dict[int, bool] = {}
@@ -102,10 +113,8 @@ class Coder:
             if i not in self.unmade:
                 self.automaton.add_word(s, i)
         self.automaton.make_automaton()
-        of_byte = [self.by_id.get(i, b"") for i in range(n)]
-        self.bytes_of = np.frombuffer(b"".join(of_byte), np.uint8)
-        self.n_bytes = np.array([len(b) for b in of_byte], np.int64)
-        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
+        by_id = {i: b for b, i in ranks.items()}
+        self.bytes_of = pa.array([by_id.get(i, b"") for i in range(n)], pa.large_binary())
         # what the pattern does with letters alone, and with one sign behind them
         self.letters = self.pattern.findall(" ab") == [" ab"]
         self.signs = {c for c in ".,;:!?" if self.letters and self.pattern.findall(f" ab{c}") == [" ab", c]}
@@ -233,13 +242,9 @@ class Coder:
             flat += parts
             counts.append(len(parts))
         coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        known = [self.encode_part(p) for p in coded.dictionary.to_pylist()]
-        n_bytes = np.fromiter(map(len, known), np.int64, len(known))
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = n_bytes[which] // 4
-        ids = gathered(np.frombuffer(b"".join(known), "<u4"), ((np.cumsum(n_bytes) - n_bytes) // 4)[which], lengths)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *counts])].tolist()
-        return [first + ids[a:b].tobytes() for first, a, b in zip(firsts, ends, ends[1:])]
+        del flat
+        known = pa.array(map(self.encode_part, coded.dictionary.to_pylist()), pa.large_binary())
+        return [first + rest for first, rest in zip(firsts, taken(known, coded.indices, counts))]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -251,11 +256,8 @@ class Coder:
     def decode_all(self, packed: list[bytes]) -> list[bytes]:
         out = []
         for run in runs(packed, 4 * self.RUN):
-            ids = np.frombuffer(b"".join(run), "<u4")
-            lengths = self.n_bytes[ids]
-            raw = gathered(self.bytes_of, self.first_byte[ids], lengths).tobytes()
-            ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *(len(p) // 4 for p in run)])].tolist()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+            ids = pa.array(np.frombuffer(b"".join(run), "<u4"))
+            out += map(bytes, taken(self.bytes_of, ids, [len(p) // 4 for p in run]))
         return out
 
 
