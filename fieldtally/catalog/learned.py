@@ -335,7 +335,9 @@ def tree_regressors(spark, sf):
     o = store_for_fits(o, "orders")
     features = ["year", "month", "done", "customer"]
     kinds = {"tree": {"maxDepth": 5}, "forest": {"numTrees": BAGS, "maxDepth": 5}, "boosting": BOOSTING}
-    out = [(k, models.fit(o, features, models.regressor(k, label="o_totalprice", **p)).transform(o)) for k, p in kinds.items()]
+    # the forest draws rows and is fitted on them, the others on the cells of their bins
+    fitted = ensembles.fit_on_cells(o, features, {k: models.regressor(k, label="o_totalprice", **p) for k, p in kinds.items()})
+    out = [(k, m.transform(o)) for k, m in fitted.items()]
     extra = ensembles.fit_extra_trees(o, features, "o_totalprice", kind="numbers", groups=5, trees=BAGS // 5)
     out.append(("extra trees", ensembles.apply_extra_trees(extra, o, "numbers")))
     return together(

@@ -15,7 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, store
+from ..session import cut_lineage, store, store_for_fits
 from .models import DEEP
 from .tuning import hash_fold
 
@@ -209,6 +209,91 @@ def vote_of_parts(parts: Iterable[PipelineModel], df: DataFrame, keep: Sequence[
     return out.select(*keep, (F.array_position("__votes", F.array_max("__votes")) - 1).cast("double").alias(output))
 
 
+#: Most combinations of bins for which trees are grown on cells: a few tasks hold that many rows.
+CELLS = 2_000_000
+#: Rows that cut points are taken from, as many as Spark's own trees look at for theirs.
+CUT_ROWS = 10_000
+
+
+def cut_points(train: DataFrame, features: Sequence[str], bins: int = 32) -> list[list[float]]:
+    """Per feature the thresholds among which trees of at most ``bins`` bins look for their splits.
+
+    Halfway between neighbouring values; where there are more than ``bins`` values, after about every ``bins``-th part of
+    the rows.  All rows up to :data:`CUT_ROWS` count, otherwise a repeatable sample of about so many: Spark's rule.
+    """
+    rows = train.count()
+    x = train.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    if rows > CUT_ROWS:
+        x = x.sample(CUT_ROWS / rows, seed=1)
+    columns = np.array(x.collect(), dtype=float).reshape(-1, len(features)).T
+    most = min(bins, max(1, rows)) - 1
+    return [_cuts(*np.unique(c, return_counts=True), most) for c in columns]
+
+
+def _cuts(values: np.ndarray, counts: np.ndarray, most: int) -> list[float]:
+    halfway = ((values[:-1] + values[1:]) / 2).tolist()
+    if len(halfway) <= most:
+        return halfway
+    stride = target = counts.sum() / (most + 1)
+    out, seen = [], counts[0]
+    for cut, count in zip(halfway, counts[1:]):
+        if abs(seen - target) < abs(seen + count - target):
+            out.append(cut)
+            target += stride
+        seen += count
+    return out
+
+
+def cells(train: DataFrame, bins: Sequence[str], label: str, weight: str) -> DataFrame:
+    """One row per combination of ``bins``: the mean of ``label`` (missing if one is) and the number of rows.
+
+    For trees that take every row as often as any other, this is the whole table: a split by bins is judged by sums
+    over them, and the spread inside a cell is the same whatever the split.
+    """
+    n = F.count(F.lit(1))
+    grouped = train.groupBy(*bins).agg(F.when(F.count(label) == n, F.avg(label)).alias(label), n.cast("double").alias(weight))
+    return store_for_fits(grouped, "cells")
+
+
+def fit_on_cells(train: DataFrame, features: Sequence[str], estimators: Mapping[str, Estimator], bins: int = 32, vector: str = "features") -> dict[str, PipelineModel]:
+    """Regression trees, or boosted ones with squared loss, on all rows of ``train`` by way of their cells.
+
+    Each of the many short jobs of a fit then runs over the cells, whose number the rows do not raise beyond the
+    combinations of bins.  Only for estimators that neither draw rows nor count them (``subsamplingRate`` 1,
+    ``minInstancesPerNode`` 1); with too many combinations, or others, the rows themselves are fitted.
+    """
+    cuts = cut_points(train, features, bins)
+    names = [f"__bin{i}" for i in range(len(features))]
+    # a value on a threshold goes to the left in a tree, to the right in a Bucketizer
+    splits = [[-math.inf, *np.nextafter(c, math.inf).tolist(), math.inf] for c in cuts]
+    ahead = [Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=names), VectorAssembler(inputCols=names, outputCol=vector)]
+    whole = [VectorAssembler(inputCols=list(features), outputCol=vector)]
+    out: dict[str, PipelineModel] = {}
+    small: dict[str, DataFrame] = {}
+    for name, est in estimators.items():
+        label = est.getLabelCol()
+        if _counts_rows(est) or est.getMaxBins() < bins or math.prod(len(s) - 1 for s in splits) > CELLS:
+            out[name] = Pipeline(stages=[*whole, est]).fit(train)
+            continue
+        if label not in small:
+            # numbers in order, as the values are: a Bucketizer marks its bins as categories, which trees split in any order
+            binned = ahead[0].transform(train).withColumns({c: F.col(c).alias(c, metadata={}) for c in names})
+            small[label] = cells(binned, names, label, "__rows")
+        model = est.copy({est.weightCol: "__rows"}).fit(ahead[1].transform(small[label]))
+        out[name] = PipelineModel(stages=[*ahead, model])
+    for frame in small.values():
+        frame.unpersist()
+    return out
+
+
+def _counts_rows(est: Estimator) -> bool:
+    """Does it matter to the estimator how many rows a cell stands for, beyond their weight?"""
+    drawn = est.hasParam("bootstrap") and est.getOrDefault("bootstrap")
+    shared = est.hasParam("subsamplingRate") and est.getOrDefault("subsamplingRate") < 1
+    other_loss = est.hasParam("lossType") and est.getOrDefault("lossType") != "squared"
+    return bool(drawn or shared or other_loss) or est.getMinInstancesPerNode() > 1 or est.isDefined("weightCol") and bool(est.getOrDefault("weightCol"))
+
+
 def _forest(kind: str, label: str, vector: str, **params) -> Estimator:
     make = RandomForestClassifier if kind == "classes" else RandomForestRegressor
     return make(labelCol=label, featuresCol=vector, cacheNodeIds=params.get("maxDepth", 5) >= DEEP, **params)
@@ -272,7 +357,8 @@ def fit_extra_trees(
     """Forests whose candidate split points are random instead of searched.
 
     Each group of trees first cuts every feature at points drawn uniformly from its range
-    (one aggregate gives the ranges), so its trees can only split there.
+    (one aggregate gives the ranges), so its trees can only split there.  Numbers whose rows are not drawn are fitted on
+    the :func:`cells` of these cuts.
     """
     rng = np.random.default_rng(seed)
     row = train.agg(*[F.min(f).cast("double").alias(f"lo{i}") for i, f in enumerate(features)], *[F.max(f).cast("double").alias(f"hi{i}") for i, f in enumerate(features)]).first()
@@ -284,13 +370,20 @@ def fit_extra_trees(
             inner = sorted(set(rng.uniform(lo, hi, cuts).tolist())) if hi > lo else [lo]
             splits.append([-math.inf, *inner, math.inf])
         cut_names = [f"__cut{g}_{i}" for i in range(len(features))]
-        stages = [
+        ahead = [
             Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=cut_names, handleInvalid="keep"),
             VectorAssembler(inputCols=cut_names, outputCol=f"__cuts{g}"),
-            _forest(kind, label, f"__cuts{g}", numTrees=trees, maxDepth=depth, seed=seed + g, bootstrap=bootstrap, maxBins=max(32, cuts + 2), **params)
-            .setPredictionCol(f"__cutpred{g}"),
         ]
-        models.append(Pipeline(stages=stages).fit(train))
+        forest = _forest(kind, label, f"__cuts{g}", numTrees=trees, maxDepth=depth, seed=seed + g, bootstrap=bootstrap, maxBins=max(32, cuts + 2), **params)
+        forest = forest.setPredictionCol(f"__cutpred{g}")
+        # one more bin each for values that are no number
+        if kind == "numbers" and not _counts_rows(forest) and math.prod(len(s) for s in splits) <= CELLS:
+            few = cells(ahead[0].transform(train), cut_names, label, "__rows")
+            forest = forest.copy({forest.weightCol: "__rows"}).fit(ahead[1].transform(few))
+            few.unpersist()
+            models.append(PipelineModel(stages=[*ahead, forest]))
+        else:
+            models.append(Pipeline(stages=[*ahead, forest]).fit(train))
     return models
 
 
