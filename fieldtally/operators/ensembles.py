@@ -12,10 +12,12 @@ from pyspark.ml import Estimator, Model, PipelineModel, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..session import cut_lineage, store, store_for_fits
+from .cell_forests import CellForest, forest_on_cells
 from .models import DEEP
 from .tuning import hash_fold
 
@@ -148,13 +150,17 @@ def forest_parts(trees: int, depth: int, rows: int) -> list[int]:
     return [min(size, trees - at) for at in range(0, trees, size)]
 
 
-def grow(train: DataFrame, forest: Estimator, rows: int, before: Sequence = ()) -> Iterator[PipelineModel]:
+def grow(train: DataFrame, forest: Estimator, rows: int, before: Sequence = ()) -> Iterator[PipelineModel | CellForest]:
     """``forest`` as forests of fewer trees, one after the other, so that no more than :data:`GROWN_AT_ONCE` is held.
 
-    A forest within the bound is fitted as it is.  The trees of a forest do not depend on each other; every part has
+    A forest within the bound is fitted as it is.  A larger one for classes grows on cells (:class:`CellForest`), a few trees
+    a task, if there are few enough of them.  The trees of a forest do not depend on each other; every part has
     its own seed and looks at as many columns in a split as the whole forest would.  ``before`` are stages ahead of it.
     """
     sizes = forest_parts(forest.getNumTrees(), forest.getMaxDepth(), rows)
+    if len(sizes) > 1 and rows > CUT_ROWS and (on_cells := _on_cells(train, forest, before)):
+        yield on_cells
+        return
     if len(sizes) > 1:  # every row is looked at once a tree and level: all cores take part
         train = train.repartition(max(train.rdd.getNumPartitions(), train.sparkSession.sparkContext.defaultParallelism)).cache()
     strategy = forest.getFeatureSubsetStrategy()
@@ -167,16 +173,35 @@ def grow(train: DataFrame, forest: Estimator, rows: int, before: Sequence = ())
         train.unpersist()
 
 
-def grown_importances(parts: Iterable[PipelineModel]) -> np.ndarray:
+def _on_cells(train: DataFrame, forest: Estimator, before: Sequence) -> CellForest | None:
+    """The forest on the bins that Spark would give its columns; None if Spark has to grow it, or to say what is wrong with the rows."""
+    if not isinstance(forest, RandomForestClassifier) or len(before) != 1 or not isinstance(before[0], VectorAssembler):
+        return None
+    features = before[0].getInputCols()
+    kinds = train.schema
+    if forest.getMaxBins() != BINS or any(not isinstance(kinds[f].dataType, NumericType) or "ml_attr" in kinds[f].metadata for f in features):
+        return None
+    wrong = [F.coalesce(F.abs(F.col(f).cast("double")) >= math.inf, F.lit(True)) for f in features]  # no number is above all
+    if train.where(reduce(lambda a, b: a | b, wrong)).limit(1).count():
+        return None
+    names = [f"__bin{i}" for i in range(len(features))]
+    splits = _splits(cut_points(train, features, BINS))
+    return forest_on_cells(train, forest, [Bucketizer(splitsArray=splits, inputCols=features, outputCols=names)], names, [len(s) - 1 for s in splits])
+
+
+def grown_importances(parts: Iterable[PipelineModel | CellForest]) -> np.ndarray:
     """Importances of the forest that ``parts`` make up: the mean over its trees that split at all, as in one forest."""
     total: np.ndarray | float = 0.0
     for model in parts:
         forest = model.stages[-1]
-        total = total + forest.featureImportances.toArray() * sum(t.numNodes > 1 for t in forest.trees)
+        if isinstance(forest, CellForest):
+            total = total + forest.importances(SparkSession.getActiveSession())
+        else:
+            total = total + forest.featureImportances.toArray() * sum(t.numNodes > 1 for t in forest.trees)
     return total / total.sum() if np.sum(total) else np.asarray(total)
 
 
-def vote_of_parts(parts: Iterable[PipelineModel], df: DataFrame, keep: Sequence[str], rows: int, output: str = "prediction") -> DataFrame:
+def vote_of_parts(parts: Iterable[PipelineModel | CellForest], df: DataFrame, keep: Sequence[str], rows: int, output: str = "prediction") -> DataFrame:
     """``keep`` columns of ``df`` and the class that the trees of all parts choose together (largest sum of their class probabilities).
 
     Parts are forgotten once they have voted: the votes so far are stored whenever what was grown reaches the bound, so
@@ -185,7 +210,7 @@ def vote_of_parts(parts: Iterable[PipelineModel], df: DataFrame, keep: Sequence[
     given = df.columns
     out, held, so_far, waiting = df, 0, None, []
 
-    def counted(out: DataFrame, models: Sequence[PipelineModel], so_far: str | None) -> DataFrame:
+    def counted(out: DataFrame, models: Sequence[PipelineModel | CellForest], so_far: str | None) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
         names = []
@@ -213,9 +238,11 @@ def vote_of_parts(parts: Iterable[PipelineModel], df: DataFrame, keep: Sequence[
 CELLS = 2_000_000
 #: Rows that cut points are taken from, as many as Spark's own trees look at for theirs.
 CUT_ROWS = 10_000
+#: Bins of a feature, as many as Spark's trees have if nothing else is said.
+BINS = 32
 
 
-def cut_points(train: DataFrame, features: Sequence[str], bins: int = 32) -> list[list[float]]:
+def cut_points(train: DataFrame, features: Sequence[str], bins: int = BINS) -> list[list[float]]:
     """Per feature the thresholds among which trees of at most ``bins`` bins look for their splits.
 
     Halfway between neighbouring values; where there are more than ``bins`` values, after about every ``bins``-th part of
@@ -255,42 +282,59 @@ def cells(train: DataFrame, bins: Sequence[str], label: str, weight: str) -> Dat
     return store_for_fits(grouped, "cells")
 
 
-def fit_on_cells(train: DataFrame, features: Sequence[str], estimators: Mapping[str, Estimator], bins: int = 32, vector: str = "features") -> dict[str, PipelineModel]:
-    """Regression trees, or boosted ones with squared loss, on all rows of ``train`` by way of their cells.
+def class_cells(train: DataFrame, bins: Sequence[str], label: str, weight: str) -> DataFrame:
+    """One row per combination of ``bins`` and ``label`` with the number of rows: the whole table for trees of classes, boosted or not.
+
+    Rows of one cell and one class stay alike in every round of boosting.
+    """
+    grouped = train.groupBy(*bins, label).agg(F.count(F.lit(1)).cast("double").alias(weight))
+    return store_for_fits(grouped, "cells")
+
+
+def _splits(cuts: Sequence[Sequence[float]]) -> list[list[float]]:
+    # a value on a threshold goes to the left in a tree, to the right in a Bucketizer, which wants one threshold at least
+    return [[-math.inf, *np.nextafter(c or [0.0], math.inf).tolist(), math.inf] for c in cuts]
+
+
+def fit_on_cells(train: DataFrame, features: Sequence[str], estimators: Mapping[str, Estimator], bins: int = BINS, vector: str = "features") -> dict[str, PipelineModel]:
+    """Trees of numbers or classes, or boosted ones (with squared loss for numbers), on all rows of ``train`` by way of their cells.
 
     Each of the many short jobs of a fit then runs over the cells, whose number the rows do not raise beyond the
     combinations of bins.  Only for estimators that neither draw rows nor count them (``subsamplingRate`` 1,
-    ``minInstancesPerNode`` 1); with too many combinations, or others, the rows themselves are fitted.
+    ``minInstancesPerNode`` 1); with too many combinations for numbers, or others, the rows themselves are fitted.  So are up
+    to :data:`CUT_ROWS` rows if all estimators are for classes.
     """
-    cuts = cut_points(train, features, bins)
+    whole = [VectorAssembler(inputCols=list(features), outputCol=vector)]
+    if all(est.hasParam("probabilityCol") for est in estimators.values()) and train.count() <= CUT_ROWS:
+        return {name: Pipeline(stages=[*whole, est]).fit(train) for name, est in estimators.items()}
+    splits = _splits(cut_points(train, features, bins))
     names = [f"__bin{i}" for i in range(len(features))]
-    # a value on a threshold goes to the left in a tree, to the right in a Bucketizer
-    splits = [[-math.inf, *np.nextafter(c, math.inf).tolist(), math.inf] for c in cuts]
     ahead = [Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=names), VectorAssembler(inputCols=names, outputCol=vector)]
-    whole = [VectorAssembler(inputCols=list(features), outputCol=vector)]
     out: dict[str, PipelineModel] = {}
-    small: dict[str, DataFrame] = {}
+    small: dict[tuple[str, bool], DataFrame] = {}
     for name, est in estimators.items():
-        label = est.getLabelCol()
-        if _counts_rows(est) or est.getMaxBins() < bins or math.prod(len(s) - 1 for s in splits) > CELLS:
+        label, classes = est.getLabelCol(), est.hasParam("probabilityCol")
+        # there are no more cells of classes than rows, however many combinations
+        many = not classes and math.prod(len(s) - 1 for s in splits) > CELLS
+        if _counts_rows(est, classes) or est.getMaxBins() < bins or many:
             out[name] = Pipeline(stages=[*whole, est]).fit(train)
             continue
-        if label not in small:
+        if (label, classes) not in small:
             # numbers in order, as the values are: a Bucketizer marks its bins as categories, which trees split in any order
             binned = ahead[0].transform(train).withColumns({c: F.col(c).alias(c, metadata={}) for c in names})
-            small[label] = cells(binned, names, label, "__rows")
-        model = est.copy({est.weightCol: "__rows"}).fit(ahead[1].transform(small[label]))
+            small[label, classes] = (class_cells if classes else cells)(binned, names, label, "__rows")
+        model = est.copy({est.weightCol: "__rows"}).fit(ahead[1].transform(small[label, classes]))
         out[name] = PipelineModel(stages=[*ahead, model])
     for frame in small.values():
         frame.unpersist()
     return out
 
 
-def _counts_rows(est: Estimator) -> bool:
+def _counts_rows(est: Estimator, classes: bool = False) -> bool:
     """Does it matter to the estimator how many rows a cell stands for, beyond their weight?"""
     drawn = est.hasParam("bootstrap") and est.getOrDefault("bootstrap")
     shared = est.hasParam("subsamplingRate") and est.getOrDefault("subsamplingRate") < 1
-    other_loss = est.hasParam("lossType") and est.getOrDefault("lossType") != "squared"
+    other_loss = not classes and est.hasParam("lossType") and est.getOrDefault("lossType") != "squared"
     return bool(drawn or shared or other_loss) or est.getMinInstancesPerNode() > 1 or est.isDefined("weightCol") and bool(est.getOrDefault("weightCol"))
 
 
@@ -353,15 +397,15 @@ def apply_bagging(models: Sequence[PipelineModel], df: DataFrame, kind: str = "c
 def fit_extra_trees(
     train: DataFrame, features: Sequence[str], label: str, kind: str = "classes", groups: int = 5, trees: int = 10,
     cuts: int = 16, depth: int = 5, seed: int = 1, bootstrap: bool = False, **params,
-) -> list[PipelineModel]:
+) -> list[PipelineModel | CellForest]:
     """Forests whose candidate split points are random instead of searched.
 
     Each group of trees first cuts every feature at points drawn uniformly from its range
     (one aggregate gives the ranges), so its trees can only split there.  Numbers whose rows are not drawn are fitted on
-    the :func:`cells` of these cuts.
+    the :func:`cells` of these cuts, drawn rows of classes above :data:`CUT_ROWS` grow as a :class:`CellForest`.
     """
     rng = np.random.default_rng(seed)
-    row = train.agg(*[F.min(f).cast("double").alias(f"lo{i}") for i, f in enumerate(features)], *[F.max(f).cast("double").alias(f"hi{i}") for i, f in enumerate(features)]).first()
+    row = train.agg(*[F.min(f).cast("double").alias(f"lo{i}") for i, f in enumerate(features)], *[F.max(f).cast("double").alias(f"hi{i}") for i, f in enumerate(features)], F.count(F.lit(1)).alias("rows")).first()
     models = []
     for g in range(groups):
         splits = []
@@ -377,7 +421,9 @@ def fit_extra_trees(
         forest = _forest(kind, label, f"__cuts{g}", numTrees=trees, maxDepth=depth, seed=seed + g, bootstrap=bootstrap, maxBins=max(32, cuts + 2), **params)
         forest = forest.setPredictionCol(f"__cutpred{g}")
         # one more bin each for values that are no number
-        if kind == "numbers" and not _counts_rows(forest) and math.prod(len(s) for s in splits) <= CELLS:
+        if kind == "classes" and row["rows"] > CUT_ROWS and (on_cells := forest_on_cells(train, forest, ahead[:1], cut_names, [len(s) for s in splits], categories=True)):
+            models.append(on_cells)
+        elif kind == "numbers" and not _counts_rows(forest) and math.prod(len(s) for s in splits) <= CELLS:
             few = cells(ahead[0].transform(train), cut_names, label, "__rows")
             forest = forest.copy({forest.weightCol: "__rows"}).fit(ahead[1].transform(few))
             few.unpersist()
