@@ -317,7 +317,8 @@ def tree_models(spark, sf):
     df, features = labelled(spark, sf)
     rows = df.count()
     kinds = {"tree": {"maxDepth": 6}, "boosting": BOOSTING}
-    one = {k: scored(k, models.fit(df, features, models.classifier(k, **p)).transform(df)) for k, p in kinds.items()}
+    fitted = ensembles.fit_on_cells(df, features, {k: models.classifier(k, **p) for k, p in kinds.items()})
+    one = {k: scored(k, m.transform(df)) for k, m in fitted.items()}
     # deep trees grow with the rows: they vote a few at a time
     parts = ensembles.grow(df, models.classifier("forest", **FOREST), rows, [VectorAssembler(inputCols=features, outputCol="features")])
     one["forest"] = scored("forest", ensembles.vote_of_parts(parts, df, ["label"], rows))
